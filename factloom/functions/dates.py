@@ -10,7 +10,9 @@ _ISO = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 _DAY_MONTH_YEAR = r"(?<!\d)\d{1,2}\.\s?\d{1,2}\.\s?\d{4}(?!\d)"
 _DAY_NAME_YEAR = rf"(?<!\d)\d{{1,2}}\.?\s+(?:{fixed.MONTH_NAMES})\.?,?\s+\d{{4}}(?!\d)"
 _NAME_DAY_YEAR = rf"\b(?:{fixed.MONTH_NAMES})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}(?!\d)"
-ANY_DATE = rf"(?iuU)(?:{_ISO}|{_DAY_MONTH_YEAR}|{_DAY_NAME_YEAR}|{_NAME_DAY_YEAR})"
+# A look-ahead consumes nothing, so a date that starts inside another form's match is still found
+# ("Version 2.0. 2024-05-12").
+ANY_DATE = rf"(?iuU)(?=({_ISO}|{_DAY_MONTH_YEAR}|{_DAY_NAME_YEAR}|{_NAME_DAY_YEAR}))"
 
 
 def _month_number(text: Column) -> Column:
@@ -38,7 +40,7 @@ def _iso_of(match: Column) -> Column:
 
 def all_dates(text: Column, today: Column) -> Column:
     """Plausible dates in reading order: year 2000 or later, at most a month ahead of `today`."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY_DATE), 0), _iso_of)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY_DATE), 1), _iso_of)
     return F.filter(
         found,
         lambda d: d.isNotNull() & (F.year(d) >= fixed.FIRST_YEAR) & (F.datediff(d, today) <= fixed.DAYS_AHEAD),

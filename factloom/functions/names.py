@@ -1,10 +1,13 @@
 """Company names: normal forms, tokens, and the tests that tie a name to a domain or a page."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed, text, urls
+from factloom.functions.let import let
 
 
 def _words_of(name: Column) -> Column:
@@ -154,22 +157,29 @@ def _initials(words: Column) -> Column:
     return F.array_join(F.transform(lettered, lambda w: F.left(w, F.lit(1))), "")
 
 
+_SPELLINGS = (("ae", "o", "a"), ("ae", "oe", "aa"), ("ae", "o", "aa"), ("e", "oe", "a"))
+
+
 def domain_resembles(site: Column, name: Column) -> Column:
     """The domain plainly belongs to the name: it holds it, is part of it, holds a word of it, or
     spells its initials (never for a housing co-op). æ, ø and å are tried in four spellings."""
-    label = _letters(urls.label(site))
+    def judge(u: Column) -> Column:
+        label, words = u["label"], u["words"]
+
+        def spelled_like(ae: str, oe: str, aa: str) -> Column:
+            folded = F.transform(words, lambda w: text.spelled(w, ae, oe, aa))
+            joined = F.array_join(folded, "")
+            held = F.contains(label, joined) | ((F.length(label) >= 4) & F.contains(joined, label))
+            return held | F.exists(folded, lambda w: (F.length(w) >= 4) & F.contains(label, w))
+
+        hit = reduce(lambda a, b: a | b, [spelled_like(*spelling) for spelling in _SPELLINGS])
+        initials = _initials(words)
+        spelled = (F.length(initials) >= 3) & label.isin(initials, F.concat(initials, F.lit("as")), F.concat(initials, F.lit("sa")))
+        return (label != "") & (F.size(words) > 0) & (hit | (~is_housing_coop(name) & spelled))
+
     words = _without(F.filter(F.transform(_words_of(name), _letters), lambda w: w != ""), fixed.COOP_WORDS)
-    hit = F.lit(False)
-    for ae, oe, aa in (("ae", "o", "a"), ("ae", "oe", "aa"), ("ae", "o", "aa"), ("e", "oe", "a")):
-        folded = F.transform(words, lambda w, ae=ae, oe=oe, aa=aa: text.spelled(w, ae, oe, aa))
-        joined = F.array_join(folded, "")
-        hit = hit | F.contains(label, joined) | ((F.length(label) >= 4) & F.contains(joined, label)) | F.exists(
-            folded, lambda w: (F.length(w) >= 4) & F.contains(label, w)
-        )
-    initials = _initials(words)
-    spelled = (F.length(initials) >= 3) & label.isin(initials, F.concat(initials, F.lit("as")), F.concat(initials, F.lit("sa")))
-    usable = site.isNotNull() & (site != "") & (label != "") & (F.size(words) > 0)
-    return F.coalesce(usable & (hit | (~is_housing_coop(name) & spelled)), F.lit(False))
+    verdict = let(F.struct(_letters(urls.label(site)).alias("label"), words.alias("words")), judge)
+    return F.coalesce(site.isNotNull() & (site != "") & verdict, F.lit(False))
 
 
 def spells_whole_name(domain: Column, name: Column) -> Column:

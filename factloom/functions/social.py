@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed, names, text, urls
+from factloom.functions.let import let
 
 
 def platform(host: Column) -> Column:
@@ -21,11 +22,19 @@ def _account_paths(url: Column) -> Column:
 
 def canonical(link: Column) -> Column:
     """The profile URL in one form, NULL for posts, people, share links and other features."""
-    url = text.strip(link)
-    parts = _account_paths(url)
+    return let(text.strip(link), lambda url: let(
+        F.struct(
+            platform(urls.authority(url)).alias("site"), _account_paths(url).alias("parts"), urls.query(url).alias("query"),
+            (~urls.malformed(url) & urls.scheme(url).isin("http", "https")).alias("usable"),
+        ),
+        _canonical_of,
+    ))
+
+
+def _canonical_of(u: Column) -> Column:
+    parts, site = u["parts"], u["site"]
     first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
     lead, n = F.lower(first), F.size(parts)
-    site = platform(urls.authority(url))
 
     def handle(c: Column) -> Column:
         return c.rlike(fixed.HANDLE)
@@ -33,7 +42,7 @@ def canonical(link: Column) -> Column:
     def reserved(name: str) -> Column:
         return lead.isin(fixed.PLATFORM_RESERVED[name])
 
-    page_id = F.regexp_extract(urls.query(url), r"(?:^|&)id=(\d{5,})", 1)
+    page_id = F.regexp_extract(u["query"], r"(?:^|&)id=(\d{5,})", 1)
     facebook = (
         F.when(lead == "profile.php", F.when(page_id != "", F.concat(F.lit("https://www.facebook.com/profile.php?id="), page_id)))
         .when((lead == "pages") & (n >= 3), F.concat(F.lit("https://www.facebook.com/pages/"), second, F.lit("/"), third))
@@ -52,9 +61,8 @@ def canonical(link: Column) -> Column:
     youtube = F.when(
         lead.isin("channel", "c", "user") & (n >= 2), F.concat(F.lit("https://www.youtube.com/"), lead, F.lit("/"), second)
     ).when(at_handle, F.concat(F.lit("https://www.youtube.com/"), first))
-    usable = ~urls.malformed(url) & urls.scheme(url).isin("http", "https") & (n > 0)
     return F.when(
-        usable,
+        u["usable"] & (n > 0),
         F.when(site == "linkedin.com", linkedin)
         .when(site == "facebook.com", facebook)
         .when(site == "instagram.com", instagram)
@@ -75,11 +83,12 @@ def _path_encoded(segment: Column) -> Column:
 
 def published_form(canonical_url: Column) -> Column:
     """https, the platform's bare host (twitter.com as x.com), no trailing slash."""
-    host = urls.without_www(urls.authority(canonical_url))
-    path = F.array_join(F.transform(F.split(F.regexp_replace(urls.path(canonical_url), "/+$", ""), "/"), _path_encoded), "/")
-    return urls.join_rest(
-        path, urls.query(canonical_url), F.concat(F.lit("https://"), F.when(host == "twitter.com", F.lit("x.com")).otherwise(host))
-    )
+    def write(url: Column) -> Column:
+        host = urls.without_www(urls.authority(url))
+        path = F.array_join(F.transform(F.split(F.regexp_replace(urls.path(url), "/+$", ""), "/"), _path_encoded), "/")
+        return urls.join_rest(path, urls.query(url), F.concat(F.lit("https://"), F.when(host == "twitter.com", F.lit("x.com")).otherwise(host)))
+
+    return let(canonical_url, write)
 
 
 def profile_key(link: Column) -> Column:
@@ -95,15 +104,20 @@ def is_profile_link(link: Column) -> Column:
 
 def account_name(canonical_url: Column) -> Column:
     """The account in lower-case letters and digits."""
-    parts = urls.segments(urls.path(canonical_url))
-    first = F.get(parts, F.lit(0))
-    nested = (F.size(parts) > 1) & F.lower(first).isin(fixed.NESTED_ACCOUNTS)
-    raw = F.when(nested, F.get(parts, F.lit(1))).otherwise(first)
-    return F.coalesce(F.regexp_replace(F.ltrim(F.lower(raw), F.lit("@")), "[^a-z0-9æøå]", ""), F.lit(""))
+    def of(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        nested = (F.size(parts) > 1) & F.lower(first).isin(fixed.NESTED_ACCOUNTS)
+        raw = F.when(nested, F.get(parts, F.lit(1))).otherwise(first)
+        return F.coalesce(F.regexp_replace(F.ltrim(F.lower(raw), F.lit("@")), "[^a-z0-9æøå]", ""), F.lit(""))
+
+    return let(urls.segments(urls.path(canonical_url)), of)
 
 
 def resembles(canonical_url: Column, tokens: Column) -> Column:
-    account = account_name(canonical_url)
+    return let(account_name(canonical_url), lambda account: _close(account, tokens))
+
+
+def _close(account: Column, tokens: Column) -> Column:
     return (F.length(account) >= 4) & F.exists(tokens, lambda t: F.contains(account, t) | F.contains(t, account))
 
 
@@ -131,20 +145,22 @@ def own_letters(name: Column, site: Column, home: Column) -> Column:
 def is_plausibly_own(canonical_url: Column, name: Column, site: Column, branch_town: Column) -> Column:
     """Publishable as the company's own: not an id, a foreign form, the group, a sister or a branch,
     and the account resembles the name or starts with the domain label."""
-    account = account_name(canonical_url)
-    raw = F.element_at(urls.segments(urls.path(canonical_url)), -1)
-    folded_account, folded_name = text.fold(account), text.fold(name)
-    sister = F.lit(False)
-    for word in fixed.SISTER_WORDS:
-        sister = sister | (folded_account.contains(word) & ~folded_name.contains(word))
-    foreign = raw.rlike(fixed.FOREIGN_FORM) & ~name.rlike(fixed.FOREIGN_FORM)
-    group = account.rlike(fixed.GROUP_IN_ACCOUNT) & ~name.rlike(fixed.GROUP_IN_ACCOUNT) & ~is_the_group(account, name)
-    label = F.regexp_replace(urls.label(site), "[^a-z0-9æøå]", "")
-    close = resembles(canonical_url, names.identity_tokens(name, site)) | ((F.length(label) >= 3) & account.startswith(label))
-    rejected = (account == "") | account.rlike(fixed.ID_ACCOUNT) | canonical_url.contains("profile.php")
-    return F.coalesce(
-        ~rejected & ~foreign & ~group & ~sister & ~F.coalesce(branch_town, F.lit(False)) & close, F.lit(False)
-    )
+    def judge(u: Column) -> Column:
+        account, raw = u["account"], u["raw"]
+        folded_account, folded_name = u["folded_account"], u["folded_name"]
+        sister = F.exists(F.array(*[F.lit(w) for w in fixed.SISTER_WORDS]), lambda w: F.contains(folded_account, w) & ~F.contains(folded_name, w))
+        foreign = raw.rlike(fixed.FOREIGN_FORM) & ~name.rlike(fixed.FOREIGN_FORM)
+        group = account.rlike(fixed.GROUP_IN_ACCOUNT) & ~name.rlike(fixed.GROUP_IN_ACCOUNT) & ~is_the_group(account, name)
+        close = _close(account, u["tokens"]) | ((F.length(u["label"]) >= 3) & account.startswith(u["label"]))
+        rejected = (account == "") | account.rlike(fixed.ID_ACCOUNT) | canonical_url.contains("profile.php")
+        return ~rejected & ~foreign & ~group & ~sister & ~F.coalesce(branch_town, F.lit(False)) & close
+
+    verdict = let(F.struct(
+        account_name(canonical_url).alias("account"), F.try_element_at(urls.segments(urls.path(canonical_url)), F.lit(-1)).alias("raw"),
+        text.fold(account_name(canonical_url)).alias("folded_account"), text.fold(name).alias("folded_name"),
+        names.identity_tokens(name, site).alias("tokens"), F.regexp_replace(urls.label(site), "[^a-z0-9æøå]", "").alias("label"),
+    ), judge)
+    return F.coalesce(verdict, F.lit(False))
 
 
 def is_the_company(canonical_url: Column, name: Column, site: Column) -> Column:

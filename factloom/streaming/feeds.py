@@ -3,15 +3,13 @@
 Each function has a batch twin in the operators; on the same rows both give the same result."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.functions import fixed
+from factloom.operators.joins import salted_join
 from factloom.operators.ordered import latest
+from factloom.operators.refresh import consecutive_changes
 
 
 # --- last event decides -------------------------------------------------------------------
@@ -88,38 +86,25 @@ def daily_dedupe(fetches: DataFrame, key: list[str], at: str) -> DataFrame:
 
 # --- changes as snapshots arrive ----------------------------------------------------------
 
-CHANGE_SCHEMA = "org_number string, run_timestamp timestamp, field string, old string, new string"
-
-
-def streaming_changes(snapshots: DataFrame, fields: list[str], ttl_days: int = 400) -> DataFrame:
-    """Typed change rows as snapshots (org_number, run_timestamp, fields...) arrive. State is the last snapshot
-    of a key: one row, whatever the history. A repeated or older snapshot changes nothing, and a key is
-    forgotten only after `ttl_days` without one, which must exceed the refresh gap."""
-    names = ["run_timestamp", *fields]
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        for batch in batches:
-            rows = []
-            for row in batch.sort_values("run_timestamp").itertuples(index=False):
-                moment = int(row.run_timestamp.value // 1000)
-                if last is not None and moment <= last[0]:
-                    continue
-                values = tuple(None if pd.isna(getattr(row, f)) else str(getattr(row, f)) for f in fields)
-                if last is not None:
-                    for field, old, new in zip(fields, last[1:], values):
-                        if old is not None and new is not None and old != new:
-                            rows.append((key[0], row.run_timestamp, field, old, new))
-                last = (moment, *values)
-            yield pd.DataFrame(rows, columns=["org_number", "run_timestamp", "field", "old", "new"])
-        if last is not None:
-            state.update(last)
-            state.setTimeoutDuration(ttl_days * 24 * 3600 * 1000)
-
-    state_schema = "at long, " + ", ".join(f"`{f}` string" for f in fields)
-    return snapshots.select("org_number", *names).groupBy("org_number").applyInPandasWithState(
-        step, CHANGE_SCHEMA, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def snapshot_diff(state_path: str, changes_path: str, fields: list[str], key: str = "org_number", at: str = "run_timestamp"):
+    """A foreachBatch writer that turns arriving snapshots (key, at, fields...) into typed change rows.
+
+    The state is the last snapshot per key. A batch is compared in order with it and within itself by the
+    two-level look-back, so a key that fills a batch is still many tasks. A repeated or older snapshot changes
+    nothing, and a batch repeated after a failure overwrites its own output."""
+    save = upsert_fold(state_path, key, [at])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = batch.select(key, at, *fields).dropDuplicates([key, at])
+        known = read_fold(spark, state_path, before=batch_id)
+        timeline = arrived
+        if known is not None:
+            last = known.select(key, F.col(at).alias("_last"))
+            newer = salted_join(arrived, last, [key], "left").filter(F.col("_last").isNull() | (F.col(at) > F.col("_last"))).drop("_last")
+            timeline = newer.unionByName(known.join(newer.select(key).distinct(), key, "left_semi").select(key, at, *fields))
+        changes = consecutive_changes(timeline.withColumn("_segment", F.to_date(at)), key, [at], "_segment", fields)
+        changes.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(changes_path)
+        save(arrived, batch_id)
+
+    return write
