@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["links"]
+_MODULES = ["extraction"]
 
 
 def load():

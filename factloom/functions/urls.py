@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed
+from factloom.functions.let import let
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -38,6 +39,13 @@ def malformed(url: Column) -> Column:
     return a.contains("[") != a.contains("]")
 
 
+def parse(url: Column) -> Column:
+    """struct(scheme, host, path, query, malformed): the parts the predicates below share."""
+    return F.struct(
+        scheme(url).alias("scheme"), host(url).alias("host"), path(url).alias("path"), query(url).alias("query"), malformed(url).alias("malformed")
+    )
+
+
 def without_www(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
@@ -113,21 +121,26 @@ def _kept_params(q: Column) -> Column:
 def normalize(url: Column) -> Column:
     """One spelling per page: lower-case scheme and host, no `www.`, default port, fragment, tracking
     parameters or trailing slash. A malformed URL is returned as written."""
-    s, p, prt = scheme(url), path(url), port(url)
-    number = prt.try_cast("int")
-    bad = malformed(url) | ((prt != "") & (number.isNull() | (number > 65535) | (number < 0)))
-    default = ((s == "http") & (number == 80)) | ((s == "https") & (number == 443))
-    netloc = F.concat(
-        without_www(hostname(url)),
-        F.when((prt == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))),
+    read = F.struct(
+        scheme(url).alias("scheme"), without_www(hostname(url)).alias("host"), port(url).alias("port"), path(url).alias("path"),
+        query(url).alias("query"), malformed(url).alias("malformed"),
     )
-    trimmed = F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
-    kept = _kept_params(query(url))
+    return let(read, lambda u: _normalized(url, u))
+
+
+def _normalized(url: Column, u: Column) -> Column:
+    number = u["port"].try_cast("int")
+    bad = u["malformed"] | ((u["port"] != "") & (number.isNull() | ~number.between(0, 65535)))
+    default = ((u["scheme"] == "http") & (number == 80)) | ((u["scheme"] == "https") & (number == 443))
+    netloc = F.concat(u["host"], F.when((u["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))))
     base = F.concat(
-        F.when(s != "", F.concat(s, F.lit(":"))).otherwise(F.lit("")),
+        F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise(F.lit("")),
         F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(F.lit("")),
     )
-    return F.when(bad, url).otherwise(join_rest(F.when(trimmed == "", F.lit("/")).otherwise(trimmed), kept, base))
+    trimmed = F.when(F.length(u["path"]) > 1, F.regexp_replace(u["path"], "/+$", "")).otherwise(u["path"])
+    kept = F.when(u["query"] == "", F.lit("")).otherwise(_kept_params(u["query"]))
+    whole = let(kept, lambda q: join_rest(F.when(trimmed == "", F.lit("/")).otherwise(trimmed), q, base))
+    return F.when(bad, url).otherwise(whole)
 
 
 def same_page(a: Column, b: Column) -> Column:
@@ -185,18 +198,8 @@ def on_site(domain: Column, official: Column) -> Column:
 
 
 def on_any(domain: Column, hosts: list[str]) -> Column:
-    """Member of a fixed host list, subdomains included."""
-    bare = F.substring_index(domain, ":", 1)
-    return F.arrays_overlap(host_suffixes(bare), F.array(*[F.lit(h) for h in hosts]))
-
-
-def host_suffixes(domain: Column) -> Column:
-    """`a.b.no` -> [a.b.no, b.no, no]: the equi-join keys of a suffix match."""
-    parts = F.split(domain, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
-    )
+    """Member of a fixed host list, subdomains included: one match against the list's own pattern."""
+    return F.substring_index(domain, ":", 1).rlike(r"(?:^|\.)(?:" + "|".join(h.replace(".", r"\.") for h in hosts) + ")$")
 
 
 # --- joining a link to the page it was found on -------------------------------------------
@@ -217,28 +220,31 @@ def _resolved_dots(p: Column) -> Column:
 
 def absolute(base: Column, link: Column) -> Column:
     """`link` as seen from the page `base`: absolute, protocol-relative, rooted, query-only or relative."""
-    base_scheme, base_authority = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, _PARTS, 2)
-    root = F.concat(F.lower(base_scheme), F.lit("://"), base_authority)
+    base_scheme, base_authority = F.lower(F.regexp_extract(base, _PARTS, 1)), F.regexp_extract(base, _PARTS, 2)
+    root = F.concat(base_scheme, F.lit("://"), base_authority)
     tail = F.concat(
         F.when(link.rlike(r"^[^#]*\?."), F.concat(F.lit("?"), query(link))).otherwise(F.lit("")),
-        F.when(link.rlike("#."), F.concat(F.lit("#"), fragment(link))).otherwise(F.lit("")),
-    )
-    link_path = path(link)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    merged = F.when(link_path.startswith("/"), link_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link_path)
+        F.when(link.contains("#"), F.regexp_extract(link, "(?s)(#.+)$", 1)).otherwise(F.lit("")),
     )
-    resolved = F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), _resolved_dots(merged)).otherwise(merged)
     return (
         F.when(link == "", base)
-        .when(scheme(link) != "", link)
-        .when(link.startswith("//"), F.concat(F.lower(base_scheme), F.lit(":"), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(base_scheme, F.lit(":"), link))
         .when(link.startswith("?"), F.concat(root, path(base), tail))
         .when(link.startswith("#"), F.concat(F.substring_index(base, "#", 1), link))
-        .otherwise(F.concat(root, resolved, tail))
+        .otherwise(F.concat(root, let(_merged(base, path(link)), _without_dots), tail))
     )
 
 
+def _merged(base: Column, link_path: Column) -> Column:
+    folder = F.regexp_replace(path(base), r"[^/]*$", "")
+    return F.when(link_path.startswith("/"), link_path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), link_path))
+
+
+def _without_dots(merged: Column) -> Column:
+    return F.when(merged.rlike(r"(?:^|/)\.\.?(?:/|$)"), _resolved_dots(merged)).otherwise(merged)
+
+
 # --- predicates over candidate and frontier URLs ------------------------------------------
 
 def is_homepage_path(url: Column) -> Column:
@@ -370,17 +376,19 @@ def is_careers_url(url: Column, with_platforms: bool = True) -> Column:
 def is_post_link(url: Column, page: Column) -> Column:
     """A link that can be a news post's own page: same site as `page`, below its root, not a contact,
     legal, careers, shop or listing path. A press-release service counts as the publisher's own."""
-    own_path, page_path = F.regexp_replace(path(url), "/+$", ""), F.regexp_replace(path(page), "/+$", "")
-    marked = F.concat(path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(F.lit("")))
-    on_newswire = on_any(host(url), fixed.PRESS_RELEASE_HOSTS)
+    return let(F.struct(parse(url).alias("u"), parse(page).alias("p")), lambda both: _is_post(both["u"], both["p"]))
+
+
+def _is_post(u: Column, p: Column) -> Column:
+    own_path = F.regexp_replace(u["path"], "/+$", "")
+    marked = F.concat(u["path"], F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")))
     same_site = (
-        on_site(host(url), host(page)) & (own_path != "") & (own_path != page_path)
+        on_site(u["host"], p["host"]) & (own_path != "") & (own_path != F.regexp_replace(p["path"], "/+$", ""))
         & ~has_extension(own_path, [".jpg", ".png", ".gif", ".zip"]) & ~marked.rlike(fixed.NOT_A_POST_PATH)
     )
-    return (
-        ~malformed(url) & ~malformed(page) & scheme(url).isin("http", "https")
-        & F.when(on_newswire, F.regexp_replace(path(url), "^/+|/+$", "") != "").otherwise(same_site)
-    )
+    on_newswire = on_any(u["host"], fixed.PRESS_RELEASE_HOSTS) & u["path"].rlike("[^/]")
+    return ~u["malformed"] & ~p["malformed"] & u["scheme"].isin("http", "https") & F.when(
+        on_any(u["host"], fixed.PRESS_RELEASE_HOSTS), on_newswire).otherwise(same_site)
 
 
 def site_root(url: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import fixed, names, registry, similarity, social, text, urls
 from factloom.operators.ordered import first_wins, top_k
-from factloom.operators.pages import canonical_link, content_hash, context_names
+from factloom.operators.pages import canonical_link, content_hash, context_name
 
 _MANAGED_FIELDS = ["company_profile", "hiring_signal", "dated_activity"]
 _NAME_FIELDS = ["organization_name", "page_text"]
@@ -286,10 +286,9 @@ def site_ownership(pages: DataFrame, entities: DataFrame) -> DataFrame:
 def name_spans(pages: DataFrame) -> DataFrame:
     """(org_number, page_ord, name_span): the page's own name for the company, when it reads like it, or
     the part of its title that holds the whole name. Pages carry legal_name."""
-    context = context_names(pages).drop("json_name")
-    read = pages.join(context, ["org_number", "page_ord"], "left").select(
+    read = pages.select(
         "org_number", "page_ord", "legal_name",
-        F.filter(F.array("context_name", text.page_heading(F.col("raw_html"))), lambda c: c.isNotNull() & (c != "")).alias("_found"),
+        F.filter(F.array(context_name(F.col("raw_html")), text.page_heading(F.col("raw_html"))), lambda c: c.isNotNull() & (c != "")).alias("_found"),
     )
     scored = read.withColumn("_best", similarity.best_match(F.array("legal_name"), F.col("_found")))
     parts = F.flatten(F.transform("_found", lambda c: F.split(c, fixed.TITLE_SEPARATOR)))

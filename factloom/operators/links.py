@@ -13,74 +13,76 @@ _PLAIN_FILES = [".pdf", ".jpg", ".png", ".zip"]
 _PLAIN_FILES_XML = [".pdf", ".jpg", ".png", ".zip", ".xml"]
 
 
-def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", full_entities: bool = False) -> DataFrame:
-    """Every link of a page as (key, page_url, ord, link, text). The markup stays in the narrow map:
-    only links leave it."""
-    cleaned = pages.select(F.col(key), F.col(url).alias("page_url"), text.cut_scripts(F.col(html)).alias("_html"))
-    anchors = cleaned.select(key, "page_url", F.posexplode(F.regexp_extract_all("_html", F.lit(fixed.ANCHOR), 0)).alias("ord", "_a"))
-    attributes = F.regexp_extract("_a", fixed.ANCHOR, 1)
-    inner = F.regexp_extract("_a", fixed.ANCHOR, 2)
-    raw = text.strip(text.first_group(attributes, fixed.HREF))
-    label = text.strip_tags(inner)
-    if full_entities:
-        parts = anchors.select(key, "page_url", "ord", raw.alias("_raw"), label.alias("_label")).filter(F.col("_raw").isNotNull())
-        parts = parts.withColumn("_href", text.decode_entities("_raw")).withColumn("text", text.squeeze(text.decode_entities("_label")))
-    else:
-        parts = anchors.select(
-            key, "page_url", "ord", text.common_entities(raw).alias("_href"), text.squeeze(text.common_entities(label)).alias("text")
-        ).filter(F.col("_href").isNotNull())
-    usable = ~F.col("_href").rlike("^(?:#|mailto:|tel:|javascript:)")
-    return parts.filter(usable).select(key, "page_url", "ord", urls.absolute(F.col("page_url"), F.col("_href")).alias("link"), "text")
+def anchors(html: Column, page_url: Column) -> Column:
+    """The usable anchors of a cleaned piece of markup, in order, as array<struct<ord, link, host, path, text>>."""
+    found = F.regexp_extract_all(html, F.lit(fixed.ANCHOR), 0)
+    read = F.transform(found, lambda a, i: F.struct(
+        i.alias("ord"),
+        text.common_entities(text.strip(text.first_group(F.regexp_extract(a, fixed.ANCHOR, 1), fixed.HREF))).alias("href"),
+        text.fragment_text(F.regexp_extract(a, fixed.ANCHOR, 2)).alias("text"),
+    ))
+    usable = F.filter(read, lambda a: a["href"].isNotNull() & ~a["href"].rlike("^(?:#|mailto:|tel:|javascript:)"))
+    placed = F.transform(usable, lambda a: F.struct(a["ord"].alias("ord"), urls.absolute(page_url, a["href"]).alias("link"), a["text"].alias("text")))
+    return F.transform(placed, lambda a: F.struct(
+        a["ord"].alias("ord"), a["link"].alias("link"), urls.host(a["link"]).alias("host"), urls.path(a["link"]).alias("path"), a["text"].alias("text")
+    ))
+
+
+def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Every link of a page as (key, page_url, ord, link, link_host, link_path, text). The markup stays in the
+    narrow map: only links leave it, each part of them worked out once."""
+    found = anchors(text.cut_scripts(F.col(html)), F.col(url))
+    rows = pages.select(F.col(key), F.col(url).alias("page_url"), F.explode(found).alias("_a"))
+    return rows.select(
+        key, "page_url", "_a.ord", "_a.link", F.col("_a.host").alias("link_host"), F.col("_a.path").alias("link_path"), "_a.text"
+    )
 
 
 def _ranked_links(links: DataFrame, wanted: Column, rank: Column, key: str, limit: int) -> DataFrame:
     """Qualifying links of a page, one per address, best rank then page order first."""
-    identity = urls.page_identity(F.col("link"))
-    own = identity == F.regexp_replace("page_url", "/+$", "")
-    kept = links.filter(wanted & ~own).withColumn("_identity", identity).withColumn("rank", rank)
-    unique = first_wins(kept, [key, "_identity"], ["ord"]).drop("_identity")
+    kept = links.filter(wanted).withColumn("_identity", urls.page_identity(F.col("link"))).withColumn("rank", rank)
+    others = kept.filter(F.col("_identity") != F.regexp_replace("page_url", "/+$", ""))
+    unique = first_wins(others, [key, "_identity"], ["ord"]).drop("_identity")
     return top_k(unique, [key], ["rank", "ord"], limit)
 
 
 def careers_links(links: DataFrame, official: Column, key: str = "page_id", limit: int = fixed.TOP_K["careers_links"]) -> DataFrame:
     """Careers pages a page links to: same site or an applicant-tracking platform."""
-    link, label = F.col("link"), F.col("text")
-    by_url = urls.path(link).rlike(fixed.CAREERS_PATH) | urls.host(link).rlike(fixed.CAREERS_HOST)
+    host, path, label = F.col("link_host"), F.col("link_path"), F.col("text")
+    by_url = path.rlike(fixed.CAREERS_PATH) | host.rlike(fixed.CAREERS_HOST)
     by_text = F.length(label).between(1, 40) & label.rlike(fixed.CAREERS_LINK_TEXT)
-    reachable = urls.on_site(urls.host(link), official) | urls.on_any(urls.host(link), fixed.ATS_HOSTS)
-    wanted = reachable & (by_url | by_text) & ~urls.has_extension(urls.path(link), _PLAIN_FILES)
+    reachable = urls.on_site(host, official) | urls.on_any(host, fixed.ATS_HOSTS)
+    wanted = (by_url | by_text) & reachable & ~urls.has_extension(path, _PLAIN_FILES)
     return _ranked_links(links, wanted, F.when(by_url, 0).otherwise(1), key, limit)
 
 
 def info_links(links: DataFrame, official: Column, key: str = "page_id", limit: int = fixed.TOP_K["info_links"]) -> DataFrame:
     """Contact and about pages of the same site, contact first."""
-    link, label = F.col("link"), F.col("text")
-    p = urls.path(link)
-    by_path = p.rlike(fixed.INFO_PATH) & (F.size(urls.segments(p)) <= 2)
+    host, path, label = F.col("link_host"), F.col("link_path"), F.col("text")
+    by_path = path.rlike(fixed.INFO_PATH) & (F.size(urls.segments(path)) <= 2)
     by_text = F.length(label).between(1, 30) & label.rlike(fixed.INFO_TEXT)
-    wanted = urls.on_site(urls.host(link), official) & (by_path | by_text) & ~urls.has_extension(p, _PLAIN_FILES_XML)
-    contact = F.concat(p, F.lit(" "), label).rlike("(?iu)kontakt|contact")
+    wanted = (by_path | by_text) & urls.on_site(host, official) & ~urls.has_extension(path, _PLAIN_FILES_XML)
+    contact = F.concat(path, F.lit(" "), label).rlike("(?iu)kontakt|contact")
     return _ranked_links(links, wanted, F.when(contact, 0).otherwise(1), key, limit)
 
 
 def news_links(links: DataFrame, official: Column, key: str = "page_id", limit: int = fixed.TOP_K["news_links"]) -> DataFrame:
     """News listings of the same site, at most two levels deep when found by path."""
-    link, label = F.col("link"), F.col("text")
-    p = urls.path(link)
-    by_path = p.rlike(fixed.NEWS_PATH)
+    host, path, label = F.col("link_host"), F.col("link_path"), F.col("text")
+    by_path = path.rlike(fixed.NEWS_PATH)
     by_text = F.length(label).between(1, 30) & label.rlike(fixed.NEWS_LINK_TEXT)
-    shallow = ~by_path | (F.size(urls.segments(p)) <= 2)
-    wanted = urls.on_site(urls.host(link), official) & (by_path | by_text) & shallow & ~urls.has_extension(p, _PLAIN_FILES_XML)
+    shallow = ~by_path | (F.size(urls.segments(path)) <= 2)
+    wanted = (by_path | by_text) & urls.on_site(host, official) & shallow & ~urls.has_extension(path, _PLAIN_FILES_XML)
     return _ranked_links(links, wanted, F.when(by_path, 0).otherwise(1), key, limit)
 
 
 def same_site_links(links: DataFrame) -> DataFrame:
-    return links.filter(urls.on_site(urls.host(F.col("link")), urls.host(F.col("page_url"))))
+    return links.filter(urls.on_site(F.col("link_host"), urls.host(F.col("page_url"))))
 
 
 def ats_links(links: DataFrame, company: str, page_order: str, limit: int = fixed.TOP_K["ats_pages"]) -> DataFrame:
     """Applicant-platform pages linked from a company's own pages, with the page that links them."""
-    found = links.filter(urls.on_any(urls.host(F.col("link")), fixed.ATS_HOSTS)).withColumn("_n", urls.normalize(F.col("link")))
+    found = links.filter(urls.on_any(F.col("link_host"), fixed.ATS_HOSTS)).withColumn("_n", urls.normalize(F.col("link")))
     unique = first_wins(found, [company, "_n"], [page_order, "ord"]).drop("_n")
     return top_k(unique, [company], [page_order, "ord"], limit).withColumn("linked_from", F.col("page_url"))
 

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from factloom import schemas
 from factloom.functions import dates, fixed, names, registry, social, text, urls
-from factloom.operators.links import page_links
+from factloom.operators.links import anchors, page_links
 from factloom.operators.ordered import first_wins, top_k
+from factloom.operators.staging import computed
 
 PAGE_KEY = ["org_number", "page_ord"]
 
@@ -44,123 +45,114 @@ def _one_or_many(doc: Column, path: str, kind: str) -> Column:
     return F.coalesce(_array_at(doc, path, kind), F.array(F.try_variant_get(doc, path, kind)))
 
 
-def json_ld_objects(pages: DataFrame, carry: list[str]) -> DataFrame:
-    """JSON-LD objects of each page in page order as (carry..., obj_ord, obj). `@graph` wrappers are
-    opened, nested ones included, six levels deep."""
-    blocks = F.regexp_extract_all(F.col("raw_html"), F.lit(fixed.JSON_LD), 1)
+def json_ld(html: Column) -> Column:
+    """The JSON-LD objects of a page in page order, as array<variant>. `@graph` wrappers are opened,
+    nested ones included, six levels deep; a script that is not JSON is left out."""
+    blocks = F.regexp_extract_all(html, F.lit(fixed.JSON_LD), 1)
     documents = F.filter(F.transform(blocks, lambda b: F.try_parse_json(text.strip(b))), lambda d: d.isNotNull())
-    roots = F.flatten(F.transform(documents, lambda d: F.coalesce(_array_at(d, "$"), F.array(d))))
-    rows = pages.filter(F.col("raw_html").contains("ld+json")).select(*carry, roots.alias("_objects"))
+    objects = F.flatten(F.transform(documents, lambda d: F.coalesce(_array_at(d, "$"), F.array(d))))
     for _ in range(_GRAPH_LEVELS):
-        rows = rows.withColumn(
-            "_objects",
-            F.flatten(F.transform("_objects", lambda o: F.coalesce(_array_at(o, '$["@graph"]'), F.array(o)))),
-        )
-    return rows.select(*carry, F.posexplode("_objects").alias("obj_ord", "obj"))
+        objects = F.flatten(F.transform(objects, lambda o: F.coalesce(_array_at(o, '$["@graph"]'), F.array(o))))
+    return F.when(html.contains("ld+json"), objects).otherwise(F.array().cast("array<variant>"))
+
+
+def json_ld_objects(pages: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry..., obj_ord, obj): one row per JSON-LD object."""
+    return pages.select(*carry, F.posexplode(json_ld(F.col("raw_html"))).alias("obj_ord", "obj"))
 
 
 def object_types(obj: Column) -> Column:
-    return F.coalesce(
-        _one_or_many(obj, '$["@type"]', "string"), F.array().cast("array<string>")
-    )
+    return F.coalesce(_one_or_many(obj, '$["@type"]', "string"), F.array().cast("array<string>"))
 
 
 def _is_any(types: Column, wanted: list[str]) -> Column:
     return F.arrays_overlap(types, F.array(*[F.lit(w) for w in wanted]))
 
 
-def context_names(pages: DataFrame) -> DataFrame:
-    """(page key, context_name): the page's own organisation name, from the first named JSON-LD object
-    that describes neither a page, an article, a product nor a person; else its og:site_name."""
-    objects = json_ld_objects(pages, PAGE_KEY)
-    named = objects.select(*PAGE_KEY, "obj_ord", registry.string_at(F.col("obj"), "$.name").alias("_name"), object_types(F.col("obj")).alias("_types"))
-    own = named.filter(F.col("_name").isNotNull() & ~F.coalesce(_is_any(F.col("_types"), fixed.NOT_ORGANISATION_TYPES), F.lit(False)))
-    from_json = own.groupBy(*PAGE_KEY).agg(F.min_by("_name", "obj_ord").alias("_json_name"))
-    tagged = pages.select(*PAGE_KEY, F.nullif(site_name(F.col("raw_html")), F.lit("")).alias("_site_name"))
-    return tagged.join(from_json, PAGE_KEY, "left").select(
-        *PAGE_KEY, F.coalesce("_json_name", "_site_name").alias("context_name"), F.col("_json_name").alias("json_name")
+def organisation_name(objects: Column) -> Column:
+    """The name of the first named object that describes neither a page, an article, a product nor a person."""
+    named = F.filter(
+        F.transform(objects, lambda o: F.struct(registry.string_at(o, "$.name").alias("name"), object_types(o).alias("types"))),
+        lambda o: o["name"].isNotNull() & ~F.coalesce(_is_any(o["types"], fixed.NOT_ORGANISATION_TYPES), F.lit(False)),
     )
+    return F.get(named, F.lit(0))["name"]
 
 
 def site_name(html: Column) -> Column:
     return F.coalesce(*[text.first_group(html, p) for p in fixed.SITE_NAME])
 
 
+def context_name(html: Column) -> Column:
+    """What the page calls its organisation: from JSON-LD, else its og:site_name."""
+    return F.coalesce(organisation_name(json_ld(html)), F.nullif(site_name(html), F.lit("")))
+
+
+def context_names(pages: DataFrame) -> DataFrame:
+    return pages.select(*PAGE_KEY, context_name(F.col("raw_html")).alias("context_name"))
+
+
 def canonical_link(html: Column) -> Column:
     return F.nullif(text.strip(F.coalesce(*[text.first_group(html, p) for p in fixed.CANONICAL])), F.lit(""))
 
 
 def structured_facts(pages: DataFrame) -> DataFrame:
     """Job postings, dated articles and events, organisation name, site, address, employees and linked
-    profiles from JSON-LD. One pass over the objects; each object yields an array of facts in the fixed
-    order of its parts."""
-    carry = [*PAGE_KEY, "url", "fetched_at", "linked_from"]
-    hashed = pages.withColumn("content_hash", content_hash(F.col("raw_html")))
-    objects = json_ld_objects(hashed, [*carry, "content_hash", "raw_html"])
-    obj = F.col("obj")
+    profiles from JSON-LD. One pass: the objects of a page are read in place, and each yields its facts in
+    the fixed order of its parts."""
+    html, obj = F.col("raw_html"), F.col("obj")
+    read = computed(pages.filter(html.contains("ld+json")), _objects=json_ld(html), content_hash=content_hash(html), _post_page=urls.is_post_page(F.col("url")))
+    read = computed(read, page_name=organisation_name(F.col("_objects")))
+    page = [*PAGE_KEY, "url", "fetched_at", "linked_from", "content_hash", "_post_page"]
+    rows = read.select(*page, "page_name", "raw_html", F.posexplode("_objects").alias("obj_ord", "obj"))
 
     def string(path: str) -> Column:
         return registry.string_at(obj, path)
 
-    read = objects.select(
-        *carry, "content_hash", "raw_html", "obj_ord", "obj", object_types(obj).alias("types"),
-        string("$.title").alias("title"), string("$.name").alias("name"), string("$.headline").alias("raw_headline"),
-        F.try_variant_get(obj, "$.datePosted", "string").alias("posted"), string("$.hiringOrganization.name").alias("employer"),
-        F.try_variant_get(obj, "$.datePublished", "string").alias("published"), F.try_variant_get(obj, "$.startDate", "string").alias("starts"),
-        string("$.url").alias("site"),
-    ).withColumn("raw_headline", F.coalesce("raw_headline", "name"))
-    names_of_page = context_names(pages).select(*PAGE_KEY, F.col("json_name").alias("page_name"))
-    read = read.join(names_of_page, PAGE_KEY, "left")
-    read = read.withColumn("title_text", text.decode_entities("title")).withColumn(
-        "headline", F.coalesce(text.decode_entities("raw_headline"), F.lit("activity"))
-    )
+    def given(path: str) -> Column:
+        return F.nullif(F.try_variant_get(obj, path, "string"), F.lit(""))
 
-    is_job = F.coalesce(_is_any(F.col("types"), fixed.JOB_TYPES), F.lit(False)) & F.col("title").isNotNull()
-    posted_day = dates.leading_day(F.col("posted"))
-    posted = F.coalesce(posted_day, F.nullif("posted", F.lit("")))
-    job = _fact(
-        is_job, "hiring_signal",
-        F.when(posted.isNotNull(), F.concat("title_text", F.lit(" (posted "), posted, F.lit(")"))).otherwise(F.col("title_text")),
-        F.col("employer"), F.col("title"), posted_day,
+    rows = computed(
+        rows, types=object_types(obj), title=string("$.title"), name=string("$.name"), _headline=string("$.headline"), posted=given("$.datePosted"),
+        employer=string("$.hiringOrganization.name"), published=given("$.datePublished"), starts=given("$.startDate"), site=string("$.url"),
+        line=F.concat_ws(", ", *[given(f"$.address.{p}") for p in ("streetAddress", "postalCode", "addressLocality")]),
+        employees=_array_at(obj, "$.employee"), profiles=_same_as(obj, html),
+    ).drop("obj", "raw_html").withColumn("raw_headline", F.coalesce("_headline", "name"))
+    rows = rows.withColumn("title_text", text.decode_entities("title")).withColumn(
+        "headline", F.coalesce(text.decode_entities("raw_headline"), F.lit("activity"))
     )
     is_article = F.coalesce(_is_any(F.col("types"), fixed.ARTICLE_TYPES), F.lit(False))
     is_event = ~is_article & F.coalesce(_is_any(F.col("types"), fixed.EVENT_TYPES), F.lit(False))
-    on_post_page = urls.is_post_page(F.col("url"))
-    when = F.nullif(
-        F.when(is_article & on_post_page & text.is_news_title(F.col("headline")), F.col("published")).when(is_event, F.col("starts")), F.lit("")
+    when = F.when(is_article & F.col("_post_page") & text.is_news_title(F.col("headline")), F.col("published")).when(is_event, F.col("starts"))
+    rows = computed(
+        rows, is_job=F.coalesce(_is_any(F.col("types"), fixed.JOB_TYPES), F.lit(False)) & F.col("title").isNotNull(), posted_day=dates.leading_day(F.col("posted")),
+        when=when, day=dates.leading_day(when), absolute=urls.absolute(F.col("url"), F.col("site")),
+    )
+    posted = F.coalesce("posted_day", "posted")
+    job = _fact(
+        F.col("is_job"), "hiring_signal",
+        F.when(posted.isNotNull(), F.concat("title_text", F.lit(" (posted "), posted, F.lit(")"))).otherwise(F.col("title_text")),
+        F.col("employer"), F.col("title"), F.col("posted_day"),
     )
-    day = dates.leading_day(when)
-    item = F.concat("headline", F.lit(" ("), F.coalesce(day, when), F.lit(")"))
+    item = F.concat("headline", F.lit(" ("), F.coalesce("day", "when"), F.lit(")"))
     dated = _fact(
-        when.isNotNull(), "dated_activity", F.when(on_post_page, text.with_post_link(item, F.col("url"))).otherwise(item),
-        F.col("page_name"), F.col("raw_headline"), day,
+        F.col("when").isNotNull(), "dated_activity", F.when(F.col("_post_page"), text.with_post_link(item, F.col("url"))).otherwise(item),
+        F.col("page_name"), F.col("raw_headline"), F.col("day"),
     )
     organisation = _fact(F.col("name").isNotNull(), "organization_name", F.col("name"))
-    absolute = urls.absolute(F.col("url"), F.col("site"))
-    website = _fact(
-        F.col("site").isNotNull() & urls.scheme(absolute).isin("http", "https") & (urls.authority(absolute) != ""), "official_site", absolute
-    )
-    line = F.concat_ws(
-        ", ", *[F.nullif(F.try_variant_get(obj, f"$.address.{p}", "string"), F.lit("")) for p in ("streetAddress", "postalCode", "addressLocality")]
-    )
-    address = _fact(line != "", "registered_address", line)
+    website = _fact(F.col("absolute").rlike("(?i)^https?://[^/?#]"), "official_site", F.col("absolute"))
+    address = _fact(F.col("line") != "", "registered_address", F.col("line"))
     people = F.transform(
-        F.coalesce(_array_at(obj, "$.employee"), F.array().cast("array<variant>")),
+        F.coalesce("employees", F.array().cast("array<variant>")),
         lambda e: F.struct(registry.string_at(e, "$.name").alias("n"), registry.string_at(e, "$.jobTitle").alias("t")),
     )
     staff = F.transform(
         F.filter(people, lambda p: p["n"].isNotNull()),
         lambda p: _fact_struct("leader", F.coalesce(F.concat(p["n"], F.lit(" ("), p["t"], F.lit(")")), p["n"]), F.col("name")),
     )
-    profiles = F.concat(*[_same_as(path, owner) for path, owner in (
-        ("$", F.col("name")), ("$.publisher", string("$.publisher.name")), ("$.founder", string("$.founder.name")),
-        ("$.provider", string("$.provider.name")),
-    )])
-    facts = F.concat(job, dated, organisation, website, address, staff, profiles)
-    rows = read.select(*carry, "content_hash", "obj_ord", F.posexplode(facts).alias("_n", "_f"))
-    return _facts(
-        rows.select(*carry, "content_hash", "_f.*", (F.col("obj_ord") * 100_000 + F.col("_n")).alias("item_ord")), 0, "structured"
-    )
+    linked = F.transform("profiles", lambda f: _fact_struct("company_profile", f["value"], f["owner"], f["span"]))
+    facts = F.concat(job, dated, organisation, website, address, staff, linked)
+    out = rows.select(*page, "obj_ord", F.posexplode(facts).alias("_n", "_f"))
+    return _facts(out.select(*page, "_f.*", (F.col("obj_ord") * 100_000 + F.col("_n")).alias("item_ord")), 0, "structured")
 
 
 def _fact_struct(field: str, value: Column, context: Column | None = None, span: Column | None = None, day: Column | None = None) -> Column:
@@ -178,20 +170,23 @@ def _fact(condition: Column, field: str, value: Column, context=None, span=None,
     return F.filter(F.array(fact), lambda f: F.coalesce(condition, F.lit(False)) & f["value"].isNotNull())
 
 
-def _same_as(path: str, owner: Column) -> Column:
-    """Profiles an object (or its nested owner) lists under sameAs."""
-    listed = F.coalesce(_one_or_many(F.col("obj"), f"{path}.sameAs", "variant"), F.array().cast("array<variant>"))
-    links = F.filter(
-        F.transform(listed, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))),
-        lambda l: l.isNotNull() & (l != "") & ~l.rlike(fixed.SOCIAL_NOT_PROFILE),
+def _same_as(obj: Column, html: Column) -> Column:
+    """Profiles an object, its publisher, founder or provider lists under sameAs, each with its owner's name:
+    array<struct<value, owner, span>>."""
+    owners = F.filter(
+        F.array(obj, *[F.try_variant_get(obj, f"$.{k}", "variant") for k in ("publisher", "founder", "provider")]), lambda o: o.isNotNull()
     )
-    found = F.transform(links, lambda l: F.struct(l.alias("link"), social.profile_key(l).alias("key")))
-    return F.transform(
-        F.filter(found, lambda f: f["key"].isNotNull()),
-        lambda f: _fact_struct(
-            "company_profile", social.published_form(f["key"]), owner, registry.as_written(F.col("raw_html"), f["link"])
-        ),
+    listed = F.flatten(F.transform(owners, lambda o: F.transform(
+        F.coalesce(_one_or_many(o, "$.sameAs", "variant"), F.array().cast("array<variant>")),
+        lambda v: F.struct(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("link"), registry.string_at(o, "$.name").alias("owner")),
+    )))
+    links = F.filter(listed, lambda l: l["link"].isNotNull() & (l["link"] != "") & ~l["link"].rlike(fixed.SOCIAL_NOT_PROFILE))
+    keyed = F.filter(
+        F.transform(links, lambda l: F.struct(l["link"].alias("link"), l["owner"].alias("owner"), social.profile_key(l["link"]).alias("key"))), lambda l: l["key"].isNotNull()
     )
+    return F.transform(keyed, lambda l: F.struct(
+        social.published_form(l["key"]).alias("value"), l["owner"].alias("owner"), registry.as_written(html, l["link"]).alias("span")
+    ))
 
 
 # --- meta tags ----------------------------------------------------------------------------
@@ -256,12 +251,14 @@ def social_facts(pages: DataFrame, limit: int = fixed.TOP_K["social_links"]) ->
     embedded = F.flatten(F.transform(frames, lambda s: F.concat(parameter(s, "href"), parameter(s, "u"))))
     links = F.transform(F.concat(anchors, widgets, embedded), text.strip)
     likely = F.filter(links, lambda l: l.rlike(r"(?i)\.(?:com)") & ~l.rlike(fixed.SOCIAL_NOT_PROFILE))
-    read = pages.join(context_names(pages).drop("json_name"), PAGE_KEY, "left").select(
-        *PAGE_KEY, "url", "fetched_at", "linked_from", "context_name", content_hash(html).alias("content_hash"),
-        F.transform(likely, lambda l: F.struct(l.alias("link"), registry.as_written(html, l).alias("span"))).alias("_links"),
+    keyed = F.filter(
+        F.transform(likely, lambda l, i: F.struct(i.alias("item_ord"), l.alias("link"), social.profile_key(l).alias("key"), registry.as_written(html, l).alias("span"))),
+        lambda l: l["key"].isNotNull(),
     )
-    rows = read.select("*", F.posexplode("_links").alias("item_ord", "_l")).drop("_links")
-    found = rows.withColumn("_key", social.profile_key(F.col("_l.link"))).filter("_key IS NOT NULL")
+    read = pages.select(
+        *PAGE_KEY, "url", "fetched_at", "linked_from", context_name(html).alias("context_name"), content_hash(html).alias("content_hash"), keyed.alias("_links")
+    )
+    found = read.select("*", F.explode("_links").alias("_l")).drop("_links").withColumn("_key", F.col("_l.key")).withColumn("item_ord", F.col("_l.item_ord"))
     unique = first_wins(found, [*PAGE_KEY, "_key"], ["item_ord"])
     kept = top_k(unique, PAGE_KEY, ["item_ord"], limit)
     return _facts(
@@ -274,9 +271,10 @@ def script_social_facts(pages: DataFrame, entities: DataFrame, found: DataFrame)
     `entities` is (org_number, legal_name, official_site)."""
     own = pages.filter("linked_from IS NULL AND fetch_state = 'available'").select(
         *PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"),
-        F.posexplode(social.script_links(F.col("raw_html"))).alias("item_ord", "_raw"),
+        F.explode(F.transform(social.script_links(F.col("raw_html")), lambda r, i: F.struct(
+            i.alias("item_ord"), r.alias("_raw"), social.profile_key(F.replace(r, F.lit("\\/"), F.lit("/"))).alias("_key")))).alias("_s"),
     )
-    keyed = own.withColumn("_key", social.profile_key(F.replace("_raw", F.lit("\\/"), F.lit("/")))).filter("_key IS NOT NULL")
+    keyed = own.select("*", "_s.*").drop("_s").filter("_key IS NOT NULL")
     tokens = entities.filter("legal_name IS NOT NULL AND official_site IS NOT NULL").select(
         "org_number", names.identity_tokens(F.col("legal_name"), F.col("official_site")).alias("_tokens")
     )
@@ -316,12 +314,14 @@ def feed_facts(pages: DataFrame, limit: int = fixed.TOP_K["feed_entries"]) -> Da
     link = F.coalesce(
         F.nullif(F.regexp_extract("_item", fixed.FEED_LINK, 1), F.lit("")), F.nullif(F.regexp_extract("_item", fixed.FEED_LINK, 2), F.lit(""))
     )
-    read = items.select(
-        *items.columns, _feed_text(text.first_group(F.col("_item"), fixed.FEED_DATE)).alias("_published"),
-        _feed_text(text.first_group(F.col("_item"), fixed.TITLE)).alias("_title"), _feed_text(link).alias("_link"),
-    ).filter("_published <> '' AND _title <> '' AND _link <> ''").filter(urls.is_post_link(F.col("_link"), F.col("url")))
-    read = _twice_decoded(read, "_title", "_decoded").withColumn("_headline", text.plain_headline(F.col("_decoded")))
-    kept = top_k(read.filter(text.is_news_title(F.col("_headline"))), PAGE_KEY, ["item_ord"], limit)
+    read = computed(
+        items, _published=_feed_text(text.first_group(F.col("_item"), fixed.FEED_DATE)), _title=_feed_text(text.first_group(F.col("_item"), fixed.TITLE)),
+        _link=_feed_text(link),
+    ).drop("_item").filter("_published <> '' AND _title <> '' AND _link <> ''")
+    read = computed(read, _own=urls.is_post_link(F.col("_link"), F.col("url"))).filter("_own")
+    read = computed(_twice_decoded(read, "_title", "_decoded"), _headline=text.plain_headline(F.col("_decoded")))
+    read = computed(read, _news=text.is_news_title(F.col("_headline"))).filter("_news")
+    kept = top_k(read, PAGE_KEY, ["item_ord"], limit)
     day = dates.feed_date(F.col("_published"))
     value = F.concat("_headline", F.lit(" ("), F.coalesce(day, "_published"), F.lit(")"))
     return _facts(
@@ -343,12 +343,11 @@ def post_list_facts(pages: DataFrame, limit: int = fixed.TOP_K["news_items"]) ->
         *posts.columns, registry.string_at(post, "$.title.rendered").alias("_raw"), F.try_variant_get(post, "$.date", "string").alias("_date"),
         F.when(F.schema_of_variant(link_node) == "STRING", F.try_variant_get(post, "$.link", "string")).alias("_link"),
     ).filter("_raw IS NOT NULL")
-    read = read.withColumn("_title", text.decode_entities("_raw")).withColumn(
-        "_title", text.squeeze(text.strip_tags(F.col("_title")))
-    ).withColumn("_day", dates.first_date(F.col("_date"), F.to_date("fetched_at")))
+    read = read.withColumn("_decoded", text.decode_entities("_raw"))
+    read = computed(read, _title=text.squeeze(text.strip_tags(F.col("_decoded"))), _day=dates.first_date(F.col("_date"), F.to_date("fetched_at")))
     no_link = F.coalesce(F.col("_link"), F.lit("")) == ""
     usable = (
-        F.col("_day").isNotNull() & text.is_news_title(F.col("_title")) & (F.col("_day") != F.to_date("fetched_at").cast("string"))
+        F.col("_day").isNotNull() & (F.col("_day") != F.to_date("fetched_at").cast("string")) & text.is_news_title(F.col("_title"))
         & (no_link | urls.is_post_link(F.col("_link"), F.col("url")))
     )
     kept = read.filter(usable).withColumn("_escaped", json_escaped("_raw"))
@@ -378,17 +377,6 @@ def _fits(title: Column, limits: tuple[int, int]) -> Column:
     return F.length(title).between(*limits)
 
 
-def _anchor_structs(html: Column, base: Column) -> Column:
-    """Anchors of a fragment as array<struct<link, text>>."""
-    found = F.regexp_extract_all(html, F.lit(fixed.ANCHOR), 0)
-    parts = F.transform(found, lambda a: F.struct(
-        text.common_entities(text.strip(text.first_group(F.regexp_extract(a, fixed.ANCHOR, 1), fixed.HREF))).alias("href"),
-        text.fragment_text(F.regexp_extract(a, fixed.ANCHOR, 2)).alias("text"),
-    ))
-    kept = F.filter(parts, lambda p: p["href"].isNotNull() & ~p["href"].rlike("^(?:#|mailto:|tel:|javascript:)"))
-    return F.transform(kept, lambda p: F.struct(urls.absolute(base, p["href"]).alias("link"), p["text"].alias("text")))
-
-
 def _names_headline(link: Column, label: Column, title: Column) -> Column:
     """A link whose text is or holds the headline, or whose address spells it (twelve characters or more)."""
     key, wanted = F.lower(F.trim(title)), F.left(text.slug(title), F.lit(40))
@@ -402,9 +390,11 @@ def news_facts(pages: DataFrame, limit: int = fixed.TOP_K["news_items"]) -> Data
     from_blocks = block_items(pages)
     without = pages.join(from_blocks.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_anti")
     items = from_blocks.unionByName(time_tag_items(without))
-    named = pages.select(*PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"))
-    full = top_k(items, PAGE_KEY, ["item_ord"], limit).join(named, PAGE_KEY).join(context_names(pages).drop("json_name"), PAGE_KEY, "left")
-    full = _twice_decoded(full, "title", "_decoded").withColumn("_headline", text.plain_headline(F.col("_decoded"))).filter("_headline <> ''")
+    named = pages.select(
+        *PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"), context_name(F.col("raw_html")).alias("context_name")
+    )
+    full = top_k(items, PAGE_KEY, ["item_ord"], limit).join(named, PAGE_KEY)
+    full = computed(_twice_decoded(full, "title", "_decoded"), _headline=text.plain_headline(F.col("_decoded"))).filter("_headline <> ''")
     value = text.with_post_link(F.concat("_headline", F.lit(" ("), "day", F.lit(")")), F.col("link"))
     return _facts(full, 4, "text", field=F.lit("dated_activity"), value=value, evidence_span=F.col("title"), effective_date=F.col("day"))
 
@@ -416,23 +406,26 @@ def block_items(pages: DataFrame) -> DataFrame:
     today = F.to_date("fetched_at")
     blocks = item_blocks(pages, carry)
     tag = text.first_group(F.col("block"), fixed.TIME_TAG)
-    dated = blocks.withColumn("day", F.coalesce(dates.first_date(tag, today), dates.first_date(text.fragment_text(F.col("block")), today))).filter(
-        "day IS NOT NULL"
-    ).filter(F.col("day") != today.cast("string"))
+    dated = computed(
+        blocks, day=F.coalesce(dates.first_date(tag, today), dates.first_date(text.fragment_text(F.col("block")), today))
+    ).filter("day IS NOT NULL").filter(F.col("day") != today.cast("string"))
     headings = F.transform(F.regexp_extract_all("block", F.lit(fixed.HEADING_1_4), 1), lambda h: text.squeeze(text.strip_tags(h)))
-    anchors = F.transform(_anchor_structs(F.col("block"), F.col("url")), lambda a: a["text"])
-    decoded = dated.withColumn("_headings", text.decode_all_entities(headings)).withColumn("_anchors", anchors)
+    read = dated.withColumn("_headings", text.decode_all_entities(headings))
+    read = computed(read, _anchors=anchors(F.col("block"), F.col("url"))).drop("block")
     fitting = F.filter("_headings", lambda h: _fits(h, fixed.NEWS_TITLE_CHARS))
-    labels = F.filter("_anchors", lambda a: _fits(a, fixed.NEWS_TITLE_CHARS) & dates.first_date(a, today).isNull())
-    titled = decoded.withColumn("title", F.coalesce(F.get(fitting, F.lit(0)), F.get(labels, F.lit(0)))).filter("title IS NOT NULL").filter(
-        text.is_news_title(F.col("title")) & dates.first_date(F.col("title"), today).isNull()
-    )
-    inside = F.filter(_anchor_structs(F.col("block"), F.col("url")), lambda a: urls.is_post_link(a["link"], F.col("url")))
-    linked = titled.withColumn("_inside", F.get(inside, F.lit(0))["link"]).drop("block", "_headings", "_anchors")
+    labels = F.filter(
+        F.transform("_anchors", lambda a: a["text"]), lambda t: _fits(t, fixed.NEWS_TITLE_CHARS) & dates.first_date(t, today).isNull()
+    )
+    inside = F.filter("_anchors", lambda a: urls.is_post_link(a["link"], F.col("url")))
+    titled = computed(read, title=F.coalesce(F.get(fitting, F.lit(0)), F.get(labels, F.lit(0)))).filter("title IS NOT NULL")
+    linked = computed(
+        titled, _news=text.is_news_title(F.col("title")) & dates.first_date(F.col("title"), today).isNull(), _inside=F.get(inside, F.lit(0))["link"]
+    ).filter("_news").drop("_news", "_headings", "_anchors")
     elsewhere = linked.filter("_inside IS NULL")
-    page_posts = page_links(pages.withColumn("_page", F.struct(*PAGE_KEY)), "_page", "url", "raw_html").filter(
-        urls.is_post_link(F.col("link"), F.col("page_url"))
-    ).select("_page.*", F.col("ord").alias("_link_ord"), F.col("link").alias("_link"), F.col("text").alias("_label"))
+    on_pages = page_links(pages.withColumn("_page", F.struct(*PAGE_KEY)), "_page", "url", "raw_html")
+    page_posts = computed(on_pages, _post=urls.is_post_link(F.col("link"), F.col("page_url"))).filter("_post").select(
+        "_page.*", F.col("ord").alias("_link_ord"), F.col("link").alias("_link"), F.col("text").alias("_label")
+    )
     matched = elsewhere.join(page_posts, PAGE_KEY).filter(_names_headline(F.col("_link"), F.col("_label"), F.col("title")))
     beside = matched.groupBy(*PAGE_KEY, "block_ord").agg(F.min_by("_link", "_link_ord").alias("_beside"))
     resolved = linked.join(beside, [*PAGE_KEY, "block_ord"], "left").withColumn("link", F.coalesce("_inside", "_beside")).filter("link IS NOT NULL")
@@ -456,7 +449,7 @@ def time_tag_items(pages: DataFrame) -> DataFrame:
     within 400 characters after it, else before it, provided a post link stands there too."""
     today = F.to_date("fetched_at")
     cleaned = pages.filter(F.col("raw_html").rlike(fixed.TIME_TAG)).select(*PAGE_KEY, "url", "fetched_at", text.cut_scripts(F.col("raw_html")).alias("_html"))
-    around = "(?is)" + _before(fixed.NEARBY_CHARS) + fixed.TIME_TAG.replace("(?is)", "") + _AFTER
+    around = r"(?is)(?=<time\b)" + _before(fixed.NEARBY_CHARS) + fixed.TIME_TAG.replace("(?is)", "") + _AFTER
 
     def captured(group: int) -> Column:
         return F.regexp_extract_all("_html", F.lit(around), group)
@@ -465,14 +458,15 @@ def time_tag_items(pages: DataFrame) -> DataFrame:
         *PAGE_KEY, "url", "fetched_at",
         F.posexplode(F.arrays_zip(captured(1).alias("far"), captured(2).alias("near"), captured(3).alias("at"), captured(4).alias("after"))).alias("item_ord", "_t"),
     )
-    rows = tags.select(
-        *PAGE_KEY, "url", "fetched_at", "item_ord", dates.first_date(F.col("_t.at"), today).alias("day"),
+    dated = computed(tags, day=dates.first_date(F.col("_t.at"), today)).filter("day IS NOT NULL").filter(F.col("day") != today.cast("string"))
+    rows = dated.select(
+        *PAGE_KEY, "url", "fetched_at", "item_ord", "day",
         F.posexplode(F.array(F.col("_t.after"), F.concat(F.coalesce("_t.far", F.lit("")), F.coalesce("_t.near", F.lit(""))))).alias("side", "window"),
-    ).filter("day IS NOT NULL").filter(F.col("day") != today.cast("string"))
+    )
     headings = F.transform(F.regexp_extract_all("window", F.lit(fixed.NEARBY_HEADING), 1), text.fragment_text)
     title = F.get(F.filter(headings, lambda h: _fits(h, fixed.NEWS_TITLE_CHARS) & dates.first_date(h, today).isNull()), F.lit(0))
-    posts = F.filter(_anchor_structs(F.col("window"), F.col("url")), lambda a: urls.is_post_link(a["link"], F.col("url")))
-    found = rows.withColumn("title", title).withColumn("_posts", posts).filter("title IS NOT NULL AND size(_posts) > 0")
+    posts = F.filter(anchors(F.col("window"), F.col("url")), lambda a: urls.is_post_link(a["link"], F.col("url")))
+    found = computed(rows, title=title, _posts=posts).filter("title IS NOT NULL AND size(_posts) > 0")
     naming = F.get(F.filter("_posts", lambda a: _names_headline(a["link"], a["text"], F.col("title"))), F.lit(0))["link"]
     only = F.when(F.size(F.array_distinct(F.transform("_posts", lambda a: a["link"]))) == 1, F.get("_posts", F.lit(0))["link"])
     nearest = first_wins(
@@ -507,28 +501,28 @@ def role_links(pages: DataFrame) -> DataFrame:
     title. The title is the link's own heading or text, the heading just above a "read more", or the
     first line of a card."""
     cleaned = pages.select(*PAGE_KEY, "url", text.cut_scripts(F.col("raw_html")).alias("_html"))
-    pattern = "(?is)" + _before(fixed.LOOKBACK_CHARS) + fixed.ANCHOR.replace("(?is)", "")
+    pattern = r"(?is)(?=<a\b)" + _before(fixed.LOOKBACK_CHARS) + fixed.ANCHOR.replace("(?is)", "")
 
     def captured(group: int) -> Column:
         return F.regexp_extract_all("_html", F.lit(pattern), group)
 
-    anchors = cleaned.select(
+    found = cleaned.select(
         *PAGE_KEY, "url",
         F.posexplode(F.arrays_zip(captured(1).alias("far"), captured(2).alias("near"), captured(3).alias("attrs"), captured(4).alias("inner"))).alias("item_ord", "_a"),
     )
     raw = text.common_entities(text.strip(text.first_group(F.col("_a.attrs"), fixed.HREF)))
-    read = anchors.select(*PAGE_KEY, "url", "item_ord", "_a", raw.alias("_raw")).filter(
-        F.col("_raw").isNotNull() & ~F.col("_raw").rlike("^(?:#|mailto:|tel:|javascript:)")
-    ).withColumn("link", urls.absolute(F.col("url"), F.col("_raw")))
+    read = computed(found, _raw=raw).filter(F.col("_raw").isNotNull() & ~F.col("_raw").rlike("^(?:#|mailto:|tel:|javascript:)"))
+    read = computed(read, link=urls.absolute(F.col("url"), F.col("_raw")))
     link = F.col("link")
+    read = computed(
+        read, _identity=urls.page_identity(link), _host=urls.host(link), _base=urls.base_domain(urls.host(F.col("url"))), _own=urls.page_identity(F.col("url"))
+    )
     board = link.rlike(fixed.JOB_BOARD_AD)
-    reachable = (urls.base_domain(urls.host(link)) == urls.base_domain(urls.host(F.col("url")))) | urls.on_any(urls.host(link), fixed.ATS_HOSTS) | board
+    reachable = (urls.base_domain(F.col("_host")) == F.col("_base")) | urls.on_any(F.col("_host"), fixed.ATS_HOSTS) | board
     is_ad = (link.rlike(fixed.JOB_DETAIL) | board) & ~link.rlike(fixed.NOT_A_ROLE_PATH)
-    ads = read.withColumn("_identity", urls.page_identity(link)).filter(
-        reachable & is_ad & (F.col("_identity") != urls.page_identity(F.col("url")))
-    )
-    titled = ads.withColumn("title", _role_title()).filter("title IS NOT NULL")
-    titled = titled.filter(~F.col("title").rlike(f"{fixed.NAV_LINK_TEXT}") & ~F.col("title").rlike(fixed.BOILERPLATE_TEXT) & ~F.col("title").rlike(fixed.AD_SECTION))
+    ads = read.filter(is_ad & reachable & (F.col("_identity") != F.col("_own")))
+    titled = computed(ads, title=_role_title()).filter("title IS NOT NULL")
+    titled = titled.filter(~F.col("title").rlike(fixed.NAV_LINK_TEXT) & ~F.col("title").rlike(fixed.BOILERPLATE_TEXT) & ~F.col("title").rlike(fixed.AD_SECTION))
     slim = titled.select(*PAGE_KEY, "item_ord", "title", "link", "_identity", F.lower("title").alias("_t"))
     by_address = first_wins(slim, [*PAGE_KEY, "_identity"], ["item_ord"])
     return first_wins(by_address, [*PAGE_KEY, "_t"], ["item_ord"]).drop("_identity", "_t")
@@ -555,9 +549,9 @@ def careers_facts(pages: DataFrame, limit: int = fixed.TOP_K["role_ads"]) -> Dat
     itself when it is a single ad. Nothing when it says there are no openings or is an error page."""
     html = F.col("raw_html")
     careers = pages.filter(urls.is_careers_url(F.col("url")))
-    read = careers.select(*careers.columns, text.page_heading(html).alias("_heading"), content_hash(html).alias("content_hash"))
-    live = read.filter(
-        ~text.fragment_text(text.cut_scripts(html)).rlike(fixed.NO_OPENINGS) & F.col("_heading").isNotNull() & ~F.col("_heading").rlike(fixed.ERROR_PAGE)
+    read = computed(careers, _heading=text.page_heading(html), content_hash=content_hash(html), context_name=context_name(html))
+    live = read.filter(F.col("_heading").isNotNull() & ~F.col("_heading").rlike(fixed.ERROR_PAGE)).filter(
+        ~text.fragment_text(text.cut_scripts(html)).rlike(fixed.NO_OPENINGS)
     )
     roles = role_links(live)
     counted = roles.join(live.select(*PAGE_KEY, "url"), PAGE_KEY).groupBy(*PAGE_KEY).agg(
@@ -565,15 +559,14 @@ def careers_facts(pages: DataFrame, limit: int = fixed.TOP_K["role_ads"]) -> Dat
         F.max(urls.base_domain(urls.host(F.col("link"))) != urls.base_domain(urls.host(F.col("url")))).alias("_off_site"),
     )
     listing = counted.filter((F.col("_n") >= fixed.MIN_ROLE_LINKS) | F.col("_off_site")).select(*PAGE_KEY)
-    named = live.join(context_names(live).drop("json_name"), PAGE_KEY, "left")
-    listed = top_k(roles.join(listing, PAGE_KEY, "left_semi"), PAGE_KEY, ["item_ord"], limit).join(named, PAGE_KEY)
+    listed = top_k(roles.join(listing, PAGE_KEY, "left_semi"), PAGE_KEY, ["item_ord"], limit).join(live, PAGE_KEY)
     span = F.coalesce(text.span_for_text(html, F.col("title")), F.col("title"))
     ads = _facts(
         listed, 4, "text", field=F.lit("hiring_signal"),
         value=F.concat(F.lit(f"{fixed.ROLE_PREFIX}: "), "title", F.lit(" - "), urls.clean_page(F.col("link"))), evidence_span=span,
     )
     on_platform = urls.on_any(urls.host(F.col("url")), fixed.ATS_HOSTS)
-    single = named.join(listing, PAGE_KEY, "left_anti").filter(
+    single = live.join(listing, PAGE_KEY, "left_anti").filter(
         ~html.rlike(r'(?iU)"@type"\s*:\s*"JobPosting"') & F.col("url").rlike(fixed.JOB_DETAIL)
         & (on_platform | F.col("_heading").rlike(fixed.CAREERS_HEADING))
     )
