@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["extraction"]
+_MODULES = ["gate_checks"]
 
 
 def load():

@@ -10,6 +10,11 @@ from factloom.catalog.registry import table
 READ_AT = "2024-06-01 00:00:00"
 
 
+def words(*parts) -> Column:
+    """Literals and columns joined into one string."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def companies(spark: SparkSession, sf: str) -> DataFrame:
     """One company per customer, named after the part of the same number; names repeat heavily."""
     key = F.col("c_custkey")

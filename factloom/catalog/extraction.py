@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.catalog import derived
 from factloom.catalog import sql as S
+from factloom.catalog.derived import words as _text
 from factloom.catalog.registry import query, table
 from factloom.functions import fixed, registry, text, urls
 from factloom.operators import gates, pages
@@ -14,10 +15,6 @@ KEY, NAME = F.col("c_custkey"), F.col("p_name")
 _SITE = "'https://' || replace(p_name, ' ', '') || '.no'"
 
 
-def _text(*parts):
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _facts(df, field):
     return df.filter(F.col("field") == field)
 

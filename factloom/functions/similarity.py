@@ -106,7 +106,8 @@ def contained(a: Column, b: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """0-100: best partial alignment, halved when it is not exact and the shorter name has 12
-    characters or fewer."""
+    characters or fewer. Pass plain columns: arguments holding lambdas keep Spark from recognising
+    the repeated call as one."""
     x, y = F.lower(a), F.lower(b)
     open_pair = ~F.coalesce(contained(a, b), F.lit(True))
     score = F.coalesce(_window_score(F.when(open_pair, x), F.when(open_pair, y)), F.lit(100.0))

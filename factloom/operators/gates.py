@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import fixed, names, registry, similarity, social, text, urls
-from factloom.operators.ordered import first_wins, top_k
+from factloom.operators.ordered import first_wins
 from factloom.operators.pages import canonical_link, content_hash, context_name
+from factloom.operators.staging import computed
 
 _MANAGED_FIELDS = ["company_profile", "hiring_signal", "dated_activity"]
 _NAME_FIELDS = ["organization_name", "page_text"]
@@ -48,10 +49,10 @@ def judge_facts(facts: DataFrame, entities: DataFrame, towns: DataFrame) -> Data
     about = entities.select("org_number", "legal_name", "official_site", "registered_address")
     joined = facts.join(about, "org_number", "left")
     name, site, field, value = (F.col(c) for c in ("legal_name", "official_site", "field", "value"))
-    joined = joined.withColumn("_from", provenance(F.col("source_url"), F.col("linked_from"), site)).withColumn(
-        "_profile", F.when(field == "company_profile", social.canonical(value))
-    ).withColumn("_account", social.account_name(F.col("_profile"))).withColumn(
-        "_own", F.when(F.col("_profile").isNotNull(), social.own_letters(name, site, F.col("registered_address")))
+    joined = computed(joined, _from=provenance(F.col("source_url"), F.col("linked_from"), site), _profile=F.when(field == "company_profile", social.canonical(value)))
+    joined = computed(
+        joined, _account=social.account_name(F.col("_profile")),
+        _own=F.when(F.col("_profile").isNotNull(), social.own_letters(name, site, F.col("registered_address"))),
     )
     in_town = branch_towns(joined.filter("_profile IS NOT NULL"), towns, "_account", "_own").withColumn("_branch", F.lit(True))
     joined = joined.join(in_town, ["_account", "_own"], "left")
@@ -61,12 +62,15 @@ def judge_facts(facts: DataFrame, entities: DataFrame, towns: DataFrame) -> Data
     larger_site = (field == "hiring_signal") & value.rlike(_CAREERS_PREFIXES) & urls.is_deep_page(site)
     managed = field.isin(_MANAGED_FIELDS) & names.is_housing_coop(name) & urls.host(F.col("source_url")).isin(fixed.MANAGER_HOSTS)
     early = F.when(anonymous, "no_identity").when(off_site, "off_site").when(larger_site, "larger_site").when(managed, "manager_content")
-    staged = joined.withColumn("_early", early)
-    alive = F.col("_early").isNull()
     named_after = F.col("_profile").isNotNull() & social.resembles(F.col("_profile"), names.identity_tokens(name, F.lit("")))
-    context = F.when(alive & ~F.coalesce(named_after, F.lit(False)), F.col("context_name"))
-    scored = staged.withColumn("_context_score", similarity.name_similarity(name, context)).withColumn(
-        "_value_score", similarity.name_similarity(name, F.when(alive & field.isin(_NAME_FIELDS), value))
+    # The similarity function reads plain columns, filled only for the facts that still need a score.
+    staged = computed(joined, _early=early, _named_after=F.coalesce(named_after, F.lit(False)))
+    alive = F.col("_early").isNull()
+    staged = computed(
+        staged, _context=F.when(alive & ~F.col("_named_after"), F.col("context_name")), _claimed=F.when(alive & field.isin(_NAME_FIELDS), value)
+    )
+    scored = staged.withColumn("_context_score", similarity.name_similarity(name, F.col("_context"))).withColumn(
+        "_value_score", similarity.name_similarity(name, F.col("_claimed"))
     )
     host, official = urls.host(value), urls.host(site)
     other_site = (field == "official_site") & ~(urls.on_site(host, official) | urls.on_site(official, host))

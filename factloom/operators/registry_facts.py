@@ -269,11 +269,11 @@ def cited_to_own_response(list_filings: DataFrame, year_filings: DataFrame) -> D
     ).filter("_n = 1")
     joined = list_filings.join(matched, ["org_number", "period_end"], "left")
     own = F.col("_n").isNotNull() & F.col("rank").isNotNull()
-    out = joined.withColumn("url", F.when(own, F.col("_url")).otherwise(F.col("url"))).withColumn(
-        "content_hash", F.when(own, F.col("_hash")).otherwise(F.col("content_hash"))
-    ).withColumn("filing_text", F.when(own, F.col("_text")).otherwise(F.col("filing_text")))
-    for name, _ in fixed.METRICS:
-        out = out.withColumn(name, F.when(own, F.col(f"_{name}")).otherwise(F.col(name)))
+    out = joined.withColumns({
+        "url": F.when(own, F.col("_url")).otherwise(F.col("url")), "content_hash": F.when(own, F.col("_hash")).otherwise(F.col("content_hash")),
+        "filing_text": F.when(own, F.col("_text")).otherwise(F.col("filing_text")),
+        **{name: F.when(own, F.col(f"_{name}")).otherwise(F.col(name)) for name, _ in fixed.METRICS},
+    })
     return out.select(*list_filings.columns)
 
 
@@ -370,9 +370,10 @@ def relocate_own_workplace(facts: DataFrame, hints: DataFrame) -> DataFrame:
     """An own-location workplace without a web source is cited to the live record's address object."""
     joined = facts.join(hints.filter("address_span IS NOT NULL").select("org_number", "record_url", "address_span"), "org_number", "left")
     moved = (F.col("field") == "workplace") & ~F.coalesce("source_url", F.lit("")).startswith("http") & F.col("record_url").isNotNull()
-    return joined.withColumn("source_url", F.when(moved, F.col("record_url")).otherwise(F.col("source_url"))).withColumn(
-        "evidence_span", F.when(moved, F.col("address_span")).otherwise(F.col("evidence_span"))
-    ).drop("record_url", "address_span")
+    return joined.withColumns({
+        "source_url": F.when(moved, F.col("record_url")).otherwise(F.col("source_url")),
+        "evidence_span": F.when(moved, F.col("address_span")).otherwise(F.col("evidence_span")),
+    }).drop("record_url", "address_span")
 
 
 # --- registry updates ---------------------------------------------------------------------
