@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["gate_checks"]
+_MODULES = ["linkage","aggregates"]
 
 
 def load():
