@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["linkage","aggregates"]
+_MODULES = ["summaries"]
 
 
 def load():

@@ -152,7 +152,7 @@ def structured_facts(pages: DataFrame) -> DataFrame:
     linked = F.transform("profiles", lambda f: _fact_struct("company_profile", f["value"], f["owner"], f["span"]))
     facts = F.concat(job, dated, organisation, website, address, staff, linked)
     out = rows.select(*page, "obj_ord", F.posexplode(facts).alias("_n", "_f"))
-    return _facts(out.select(*page, "_f.*", (F.col("obj_ord") * 100_000 + F.col("_n")).alias("item_ord")), 0, "structured")
+    return _facts(out.select(*page, "_f.*", (F.col("obj_ord").cast("bigint") * 100_000 + F.col("_n")).alias("item_ord")), 0, "structured")
 
 
 def _fact_struct(field: str, value: Column, context: Column | None = None, span: Column | None = None, day: Column | None = None) -> Column:

@@ -304,7 +304,7 @@ def accounts_facts(company: DataFrame) -> DataFrame:
     )
     lines = _facts(
         company.withColumn("value", line).filter("value IS NOT NULL"), 12, reporting_period=period, effective_date=F.col("period_end"),
-        item_ord=F.datediff(F.lit("2500-01-01"), F.col("period_end")), evidence_span=span,
+        item_ord=F.datediff(F.lit("2500-01-01").cast("date"), F.col("period_end").try_cast("date")), evidence_span=span,
         field=F.when(F.col("rank") == 1, "annual_accounts_latest").otherwise("annual_accounts_history"),
     )
     return figures.unionByName(lines)

@@ -200,8 +200,8 @@ def ordered_claims(claims: DataFrame) -> DataFrame:
     The order is total: ties end at the value."""
     rank = evidence.field_rank(F.col("field"))
     block = (
-        rank * 10**10 + F.coalesce("stage_ord", F.lit(0)) * 10**8
-        + F.least(F.floor(F.coalesce("page_ord", F.lit(0)) / 64), F.lit(10**8 - 1))
+        rank.cast("bigint") * 10**10 + F.coalesce(F.col("stage_ord"), F.lit(0)).cast("bigint") * 10**8
+        + F.least(F.floor(F.coalesce(F.col("page_ord"), F.lit(0)) / 64), F.lit(10**8 - 1))
     )
     placed = claims.withColumn("_rank", rank.cast("bigint")).withColumn("_block", block.cast("bigint")).withColumn(
         "_tie", F.concat_ws("\0", F.coalesce("value", F.lit("")), F.coalesce("reporting_period", F.lit("")), F.coalesce("source", F.lit("")))

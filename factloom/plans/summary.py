@@ -253,10 +253,10 @@ def renames(claims: DataFrame) -> DataFrame:
 def recorded_changes(claims: DataFrame, runs: DataFrame) -> DataFrame:
     """(org_number, record_text, record_cited): dated changes the claims themselves hold. Role groups within
     three calendar years, the newest renaming within five, the newest registry update."""
-    today = runs.select(KEY, F.year(F.col("run_day").cast("date")).alias("_year"))
+    today = runs.select(KEY, F.year(F.col("run_day").try_cast("date")).alias("_year"))
 
     def within(years: int) -> Column:
-        return F.left("day", F.lit(4)).cast("int") >= F.col("_year") - years
+        return F.left("day", F.lit(4)).try_cast("int") >= F.col("_year") - years
 
     groups = role_changes(claims).join(today, KEY).filter(within(3)).select(
         KEY, "claim_no", "day", F.lit(0).alias("_kind"), F.concat("group", F.lit(" changed "), "day").alias("phrase")
@@ -272,7 +272,7 @@ def recorded_changes(claims: DataFrame, runs: DataFrame) -> DataFrame:
     updated = updates.groupBy(KEY).agg(F.max_by(F.struct("day", "claim_no"), F.struct("day", "_o")).alias("_n")).select(
         KEY, "_n.claim_no", "_n.day", F.lit(2).alias("_kind"), F.concat(F.lit("registry record updated "), "_n.day").alias("phrase")
     )
-    rows = groups.unionByName(renamed).unionByName(updated).withColumn("_late", -F.datediff(F.col("day").cast("date"), F.lit("1900-01-01").cast("date")))
+    rows = groups.unionByName(renamed).unionByName(updated).withColumn("_late", -F.datediff(F.col("day").try_cast("date"), F.lit("1900-01-01").cast("date")))
     listed = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("_kind", "_late", "phrase", "claim_no"))).alias("_l"))
     return listed.select(
         KEY, F.array_join(F.transform("_l", lambda r: r["phrase"]), ", ").alias("record_text"), F.transform("_l", lambda r: r["claim_no"]).alias("record_cited")
@@ -393,7 +393,7 @@ def headline() -> Column:
 def signals(claims: DataFrame, runs: DataFrame, wide: DataFrame) -> DataFrame:
     """(org_number, signal_ord, text, fields, cited): at most six flags a reader acts on. `wide` is the
     joined scalar and metric frame."""
-    today = F.col("run_day").cast("date")
+    today = F.col("run_day").try_cast("date")
 
     def within(day: Column, days: int) -> Column:
         return F.datediff(today, F.left(day, F.lit(10)).try_cast("date")).between(0, days)
