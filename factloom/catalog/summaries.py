@@ -12,8 +12,21 @@ from factloom.catalog.derived import words
 from factloom.catalog.registry import query
 from factloom.operators import registry_facts
 from factloom.plans import assembly, envelope, summary
+from factloom.session import materialise
 
 KEY, NAME = F.col("c_custkey"), F.col("p_name")
+_WRITTEN: dict[tuple, object] = {}
+
+
+def _once(spark, sf, label, build):
+    """A stage written out once per session and read by every query that needs it: plans over claims stay
+    small because they start from a table, as a run's do."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialise(build(), label)
+    return _WRITTEN[key]
+
+
 RUN_DAY = "2024-06-01"
 _READ = "c_custkey % 17 <> 0 AND c_custkey % 19 <> 0"
 _KNOWN = f"{_READ} AND c_custkey % 23 <> 0"
@@ -26,26 +39,37 @@ def _runs(claims, first=True):
 
 
 def _registry_claims(spark, sf):
-    """Claims built from every kind of registry response but the accounts."""
+    """(entities, claims) from every kind of registry response but the accounts."""
+    entities = _once(spark, sf, "entities", lambda: registry_facts.resolve(derived.entity_responses(spark, sf)))
+    facts = _once(spark, sf, "registry-facts", lambda: _registry_facts(spark, sf, entities))
+    states = entities.select("org_number", F.lit("not_available").alias("accounts_state"))
+    previous = schemas.conform(entities.filter("false"), schemas.CLAIM)
+    return entities, _once(spark, sf, "registry-claims", lambda: assembly.build_claims(entities, facts, states, previous))
+
+
+def _registry_facts(spark, sf, entities):
     responses = derived.entity_responses(spark, sf)
-    entities = registry_facts.resolve(responses)
     parts = [
         registry_facts.live_facts(responses), registry_facts.rename_facts(responses), registry_facts.role_facts(derived.role_responses(spark, sf)),
         registry_facts.workplace_facts(derived.subunit_responses(spark, sf), entities), registry_facts.update_facts(derived.update_responses(spark, sf)),
     ]
-    facts = reduce(lambda a, b: a.unionByName(b), parts)
-    states = entities.select("org_number", F.lit("not_available").alias("accounts_state"))
-    previous = schemas.conform(entities.filter("false"), schemas.CLAIM)
-    return entities, assembly.build_claims(entities, facts, states, previous)
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _filing_claims(spark, sf):
-    company = registry_facts.company_filings(registry_facts.filings(derived.accounts_responses(spark, sf)))
-    return assembly.ordered_claims(assembly.available_claims(registry_facts.accounts_facts(company)))
+    def build():
+        company = registry_facts.company_filings(registry_facts.filings(derived.accounts_responses(spark, sf)))
+        return assembly.ordered_claims(assembly.available_claims(registry_facts.accounts_facts(company)))
+
+    return _once(spark, sf, "filing-claims", build)
 
 
 def _made_claims(spark, sf):
     """A small profile per company with every kind of claim a summary reads."""
+    return _once(spark, sf, "made-claims", lambda: _profile_claims(spark, sf))
+
+
+def _profile_claims(spark, sf):
     c = derived.companies(spark, sf)
 
     def claim(n, field, value, day=None, source=None, source_class="company_owned", span=None, period=None):
@@ -101,12 +125,12 @@ def _(spark, sf):
 
 @query("p3_b47_brand_part", f"""
 WITH {S.COMPANIES}
-SELECT org_number, CASE c_custkey % 3 WHEN 0 THEN legal_name WHEN 1 THEN 'Slagord uten navn | Noe annet' END AS value, CASE WHEN c_custkey % 3 = 2 THEN 'not_available' ELSE 'available' END AS state FROM companies""")
+SELECT org_number, CASE c_custkey % 3 WHEN 0 THEN legal_name WHEN 1 THEN 'Zzzz | Qqqq' END AS value, CASE WHEN c_custkey % 3 = 2 THEN 'not_available' ELSE 'available' END AS state FROM companies""")
 def _(spark, sf):
     c = derived.companies(spark, sf)
     kind = KEY % 3
     facts = schemas.conform(
-        c.select("org_number", F.lit("organization_name").alias("field"), F.when(kind == 1, "Slagord uten navn | Noe annet").otherwise(words("Hjem - Kvalitet siden 1950 | ", F.col("legal_name"))).alias("value"),
+        c.select("org_number", F.lit("organization_name").alias("field"), F.when(kind == 1, "Zzzz | Qqqq").otherwise(words("Hjem - Kvalitet siden 1950 | ", F.col("legal_name"))).alias("value"),
                  F.when(kind == 2, "https://x.no/").alias("linked_from")),
         schemas.CONFIRMED_FACT, stage_ord=F.lit(0), page_ord=F.lit(0), item_ord=F.lit(0),
     )
@@ -224,6 +248,7 @@ def _(spark, sf):
 
 
 def _summary(claims):
+    """(sentences, signals, overview) of first runs."""
     runs = _runs(claims)
     changes = claims.filter("false").select("org_number", "field", F.lit("changed").alias("kind"), F.col("value").alias("old"), F.col("value").alias("new"))
     return summary.build(claims, runs, changes)
@@ -246,7 +271,8 @@ def _(spark, sf):
 
 def _envelopes(spark, sf):
     claims = _made_claims(spark, sf)
-    sentences, signals, overview = _summary(claims)
+    built = _summary(claims)
+    sentences, signals, overview = (_once(spark, sf, label, lambda df=df: df) for label, df in zip(("sentences", "signals", "overview"), built))
     texts = claims.filter("false").select("org_number", F.col("value").alias("text"))
     run = claims.select("org_number").distinct().select(
         "org_number", F.lit("run-1").alias("run_id"), F.lit(derived.READ_AT).cast("timestamp").alias("started_at"), F.lit(derived.READ_AT).cast("timestamp").alias("completed_at"))
