@@ -3,7 +3,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["summaries"]
+_MODULES = [
+    "links", "sources", "urls", "text", "names", "extraction", "registry_records", "gate_checks", "linkage", "aggregates", "windows", "sets",
+    "summaries", "streams",
+]
 
 
 def load():

@@ -188,7 +188,7 @@ f AS (SELECT CAST(900000000 + o_orderkey AS VARCHAR) AS org_number, o_orderkey,
 @query("k3_accounts_sentence", f"""
 WITH {_FILED}
 SELECT org_number, 'In FY' || y || ' (company accounts, year to ' || y || '-12-31), revenue grew ' || printf('%.1f', (r - rb) * 1.0 / rb * 100) || '% on FY' || (y - 1) || ' to ' || {_short("r")} ||
-  CASE WHEN n IS NULL THEN '' ELSE ' and the company made a ' || CASE WHEN n >= 0 THEN 'net profit' ELSE 'net loss' END || ' of ' || {_short("abs(n)")} || ' (' || printf('%.1f', abs(n * 1.0 / r * 100)) || '% of revenue), ' ||
+  CASE WHEN n IS NULL THEN '' ELSE ' and the company made a ' || CASE WHEN n >= 0 THEN 'net profit' ELSE 'net loss' END || ' of ' || {_short("abs(n)")} || CASE WHEN abs(n * 1.0 / r * 100) < 1000 THEN ' (' || printf('%.1f', abs(n * 1.0 / r * 100)) || '% of revenue), ' ELSE ', ' END ||
     CASE WHEN n = 0 THEN 'down from 0 NOK in FY' || (y - 1) ELSE 'about the same as in FY' || (y - 1) END END || ' (percentages calculated).' AS text FROM f""")
 def _(spark, sf):
     claims = _filing_claims(spark, sf)
