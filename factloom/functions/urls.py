@@ -33,10 +33,14 @@ def fragment(url: Column) -> Column:
     return F.regexp_extract(url, _PARTS, 5)
 
 
+# An authority with one kind of bracket only; such a link has no usable parts.
+_MALFORMED = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)"
+# The authority without `www.`; matches nothing when the brackets do not pair up.
+_HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:www\.)?([^/?#\[\]]*|[^/?#\[]*\[[^/?#]*\][^/?#]*)(?:[/?#]|$)"
+
+
 def malformed(url: Column) -> Column:
-    """An authority with unbalanced brackets: such a link has no usable parts."""
-    a = authority(url)
-    return a.contains("[") != a.contains("]")
+    return url.rlike(_MALFORMED)
 
 
 def parse(url: Column) -> Column:
@@ -52,7 +56,7 @@ def without_www(host: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Authority in lower case without `www.`; empty for a malformed link. A port is kept."""
-    return F.when(malformed(url), F.lit("")).otherwise(without_www(authority(url)))
+    return F.regexp_extract(F.lower(url), _HOST, 1)
 
 
 def host_of_site(site: Column) -> Column:
