@@ -235,14 +235,15 @@ def site_ownership(pages: DataFrame, entities: DataFrame) -> DataFrame:
     A page proves the site by the organisation number, or, on a home, contact or about page, by the
     company's own name. Pages outside the domain the site lands on do not count."""
     about = entities.filter("official_site IS NOT NULL AND legal_name IS NOT NULL").select("org_number", "legal_name", "official_site")
+    html, landed = F.col("raw_html"), F.coalesce("final_url", "url")
+    # Everything the decision needs is read in the narrow map; only these columns meet the entities.
     readable = pages.filter("fetch_state = 'available' AND raw_html <> '' AND linked_from IS NULL").select(
-        "org_number", "page_ord", "url", F.coalesce("final_url", "url").alias("landed"), "fetched_at", "raw_html"
+        "org_number", "page_ord", "url", landed.alias("landed"), "fetched_at", content_hash(html).alias("content_hash"), canonical_link(html).alias("canonical"),
+        number_span(html, F.col("org_number")).alias("_number"), F.filter(names.stated_numbers(html), lambda n: n != F.col("org_number")).alias("_others"),
+        F.when(urls.is_owner_page(landed), _own_names(html)).alias("_found"),
     ).join(about, "org_number")
     requested = readable.filter(urls.on_site(urls.host(F.col("url")), urls.host(F.col("official_site"))))
-    home = first_wins(
-        requested.select("org_number", "page_ord", F.col("landed").alias("home_landed"), canonical_link(F.col("raw_html")).alias("canonical"), "official_site"),
-        ["org_number"], ["page_ord"],
-    )
+    home = first_wins(requested.select("org_number", "page_ord", F.col("landed").alias("home_landed"), "canonical", "official_site"), ["org_number"], ["page_ord"])
     official = urls.host(F.col("official_site"))
     moved = ~urls.on_site(urls.host(F.col("home_landed")), official)
     base = F.when(moved, urls.host(F.col("home_landed"))).otherwise(official)
@@ -254,15 +255,8 @@ def site_ownership(pages: DataFrame, entities: DataFrame) -> DataFrame:
         F.when(moved & (urls.query(value) != ""), F.substring_index("home_landed", "?", 1)).otherwise(value).alias("site"),
     )
     own = requested.join(sites, "org_number").filter(~F.col("moved") | (urls.host(F.col("landed")) == F.col("landed_host")))
-    labelled = own.withColumn("_number", number_span(F.col("raw_html"), F.col("org_number"))).withColumn(
-        "_others", F.filter(names.stated_numbers(F.col("raw_html")), lambda n: n != F.col("org_number"))
-    )
-    by_name = name_spans(
-        own.filter(urls.is_owner_page(F.col("landed"))).select("org_number", "page_ord", "raw_html", "legal_name")
-    )
-    proofs = labelled.join(by_name, ["org_number", "page_ord"], "left").select(
-        "org_number", "page_ord", "landed", "fetched_at", content_hash(F.col("raw_html")).alias("content_hash"), "_others",
-        F.coalesce("_number", "name_span").alias("span"),
+    proofs = _with_name_span(own).select(
+        "org_number", "page_ord", "landed", "fetched_at", "content_hash", "_others", F.coalesce("_number", "name_span").alias("span"),
         F.when(F.col("_number").isNotNull(), 0).when(F.col("name_span").isNotNull(), 1).otherwise(2).alias("_rank"),
     )
     # One row per entity before anything wide moves: best proof by (rank, page order), smallest other number.
@@ -287,18 +281,25 @@ def site_ownership(pages: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def name_spans(pages: DataFrame) -> DataFrame:
-    """(org_number, page_ord, name_span): the page's own name for the company, when it reads like it, or
-    the part of its title that holds the whole name. Pages carry legal_name."""
-    read = pages.select(
-        "org_number", "page_ord", "legal_name",
-        F.filter(F.array(context_name(F.col("raw_html")), text.page_heading(F.col("raw_html"))), lambda c: c.isNotNull() & (c != "")).alias("_found"),
-    )
-    scored = read.withColumn("_best", similarity.best_match(F.array("legal_name"), F.col("_found")))
+def _own_names(html: Column) -> Column:
+    """What a page calls its owner: its organisation name and its heading."""
+    return F.filter(F.array(context_name(html), text.page_heading(html)), lambda c: c.isNotNull() & (c != ""))
+
+
+def _with_name_span(rows: DataFrame) -> DataFrame:
+    """Rows with legal_name and `_found` (what the page calls its owner), plus `name_span`: the one that
+    reads like the company, else the part of a title that holds the whole name."""
+    scored = rows.withColumn("_best", similarity.best_match(F.array("legal_name"), F.col("_found")))
     parts = F.flatten(F.transform("_found", lambda c: F.split(c, fixed.TITLE_SEPARATOR)))
     holding = F.get(F.filter(F.transform(parts, F.trim), lambda p: names.holds_whole_name(p, F.col("legal_name"))), F.lit(0))
     span = F.when(F.col("_best.score") >= fixed.SPAN_NAME_THRESHOLD, F.col("_best.text")).otherwise(holding)
-    return scored.select("org_number", "page_ord", span.alias("name_span")).filter("name_span IS NOT NULL")
+    return scored.withColumn("name_span", span).drop("_best")
+
+
+def name_spans(pages: DataFrame) -> DataFrame:
+    """(org_number, page_ord, name_span): the page's own name for the company. Pages carry legal_name."""
+    read = pages.select("org_number", "page_ord", "legal_name", _own_names(F.col("raw_html")).alias("_found"))
+    return _with_name_span(read).select("org_number", "page_ord", "name_span").filter("name_span IS NOT NULL")
 
 
 def registered_site_outcome(ownership: DataFrame, holders: DataFrame) -> DataFrame:

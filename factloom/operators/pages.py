@@ -388,8 +388,8 @@ def news_facts(pages: DataFrame, limit: int = fixed.TOP_K["news_items"]) -> Data
     """Dated headlines of a page's blocks, each with its own post link; where a page has none, its
     <time> tags paired with the nearest heading."""
     from_blocks = block_items(pages)
-    without = pages.join(from_blocks.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_anti")
-    items = from_blocks.unionByName(time_tag_items(without))
+    # The fallback is read from every page and dropped by key: items are small, pages are not.
+    items = from_blocks.unionByName(time_tag_items(pages).join(from_blocks.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_anti"))
     named = pages.select(
         *PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"), context_name(F.col("raw_html")).alias("context_name")
     )
@@ -591,9 +591,9 @@ def main_text(pages: DataFrame, key: list[str], host: str, html: str, shared_by:
 
 def fallback_text_facts(pages: DataFrame, structured: DataFrame) -> DataFrame:
     """`page_text` for pages without structured facts: their own lines, one fact per line."""
-    bare = pages.join(structured.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_anti").withColumn("_host", urls.host(F.col("url")))
-    lines = main_text(bare, PAGE_KEY, "_host", "raw_html")
-    named = bare.select(*PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"))
+    hosted = pages.withColumn("_host", urls.host(F.col("url")))
+    lines = main_text(hosted, PAGE_KEY, "_host", "raw_html").join(structured.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_anti")
+    named = pages.select(*PAGE_KEY, "url", "fetched_at", "linked_from", content_hash(F.col("raw_html")).alias("content_hash"))
     return _facts(
         lines.withColumnRenamed("ord", "item_ord").join(named, PAGE_KEY), 1, "text", field=F.lit("page_text"), value=F.col("line"), evidence_span=F.col("line")
     )
