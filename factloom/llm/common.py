@@ -35,6 +35,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """`df` written once as a table bucketed by `key`: joins on the key leave its rows where they are."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(partitions(spark), key).option("path", shared_folder(spark, label)).option("compression", "zstd")
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
