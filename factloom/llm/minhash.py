@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MULTIPLIER, ascii_lower, filled, mix, table, windows, word_hashes, written
+from factloom.llm.common import MULTIPLIER, ascii_lower, bucketed, filled, mix, table, windows, word_hashes, written
 from factloom.llm.components import components
 from factloom.llm.registry import query
 from factloom.llm.tokens import slices
@@ -182,10 +182,24 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str) -> DataFram
 
     Texts with fewer than five words are one shingle; texts without a word (null too) have no shingle and no link.
     Rows with a null id take no part: they are kept and have a null component. Repeated rows share a component."""
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    signed = written(
-        docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(_signed, "row long, id long, n long, k1 long, k2 long, signature binary"), "signatures"
-    )
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return judged(docs).select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of `df` without near duplicates: of each component the row with the smallest id (of equal ids the first).
+
+    Texts without a word and rows with a null id stay. The columns are those of `df`."""
+    docs = bucketed(df.withColumn("_row", F.monotonically_increasing_id()), "_row", "documents")
+    rows = judged(docs.select(F.col("_row").alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")))
+    first = rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    stay = first.unionByName(rows.filter("n_shingles = 0 OR id IS NULL").select("row")).withColumnRenamed("row", "_row")
+    return docs.join(stay, "_row", "left_semi").select(*[f"`{c}`" for c in df.columns])
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """(row, id, n_shingles, component_id) of documents (row, id, text); rows are unique numbers."""
+    signed = written(docs.select("row", "id", "text").mapInArrow(_signed, "row long, id long, n long, k1 long, k2 long, signature binary"), "signatures")
     linked = signed.filter("n > 0 AND id IS NOT NULL")
     classes = written(
         linked.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.max("n").alias("n"), F.min("signature").alias("signature")), "classes"
@@ -209,9 +223,9 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str) -> DataFram
     named = classes.join(roots, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     answer = written(named.join(least, "root").select("k1", "k2", "component_id"), "answer")
-    joined = linked.select("id", "n", "k1", "k2").join(answer, ["k1", "k2"]).select("id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.filter("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    joined = linked.select("row", "id", "n", "k1", "k2").join(answer, ["k1", "k2"]).select("row", "id", F.col("n").alias("n_shingles"), "component_id")
+    alone = signed.filter("n = 0 OR id IS NULL").select("row", "id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return joined.unionByName(alone)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

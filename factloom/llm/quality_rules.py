@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ POLICIES = {
 }
 CURRENT = "v2"
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -66,7 +68,7 @@ def ledger(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     A null text has no words and fails `few_words`. Repeated rows each get a row. A narrow map, no shuffle."""
     kind = df.schema[id_column].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    names = MEASURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,6 +81,17 @@ def ledger(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return measured.withColumn("failures", F.expr(f"CAST({failures} AS BIGINT)"))
 
 
+def _measured(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t or "") for t in texts], columns=MEASURES)
+
+
+def good_documents(df: DataFrame, text_column: str, policy: str = CURRENT) -> DataFrame:
+    """The rows of `df` that the policy keeps, with their columns. Null and empty texts have too few words."""
+    rules = dict(RULES)
+    fails = " OR ".join(re.sub(r"\b(n_\w+|word_chars)\b", r"_measured.\1", f"({rules[name]})") for name in POLICIES[policy])
+    return df.withColumn("_measured", F.pandas_udf(_measured, ", ".join(f"{n} long" for n in MEASURES))(F.col(text_column))).filter(f"NOT ({fails})").select(*[f"`{c}`" for c in df.columns])
+
+
 def passes(policy: str, failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(mask(policy))) == 0
 
