@@ -109,15 +109,16 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
 def write_archives(df: DataFrame, id_column: str, url_column: str, payload_column: str, folder: str, segment_bytes: int = SEGMENT_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes every row as a record and returns the manifest, a written table: path, n_pages, bytes.
 
-    Of rows with equal payloads of at least `min_revisit_bytes` the one with the largest id (nulls first; of equal ids
-    any one) is the response. A null payload is empty. Each task names its own file and reports it at its end, so what
+    Of rows with equal payloads of at least `min_revisit_bytes` the one with the largest id is the response (a null id is
+    the smallest; rows that repeat the largest id are responses too). A null payload is empty. Each task names its own file and reports it at its end, so what
     a lost task leaves behind is not in the manifest. One payload shared by many rows is pre-aggregated; its rows meet
     their response in a join whose large side Spark may split."""
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    pages = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), payload.alias("payload"))
+    pages = df.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), payload.alias("payload"))
     pages = pages.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("size", F.octet_length("payload"))
-    first = pages.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("response"))
-    told = pages.join(first, "digest", "left").select("id", "url", "payload", "response.id", (F.col("response").isNotNull() & (F.col("response.row") != F.col("row"))).alias("revisit"))
+    first = pages.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.lit(True).alias("large"))
+    revisit = F.coalesce(F.col("large"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("response"))
+    told = pages.join(first, "digest", "left").select("id", "url", "payload", "response", revisit.alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, path, n, size = None, "", 0, 0
@@ -136,7 +137,7 @@ def write_archives(df: DataFrame, id_column: str, url_column: str, payload_colum
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "n_pages": [n], "bytes": [size]})
 
-    return written(told.toDF("id", "url", "payload", "response", "revisit").mapInArrow(write, "path string, n_pages long, bytes long"), "warc-manifest")
+    return written(told.mapInArrow(write, "path string, n_pages long, bytes long"), "warc-manifest")
 
 
 _RAW = "origin string, segment long, total long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, problem string, block binary"
