@@ -11,11 +11,11 @@ from factloom.plans import assembly
 
 
 @query("j1_ranked_union", """
-SELECT user_id, arg_min(event_id, rank * 1000000000 + event_id) AS event_id, CAST(min(rank) AS INT) AS source_rank FROM (
-  SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS rank FROM events WHERE event_type IN ('purchase', 'click', 'view')) GROUP BY 1""")
+SELECT user_id, arg_min(event_id, CAST(rank AS BIGINT) * 1000000000 + event_id) AS event_id, CAST(min(rank) AS INT) AS source_rank FROM (
+  SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS rank FROM events) GROUP BY 1""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    parts = [e.filter(F.col("event_type") == t).drop("event_type") for t in ("purchase", "click", "view")]
+    parts = [e.filter(F.col("event_type") == t).drop("event_type") for t in ("purchase", "click", "view", "signup", "error")]
     return joins.ranked_union(parts, ["user_id"], ["event_id"])
 
 

@@ -41,9 +41,9 @@ def _(spark, sf):
 
 
 @query("l2_feed_window", """
-SELECT event_id, event_id // 100 >= 80 AS truncated FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY AND event_type = 'view'""")
+SELECT event_id, event_id // 100 >= 80 AS truncated FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY""")
 def _(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'view'").withColumn("page_no", F.floor(F.col("event_id") / 100))
+    e = table(spark, sf, "events").withColumn("page_no", F.floor(F.col("event_id") / 100))
     return feeds.feed_window(e, "ts", F.lit("2024-01-31").cast("timestamp"), "page_no").select("event_id", "truncated")
 
 

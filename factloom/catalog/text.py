@@ -104,7 +104,7 @@ def _(spark, sf):
 
 @query("b25_plain_text", f"""SELECT page_id, md5({S.squeeze(S.entities(S.strip_tags("html")))}) AS plain FROM pages""")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(text.squeeze(text.common_entities(text.strip_tags(HTML)))).alias("plain"))
+    return table(spark, sf, "pages").select("page_id", F.md5(text.squeeze(text.entities_decoded(text.strip_tags(HTML)))).alias("plain"))
 
 
 @query("b26_visible_text", f"SELECT page_id, md5({S.visible()}) AS visible, CAST(length({S.visible()}) AS BIGINT) AS chars FROM pages")

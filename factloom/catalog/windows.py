@@ -102,12 +102,18 @@ def _(spark, sf):
 @query("h2_change_texts", f"""
 WITH {S.COMPANIES}
 SELECT org_number, 'leadership.leaders: [''Kari ' || c_custkey || ' (Daglig leder)''] -> [''Ola ' || c_custkey || ' (Daglig leder)'']' AS text FROM companies WHERE c_custkey % 7 = 0 UNION ALL
+SELECT org_number, 'leadership.workplaces: [''' || legal_name || '''] -> [''' || legal_name || ' AVD'']' FROM companies WHERE c_custkey % 9 = 0 UNION ALL
 SELECT org_number, 'hiring_signal added: [''Open role: Selger ' || c_custkey || ''']' FROM companies WHERE c_custkey % 10 = 0 UNION ALL
+SELECT org_number, 'hiring_signal removed: [''Careers page: https://www.x' || c_custkey || '.no/en/jobb'']' FROM companies WHERE c_custkey % 10 = 0 UNION ALL
+SELECT org_number, 'legal_name: ''' || legal_name || ''' -> ''' || legal_name || ' NY''' FROM companies WHERE c_custkey % 3 = 0 UNION ALL
+SELECT org_number, 'official_site: ''https://www.a' || c_custkey || '.no/'' -> ''https://b' || c_custkey || '.no''' FROM companies WHERE c_custkey % 4 = 0 AND c_custkey % 8 <> 0 UNION ALL
+SELECT org_number, 'annual_accounts.latest: ''Revenue: ' || c_custkey || ''' -> ''Revenue: 9' || c_custkey || '''' FROM companies WHERE c_custkey % 5 = 0 UNION ALL
+SELECT org_number, 'employee_count: ''' || employees || ''' -> ''' || (employees + 1) || '''' FROM companies WHERE c_custkey % 2 = 0 UNION ALL
+SELECT org_number, 'operating_status: ''Active'' -> ''Bankrupt''' FROM companies WHERE c_custkey % 6 <> 0 UNION ALL
 SELECT org_number, 'annual_accounts.latest reporting_period: ''FY2023'' -> ''FY2024''' FROM companies WHERE c_custkey % 5 = 1""")
 def _(spark, sf):
     old, new = _snapshots(spark, sf)
-    texts = refresh.change_texts(refresh.material_changes(old, new), old, new)
-    return texts.filter("text LIKE 'leadership.leaders%' OR text LIKE 'hiring_signal added%' OR text LIKE '%reporting_period%'")
+    return refresh.change_texts(refresh.material_changes(old, new), old, new)
 
 
 @query("k7_changes_in_words", f"""
@@ -145,25 +151,26 @@ def _paired(spark, sf):
 
 
 _YEARLY = """
-y AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS period, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS amount FROM lineitem GROUP BY ALL),
-p AS (SELECT *, lag(amount) OVER (PARTITION BY l_suppkey ORDER BY period) AS b FROM y)"""
+y AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS period, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS amount,
+  CASE WHEN l_suppkey % 5 = 0 AND year(l_shipdate) % 2 = 0 THEN 'EUR' ELSE 'NOK' END AS currency FROM lineitem GROUP BY ALL),
+p AS (SELECT l_suppkey, period, amount, CASE WHEN lag(currency) OVER w = currency THEN lag(amount) OVER w END AS b FROM y WINDOW w AS (PARTITION BY l_suppkey ORDER BY period))"""
 
 
 @query("h5_revenue_change", f"""
-WITH {_YEARLY} SELECT l_suppkey, period, round((amount - b) / abs(b) * 100, 6) AS change FROM p WHERE b IS NOT NULL AND (l_suppkey % 5 <> 0)""")
+WITH {_YEARLY} SELECT l_suppkey, period, round((amount - b) / abs(b) * 100, 6) AS change FROM p WHERE b IS NOT NULL""")
 def _(spark, sf):
-    paired = _paired(spark, sf).filter("before IS NOT NULL AND l_suppkey % 5 <> 0")
+    paired = _paired(spark, sf).filter("before IS NOT NULL")
     return paired.select("l_suppkey", "period", F.round(money.percent_change(F.col("amount"), F.col("before")), 6).alias("change"))
 
 
 @query("k3_trend_classes", f"""
-WITH {_YEARLY}, r AS (SELECT *, (amount - b) / abs(b) * 100 AS pct, amount - 20000000 * (period % 3) AS n, b - 20000000 * ((period - 1) % 3) AS pn FROM p WHERE l_suppkey % 5 <> 0)
+WITH {_YEARLY}, r AS (SELECT *, (amount - b) / abs(b) * 100 AS pct, amount - 20000000 * (period % 3) AS n, b - 20000000 * ((period - 1) % 3) AS pn FROM p)
 SELECT l_suppkey, period, CASE WHEN b IS NULL OR b = 0 THEN 'stated' WHEN abs(pct) <= 0.05 THEN 'flat' WHEN abs(pct) > 300 THEN CASE WHEN pct > 0 THEN 'rose_from' ELSE 'fell_from' END WHEN pct > 0 THEN 'grew' ELSE 'fell' END AS revenue,
   CASE WHEN pn IS NULL THEN 'stated' WHEN pn < 0 AND n >= 0 THEN 'turned_round' WHEN n < 0 AND pn >= 0 THEN 'into_loss' WHEN pn <> 0 AND abs(n - pn) / abs(pn) <= 0.005 THEN 'same' WHEN n >= 0 THEN CASE WHEN n > pn THEN 'up' ELSE 'down' END
     WHEN abs(n) < abs(pn) THEN 'smaller_loss' ELSE 'larger_loss' END AS result,
   CASE WHEN n < 0 THEN 'negative' WHEN pn IS NULL THEN 'stated' WHEN pn < 0 THEN 'turned_positive' WHEN pn <> 0 AND abs(n - pn) / abs(pn) <= 0.005 THEN 'held' WHEN n > pn THEN 'rose' ELSE 'fell' END AS equity FROM r""")
 def _(spark, sf):
-    p = _paired(spark, sf).filter("l_suppkey % 5 <> 0")
+    p = _paired(spark, sf)
     n = F.col("amount") - 20000000 * (F.col("period") % 3)
     pn = F.col("before") - 20000000 * ((F.col("period") - 1) % 3)
     return p.select(
@@ -173,11 +180,11 @@ def _(spark, sf):
 
 
 @query("k9_revenue_signals", f"""
-WITH {_YEARLY}, t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY period DESC) AS r FROM p WHERE l_suppkey % 5 <> 0)
+WITH {_YEARLY}, t AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY period DESC) AS r FROM p)
 SELECT l_suppkey, 'Revenue ' || CASE WHEN amount > b THEN 'up ' ELSE 'down ' END || printf('%.0f', abs((amount - b) / abs(b) * 100)) || '% in FY' || period || '.' AS signal
 FROM t WHERE r = 1 AND abs((amount - b) / abs(b) * 100) BETWEEN 25 AND 300""")
 def _(spark, sf):
-    pair = accounts.newest_pair(_yearly(spark, sf).filter("l_suppkey % 5 <> 0"), ["l_suppkey"], "period", "amount", "currency")
+    pair = accounts.newest_pair(_yearly(spark, sf), ["l_suppkey"], "period", "amount", "currency")
     pct = money.percent_change(F.col("now"), F.col("before"))
     rows = pair.withColumn("_p", pct).filter(F.abs("_p").between(25, 300))
     return rows.select("l_suppkey", F.concat(
@@ -194,19 +201,19 @@ def _(spark, sf):
 
 
 @query("h8_input_chunks", """
-SELECT chunk, count(*) AS inputs, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS chunk FROM customer WHERE c_custkey % 7 <> 0) GROUP BY chunk""")
+SELECT chunk, count(*) AS inputs, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS chunk FROM customer) GROUP BY chunk""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 7 <> 0").select("c_custkey", F.floor(F.col("c_custkey") / 64).alias("block"))
+    c = table(spark, sf, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 64).alias("block"))
     chunks = ordered.chunk_numbers(c, ["c_custkey"], "block", fixed.CHUNK_SIZE)
     return chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("inputs"), F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
 
 
 @query("h9_latest_dated", """
-WITH c AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-20')
+WITH c AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts < TIMESTAMP '2024-01-20')
 SELECT user_id, max(day) AS day, arg_max(event_id, day || lpad(CAST(1000000000 - event_id AS VARCHAR), 12, '0')) AS event_id FROM c GROUP BY 1""")
 def _(spark, sf):
     value = F.concat(F.lit("Note 2023-12-31 of "), F.date_format("ts", "yyyy-MM-dd"))
-    c = table(spark, sf, "events").filter("event_type <> 'error'").select("user_id", "event_id", dates.latest_in_text(value).alias("day")).filter("day < '2024-01-20'")
+    c = table(spark, sf, "events").select("user_id", "event_id", dates.latest_in_text(value).alias("day")).filter("day < '2024-01-20'")
     newest = c.withColumn("_o", -F.col("event_id")).groupBy("user_id").agg(F.max_by(F.struct("day", "event_id"), F.struct("day", "_o")).alias("_n"))
     return newest.select("user_id", "_n.day", "_n.event_id")
 
@@ -223,9 +230,9 @@ def _(spark, sf):
 
 
 @query("h11_recent_changes", """
-SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) >= 1996) WHERE rank <= 3""")
+SELECT o_custkey, o_orderkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").filter(F.year("o_orderdate") >= 1996).select("o_custkey", "o_orderkey", "o_orderdate")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     return ordered.top_k(o, ["o_custkey"], [F.col("o_orderdate").desc(), "o_orderkey"], 3, "rank").drop("o_orderdate")
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import html as html_lib
+import html.entities  # noqa: F401
 import unicodedata
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import fixed
+from factloom.functions.let import let
 
 # Accented Latin letters and their base letter, by Unicode decomposition.
 _ACCENTED = [
@@ -47,17 +49,52 @@ def visible_lines(html: Column) -> Column:
     return F.filter(lines, lambda line: line != "")
 
 
-_COMMON_ENTITIES = [
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"),
-]
+# The named characters of HTML 4 and other spellings of them, and the names that may stand without a semicolon, longest first.
+_NAMES = {*html_lib.entities.name2codepoint, *(n for n in html_lib.entities.html5 if not n.endswith(";")), "apos"}
+_NAMED = ",".join(f"{name}={ord(html_lib.entities.html5[name + ';'])}" for name in sorted(_NAMES))
+_WHOLE_NAME = "(?:" + "|".join(sorted(_NAMES)) + ")"
+_BARE_NAME = "^(?:" + "|".join(sorted((n for n in html_lib.entities.html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+# Numbers from 128 to 159 mean Windows-1252; the five without a character there keep their own.
+_C1 = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)]
 
 
-def common_entities(text: Column) -> Column:
-    """The named entities that make up almost all markup, decoded in the JVM, `&amp;` last."""
-    for entity, char in _COMMON_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+def _character(code: Column) -> Column:
+    """The character of a number; a number of no character reads as U+FFFD or vanishes."""
+    def read(c: Column) -> Column:
+        vanish = c.between(1, 8) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(0xFFFE) == 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        return (
+            F.when(c.isNull() | (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "\ufffd").when(vanish, "")
+            .when(c.between(0x80, 0x9F), F.get(F.array(*[F.lit(x) for x in _C1]), (c - 0x80).cast("int"))).otherwise(plain)
+        )
+
+    return let(code, read)
+
+
+def _after_ampersand(part: Column) -> Column:
+    """What follows an ampersand, with the entity at its start decoded; the ampersand comes back where there is none."""
+    found = F.regexp_extract(part, rf"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|{_WHOLE_NAME};)", 0)
+
+    def read(entity: Column) -> Column:
+        digits = F.ltrim(F.regexp_extract(entity, r"^#[xX]?([0-9a-fA-F]+)", 1), F.lit("0"))
+        base = F.when(entity.rlike("^#[xX]"), 16).otherwise(10)
+        number = F.when(digits == "", 0).when(F.length(digits) <= 8, F.conv(digits, 16, 10).cast("bigint"))
+        decimal = F.when(digits == "", 0).when(F.length(digits) <= 8, F.conv(digits, 10, 10).cast("bigint"))
+        named = F.try_element_at(F.str_to_map(F.lit(_NAMED), F.lit(","), F.lit("=")), F.substring_index(entity, ";", 1)).cast("bigint")
+        code = F.when(~F.startswith(entity, F.lit("#")), named).when(base == 16, number).otherwise(decimal)
+        bare = F.regexp_extract(part, _BARE_NAME, 0)
+        return F.when(F.startswith(entity, F.lit("#")) | named.isNotNull(), F.concat(_character(code), part.substr(F.length(entity) + 1, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
+
+    return let(F.when(found != "", found).otherwise(F.regexp_extract(part, _BARE_NAME, 0)), read)
+
+
+def entities_decoded(text: Column) -> Column:
+    """Numeric HTML entities of every form and the named ones of HTML 4, with or without their semicolon, decoded in the JVM."""
+    def decode(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _after_ampersand), ""))
+
+    return F.when(F.contains(text, F.lit("&")), let(text, decode)).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -72,8 +109,8 @@ def decode_all_entities(texts: pd.Series) -> pd.Series:
 
 
 def fragment_text(fragment: Column) -> Column:
-    """Markup of a fragment as readable text, common entities decoded."""
-    return squeeze(common_entities(strip_tags(fragment)))
+    """Markup of a fragment as readable text, entities decoded."""
+    return squeeze(entities_decoded(strip_tags(fragment)))
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -104,7 +141,7 @@ def text_nodes(html: Column) -> Column:
 
 
 def plain_node(node: Column) -> Column:
-    return squeeze(common_entities(node))
+    return squeeze(entities_decoded(node))
 
 
 def strip(text: Column) -> Column:

@@ -28,10 +28,9 @@ def branch_towns(accounts: DataFrame, towns: DataFrame, account: str, own: str)
     as an equi-join: each account meets only towns that are one of its endings. `towns` is (town)."""
     folded = towns.select(text.fold(F.col("town")).alias("_ending")).distinct()
     endings = accounts.select(account, own).distinct().withColumn("_folded", text.fold(F.col(account)))
-    longest = 30
     rows = endings.select(
         account, own, F.explode(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.least(F.length("_folded") - 4, F.lit(longest)), F.lit(1))),
+            F.sequence(F.lit(1), F.greatest(F.length("_folded") - 4, F.lit(1))),
             lambda n: F.right(F.col("_folded"), n),
         )).alias("_ending"), "_folded",
     )

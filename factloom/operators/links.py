@@ -18,7 +18,7 @@ def anchors(html: Column, page_url: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit(fixed.ANCHOR), 0)
     read = F.transform(found, lambda a, i: F.struct(
         i.alias("ord"),
-        text.common_entities(text.strip(text.first_group(F.regexp_extract(a, fixed.ANCHOR, 1), fixed.HREF))).alias("href"),
+        text.entities_decoded(text.strip(text.first_group(F.regexp_extract(a, fixed.ANCHOR, 1), fixed.HREF))).alias("href"),
         text.fragment_text(F.regexp_extract(a, fixed.ANCHOR, 2)).alias("text"),
     ))
     usable = F.filter(read, lambda a: a["href"].isNotNull() & ~a["href"].rlike("^(?:#|mailto:|tel:|javascript:)"))

@@ -4,10 +4,12 @@ Picking one row per key is an aggregate, so it combines before the shuffle. Runn
 numbers and look-backs are done in two levels: rows are windowed inside (key, segment), one summary
 row per (key, segment) is windowed inside the key, and the two are joined on (key, segment). `segment`
 is any column that never decreases along the order (an hour of the timestamp, a block of an ordinal):
-a key with a third of the table is then spread over as many tasks as it has segments. Keys and
-segments of these scans must not be NULL; the order must be total within a key."""
+a key with a third of the table is then spread over as many tasks as it has segments. NULL keys and
+NULL segments are keys and segments like any other, NULL first; the order must be total within a key."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +40,9 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str | None
 
 def _carried(df: DataFrame, keys: list[str], segment: str, summary: DataFrame, carried: list[str]) -> DataFrame:
     on = keys + [segment]
-    return df.join(summary.select(*on, *carried), on, "inner")
+    side = summary.select(*[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *carried)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(on)])
+    return df.join(side, same, "inner").drop(*[f"_on_{i}" for i in range(len(on))])
 
 
 def running(

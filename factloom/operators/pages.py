@@ -34,9 +34,6 @@ def _facts(df: DataFrame, stage: int, method: str, **given: Column) -> DataFrame
 
 # --- JSON-LD ------------------------------------------------------------------------------
 
-_GRAPH_LEVELS = 6
-
-
 def _array_at(doc: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(doc, path, f"array<{kind}>")
 
@@ -47,12 +44,15 @@ def _one_or_many(doc: Column, path: str, kind: str) -> Column:
 
 def json_ld(html: Column) -> Column:
     """The JSON-LD objects of a page in page order, as array<variant>. `@graph` wrappers are opened,
-    nested ones included, six levels deep; a script that is not JSON is left out."""
+    nested ones included, as deep as they go; a script that is not JSON is left out."""
     blocks = F.regexp_extract_all(html, F.lit(fixed.JSON_LD), 1)
     documents = F.filter(F.transform(blocks, lambda b: F.try_parse_json(text.strip(b))), lambda d: d.isNotNull())
     objects = F.flatten(F.transform(documents, lambda d: F.coalesce(_array_at(d, "$"), F.array(d))))
-    for _ in range(_GRAPH_LEVELS):
-        objects = F.flatten(F.transform(objects, lambda o: F.coalesce(_array_at(o, '$["@graph"]'), F.array(o))))
+    depth = F.regexp_count(html, F.lit('"@graph"'))  # no wrapper lies deeper than there are wrappers
+    objects = F.reduce(
+        F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), objects,
+        lambda found, _: F.flatten(F.transform(found, lambda o: F.coalesce(_array_at(o, '$["@graph"]'), F.array(o)))),
+    )
     return F.when(html.contains("ld+json"), objects).otherwise(F.array().cast("array<variant>"))
 
 
@@ -510,7 +510,7 @@ def role_links(pages: DataFrame) -> DataFrame:
         *PAGE_KEY, "url",
         F.posexplode(F.arrays_zip(captured(1).alias("far"), captured(2).alias("near"), captured(3).alias("attrs"), captured(4).alias("inner"))).alias("item_ord", "_a"),
     )
-    raw = text.common_entities(text.strip(text.first_group(F.col("_a.attrs"), fixed.HREF)))
+    raw = text.entities_decoded(text.strip(text.first_group(F.col("_a.attrs"), fixed.HREF)))
     read = computed(found, _raw=raw).filter(F.col("_raw").isNotNull() & ~F.col("_raw").rlike("^(?:#|mailto:|tel:|javascript:)"))
     read = computed(read, link=urls.absolute(F.col("url"), F.col("_raw")))
     link = F.col("link")

@@ -40,10 +40,11 @@ def _answered(responses: DataFrame, kind: str) -> DataFrame:
 # --- entity record ------------------------------------------------------------------------
 
 def resolve(responses: DataFrame) -> DataFrame:
-    """One row per entity: name, address, website and the state of its identity. Two current names make
-    it ambiguous; a record that was not read gives no values."""
+    """One row per entity, from its newest response: name, address, website and the state of its identity.
+    Two current names make it ambiguous; a record that was not read gives no values."""
     record = F.from_json("body", schemas.ENTITY_RECORD)
-    read = responses.filter("kind = 'entity'").withColumn("r", F.when(F.col("status") == 200, record))
+    newest = latest(responses.filter("kind = 'entity'"), ["org_number"], ["retrieved_at", "url", "status", "body"])
+    read = newest.withColumn("r", F.when(F.col("status") == 200, record))
     current = F.size(F.filter(F.coalesce("r.historiskeNavn", F.array()), lambda n: n["tilDato"].isNull()))
     state = (
         F.when(F.col("status") == 404, "not_available").when((F.col("status") == 200) & F.col("r").isNotNull(),

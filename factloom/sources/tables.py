@@ -1,31 +1,33 @@
 """Readers. Schemas are explicit, so no reader scans a source to infer one."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import urls
-from factloom.operators.ordered import latest
+from factloom.operators.ordered import latest, row_numbers
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(position, org_number): one key per line, trimmed, blank lines dropped, file order kept."""
-    lines = spark.read.text(path, wholetext=False).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    numbered = lines.withColumn("_place", F.monotonically_increasing_id())
-    return numbered.select(
-        F.struct("file_path", "file_block_start", "_place").alias("position"), F.trim("value").alias("org_number")
-    ).filter("org_number <> ''")
+    lines = spark.read.text(path, wholetext=False).select(_place().alias("position"), F.trim("value").alias("org_number"))
+    return lines.filter("org_number <> ''")
 
 
 def universe(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """The company list from JSON lines, plain or gzip; the last of duplicate keys wins. A gzip file is one
     task to read, hence the repartition right after it."""
-    rows = spark.read.schema(schemas.UNIVERSE).json(path).withColumn("_place", F.monotonically_increasing_id())
+    rows = spark.read.schema(schemas.UNIVERSE).json(path).select("*", _place().alias("_place"))
     spread = rows.repartition(partitions) if partitions else rows
     return latest(spread.filter("organisation_number IS NOT NULL"), ["organisation_number"], ["_place"]).drop("_place")
 
 
+def _place() -> Column:
+    """Where a line stands: files by name, then the place in the file, however the files were dealt to tasks."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """Stored registry responses; the kind is a partition column."""
     return spark.read.schema(schemas.RESPONSE).parquet(path)
@@ -46,8 +48,11 @@ def as_pages(raw: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def feed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Change-feed items from JSON lines of feed pages: (page_no, item_no, id, url, status, employer)."""
-    rows = spark.read.schema(schemas.FEED_PAGE).json(path).withColumn("page_no", F.monotonically_increasing_id())
+    """Change-feed items from JSON lines of feed pages: (page_no, item_no, id, url, status, employer). Pages are
+    numbered from 0 in the order of file names and of lines in a file."""
+    lines = spark.read.schema(schemas.FEED_PAGE).json(path).select("*", _place().alias("_place"))
+    placed = lines.withColumn("_split", F.struct("_place.file_path", "_place.file_block_start"))
+    rows = row_numbers(placed, [], ["_place"], "_split", "_number").withColumn("page_no", F.col("_number") - 1)
     items = rows.select("page_no", F.posexplode("items").alias("item_no", "_i"))
     return items.select(
         "page_no", "item_no", F.col("_i.id").alias("id"), F.col("_i.url").alias("url"), F.col("_i._feed_entry.status").alias("status"),
