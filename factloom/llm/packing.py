@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import filled, table
 from factloom.llm.registry import query
-from factloom.llm.tokens import WordEncoder, slices, word_tokenizer_path
+from factloom.llm.tokens import encoder, slices, word_tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -67,12 +67,11 @@ def pieces(df: DataFrame, id_column: str, text_column: str, tokenizer_path: str,
     names = ["row", "id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        words = encoder(tokenizer_path)
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer_path)
             texts = filled(batch.column(2))
             for at, to in slices(texts):
-                ids, counts = encoder.encode(texts.slice(at, to - at))
+                ids, counts = words.encode(texts.slice(at, to - at))
                 ends, rows, kept = np.cumsum(counts), [], []
                 for row, doc_id, start, end in zip(batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at).to_pylist(), (ends - counts).tolist(), ends.tolist()):
                     own = np.append(ids[start:end], np.uint32(end_id)).astype("<u4")

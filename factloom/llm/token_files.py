@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import filled, shared_folder, table, written
 from factloom.llm.registry import query
-from factloom.llm.tokens import WordEncoder, slices, word_tokenizer_path
+from factloom.llm.tokens import encoder, slices, word_tokenizer_path
 
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 16  # a frame ends with the document that reaches so many ids
@@ -60,7 +60,7 @@ class TokenWriter:
         self.waiting, self.held = [], 0
 
     def close(self) -> None:
-        if self.waiting:
+        if self.held:
             self._frame()
         null = np.array([i is None for i in self.ids], np.uint8)
         index = struct.pack("<BQ", self.kind.itemsize, len(self.ids)) + np.array([i or 0 for i in self.ids], "<i8").tobytes() + null.tobytes() + np.array(self.sizes, "<u8").tobytes()
@@ -129,17 +129,16 @@ def write_tokens(df: DataFrame, id_column: str, text_column: str, folder: str, t
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, path, encoder, n_ids = None, "", None, 0
+        writer, path, n_ids, words = None, "", 0, encoder(tokenizer_path)
         for batch in batches:
             texts = filled(batch.column(1))
             for at, to in slices(texts):
                 if writer is None:
-                    encoder = WordEncoder(tokenizer_path)
                     store, inner = pa.fs.FileSystem.from_uri(folder)
                     store.create_dir(inner, recursive=True)
                     path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
-                    writer = TokenWriter(store.open_output_stream(f"{inner}/{path}", compression=None), 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4)
-                ids, counts = encoder.encode(texts.slice(at, to - at))
+                    writer = TokenWriter(store.open_output_stream(f"{inner}/{path}", compression=None), 2 if max(words.vocabulary, end_id + 1) <= 1 << 16 else 4)
+                ids, counts = words.encode(texts.slice(at, to - at))
                 ends = np.cumsum(counts)
                 for doc_id, start, end in zip(batch.column(0).slice(at, to - at).to_pylist(), (ends - counts).tolist(), ends.tolist()):
                     writer.add(doc_id, np.append(ids[start:end], np.uint32(end_id)))

@@ -1,20 +1,21 @@
 """Token ids of whole texts, with a public tokenizer, word by word.
 
 The tokenizer of this module splits at white space before it merges, so a text's ids are the ids of its white-space
-separated words in order. Each distinct word of a batch is encoded once, and frequent words once per task; ids are then
+separated words in order. Each distinct word of a batch is encoded once, and frequent words once per worker process; ids are then
 gathered with array operations."""
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from factloom.llm.common import split_words
 
-CACHE_WORDS = 500_000  # per task; words beyond are encoded again in each batch
-SLICE_BYTES = 8 << 20
+CACHE_WORDS = 500_000  # per worker process; words beyond are encoded again in each batch
+SLICE_BYTES = 4 << 20
 FENCE = "\x01"  # stands between words that are encoded in one call; words that hold it are encoded alone
 
 
@@ -58,7 +59,7 @@ class WordEncoder:
         self.limit = cache_words
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts, self.sizes = np.zeros(cache_words, np.int64), np.zeros(cache_words, np.int64)
+        self.starts, self.sizes = np.zeros(cache_words + 1, np.int64), np.zeros(cache_words + 1, np.int64)
         self.end = 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,3 +114,9 @@ class WordEncoder:
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(word_sizes)])
         bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
         return ids, np.diff(ends[bounds])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: its words serve all tasks that run here."""
+    return WordEncoder(path)
