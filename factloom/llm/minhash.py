@@ -7,8 +7,10 @@ ERRORS symbols left out. All such pairs are found. At a similarity of 0.75 a pai
 average and in more than 23 with a probability of about 1e-8.
 
 No group emits its pairs. Documents with equal sets are one class. In each bucket every class is first compared with
-the bucket's smallest class; where a bucket still spans several components afterwards, pairs of different components
-are compared by their signatures inside the task, and only those within DISTANCE leave it."""
+the bucket's smallest class. Where a bucket still spans several components, classes are compared with those of other
+components inside the task, by signature and then by the smallest hashes of their sets, and each sends its few likeliest
+partners. Only what is still apart after that is compared in full. A pair is judged in the first of its common buckets
+alone, and every link is confirmed on whole sets."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -30,6 +32,9 @@ CHUNKS, CHUNK, ERRORS = 12, 3, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 SEED = 7
 BLOCK = 512  # classes of a bucket compared at a time
+LIKELIEST = 2  # partners that a class sends from a bucket before the full comparison
+BOTTOM = 256  # smallest hashes of a set that travel to a bucket; smaller sets travel whole
+DEVIATIONS = 4.5  # by which the similarity of the smallest hashes may fall short of that of the sets
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,22 @@ def bucket_keys(symbols: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def bottom_similar(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of sets by their smallest hashes (rows in order, padded with the largest number), and whether the sets
+    may be similar enough. Where a set travels in part, only hashes up to its last one count."""
+    part = np.full(len(x), 0xFFFFFFFE, np.uint32)
+    for rows, n in ((x, n_x), (y, n_y)):
+        part = np.where(n > BOTTOM, np.minimum(part, rows[:, -1]), part)
+    both_ = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    known = both_ <= part[:, None]
+    twice = ((both_[:, 1:] == both_[:, :-1]) & known[:, 1:]).sum(axis=1)
+    either = np.maximum(1, known.sum(axis=1) - twice)
+    share = twice / either
+    whole = (n_x <= BOTTOM) & (n_y <= BOTTOM)
+    least = SHARE / 100 - np.where(whole, 0.005, DEVIATIONS * np.sqrt(SHARE / 100 * (1 - SHARE / 100) / either))
+    return share, (share >= least) & (100 * np.minimum(n_x, n_y) >= SHARE * np.maximum(n_x, n_y))
+
+
 def _digests(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit digests of each set."""
     ends = np.cumsum(sizes)
@@ -104,7 +125,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             symbols = np.zeros((to - at, CHUNKS * CHUNK), np.uint32)
             symbols[full] = signatures(sets, sizes[full])
             width = symbols.shape[1] * 4
-            packed = pa.Array.from_buffers(pa.binary(width), to - at, [None, pa.py_buffer(np.ascontiguousarray(symbols).tobytes())]).cast(pa.binary())
+            packed = pa.Array.from_buffers(pa.binary(width), to - at, [None, pa.py_buffer(symbols.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(sizes), pa.array(k1), pa.array(k2), packed],
                 names=["row", "id", "n", "k1", "k2", "signature"],
@@ -131,46 +152,86 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(offsets, pa.array(sets.view(np.int64)))], names=["k1", "k2", "shingles"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within DISTANCE, bucket by bucket; rows come sorted by key and component."""
+def _across(best: bool):
+    """Pairs of different components that may be similar, bucket by bucket; rows come sorted by key and component.
+
+    A pair counts in the first of its common buckets only. With `best`, a class sends its LIKELIEST partners alone."""
+    chosen = list(combinations(range(CHUNK), CHUNK - ERRORS))
+
+    def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        same = x == y
+        return np.stack([same[:, [c * CHUNK + k for k in kept]].all(axis=1) for c in range(CHUNKS) for kept in chosen], axis=1).argmax(axis=1)
 
-    def compare(nodes, roots, symbols):
+    def compare(key, nodes, roots, symbols, sizes, least):
+        if len(nodes) < 2 or roots[0] == roots[-1]:
+            return
+        slot = int(np.nonzero(bucket_keys(symbols[:1])[0].view(np.int64) == key)[0][0])
         for i in range(0, len(nodes), BLOCK):
-            for j in range(i, len(nodes), BLOCK):
-                if roots[i] == roots[min(j + BLOCK, len(nodes)) - 1]:
-                    continue  # sorted by component: all the same
-                x, y = symbols[i : i + BLOCK], symbols[j : j + BLOCK]
+            found: list[tuple] = []
+            x = symbols[i : i + BLOCK]
+            for j in range(0 if best else i, len(nodes), BLOCK):
+                y = symbols[j : j + BLOCK]
                 differ = np.zeros((len(x), len(y)), np.uint8)
                 for k in range(x.shape[1]):
                     differ += x[:, k, None] != y[None, :, k]
                 near = (differ <= DISTANCE) & (roots[i : i + BLOCK, None] != roots[None, j : j + BLOCK])
-                a, b = np.nonzero(np.triu(near) if i == j else near)
+                a, b = np.nonzero(near if best or i != j else np.triu(near))
+                for at in range(0, len(a), 1 << 15):
+                    a_, b_ = a[at : at + (1 << 15)] + i, b[at : at + (1 << 15)] + j
+                    here = first_common(symbols[a_], symbols[b_]) == slot
+                    a_, b_ = a_[here], b_[here]
+                    share, similar = bottom_similar(least[a_], least[b_], sizes[a_], sizes[b_])
+                    found.append((a_[similar], b_[similar], share[similar]))
+            if found:
+                a, b, share = (np.concatenate(p) for p in zip(*found))
+                if best and len(a):
+                    order = np.lexsort((-share, a))
+                    a, b = a[order], b[order]
+                    starts = np.nonzero(np.append(True, a[1:] != a[:-1]))[0]
+                    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+                    a, b = a[rank < LIKELIEST], b[rank < LIKELIEST]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i + a]), pa.array(nodes[j + b])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[a], nodes[b])), pa.array(np.maximum(nodes[a], nodes[b]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, root, sizes = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            symbols = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            least = np.full((batch.num_rows, BOTTOM), 0xFFFFFFFF, np.uint32)
+            least[np.arange(BOTTOM)[None, :] < np.minimum(sizes, BOTTOM)[:, None]] = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32)
+            if held is not None:
+                key, node, root, symbols, sizes, least = (np.concatenate(p) for p in zip(held, (key, node, root, symbols, sizes, least)))
+            edges = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist()]
+            for start, end in zip(edges, edges[1:]):
+                yield from compare(key[start], *(v[start:end] for v in (node, root, symbols, sizes, least)))
+            held = tuple(v[edges[-1] :] for v in (key, node, root, symbols, sizes, least))
+        if held is not None:
+            yield from compare(held[0][0], *held[1:])
+
+    return run
+
 
-    held = None
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, the smallest hashes of its set: 32 bits each, in order)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node, root = (batch.column(i).to_numpy() for i in range(3))
-        symbols = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        if held is not None:
-            key, node, root, symbols = (np.concatenate(p) for p in zip(held, (key, node, root, symbols)))
-        cuts = np.nonzero(key[1:] != key[:-1])[0] + 1
-        edges = [0, *cuts.tolist()]
-        for start, end in zip(edges, edges[1:]):
-            yield from compare(node[start:end], root[start:end], symbols[start:end])
-        held = key[edges[-1] :], node[edges[-1] :], root[edges[-1] :], symbols[edges[-1] :]
-    if held is not None:
-        yield from compare(*held[1:])
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the written pairs (a, b) those whose whole sets are similar enough. Only texts of classes in a pair are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "id", "k1", "k2", "n"), "node")
+        sets = [np.array(v, np.int64).view(np.uint64) for v in batch.column(1).to_pylist()]
+        packed = [(v[:BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes() for v in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "least"])
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, shingles): the whole sets of the classes in `nodes`, from their texts, as a written table."""
+    wanted = nodes.join(classes.select("node", "id", "k1", "k2"), "node")
     texts = docs.join(wanted.select("id").distinct(), "id", "left_semi").select("text")
     found = texts.mapInArrow(_sets, "k1 long, k2 long, shingles array<long>").join(wanted.select("node", "k1", "k2"), ["k1", "k2"])
-    sets = written(found.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    return written(found.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
@@ -211,15 +272,21 @@ def judged(docs: DataFrame) -> DataFrame:
     stars = shared.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     compared = stars.join(signature.toDF("a", "x"), "a").join(signature.toDF("b", "y"), "b").select("a", "b", "x", "y")
     near = written(compared.mapInArrow(_near, "a long, b long"), "pairs")
-    links = _confirmed(near, docs, classes)
+    sets = _sets_of(shared.select("node").distinct(), docs, classes)
+    links = _confirmed(near, sets)
     roots = components(links)
-    placed = shared.filter("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").join(signature, "node")
-    more = open_.select("key", "node", "root", "signature").repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across, "a long, b long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()  # the first of a bucket is its smallest
-    more = written(more.join(near, ["a", "b"], "left_anti"), "pairs")
-    roots = written(components(links.unionByName(_confirmed(more, docs, classes))), "components")
+    for best in (True, False):
+        placed = shared.filter("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        apart = placed.join(mixed, "key", "left_semi")
+        least = sets.join(apart.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(_least, "node long, n long, least binary")
+        apart = apart.join(signature, "node").join(least, "node").select("key", "node", "root", "signature", "n", "least")
+        pairs = apart.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(best), "a long, b long").distinct()
+        pairs = written(pairs.join(near, ["a", "b"], "left_anti"), "pairs")  # the first of a bucket is its smallest: a < b there too
+        near = near.unionByName(pairs)
+        links = links.unionByName(_confirmed(pairs, sets))
+        roots = components(links)
+    roots = written(roots, "components")
     named = classes.join(roots, "node", "left").select("k1", "k2", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     answer = written(named.join(least, "root").select("k1", "k2", "component_id"), "answer")
