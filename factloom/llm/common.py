@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.session import checkpoint_root
 
@@ -43,6 +44,21 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
+ROW = ["_block", "_row"]
+
+
+def block_of(row: str) -> Column:
+    """The task that numbered a row: the upper bits of its number."""
+    return F.shiftright(F.col(row), 33)
+
+
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """`df` with ROW columns, written once so that the numbers stay, bucketed by block: a task writes one file, and joins
+    on ROW leave these rows where they are. Columns of these names are replaced."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # a bucket key may be part of a join key
+    return bucketed(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", block_of("_row")), "_block", label)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucketed, filled, table, windows, word_hashes, written
+from factloom.llm.common import ROW, block_of, filled, numbered, table, windows, word_hashes, written
 from factloom.llm.registry import query
 from factloom.llm.tokens import slices
 
@@ -177,15 +177,15 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rarest = item_grams.join(often, "gram").withColumn("rarest", F.min(F.struct("often", "gram", "q")).over(order))
     seeds = rarest.select("item", "rarest.gram", "rarest.q").distinct()
     found = hits.join(F.broadcast(seeds), "gram").groupBy("row", "item").agg(F.collect_set(F.col("pos") - F.col("q")).alias("diagonals"))  # at most one seed a word
-    candidates = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("item", "diagonals")).alias("candidates"))
-    joined = docs.join(candidates.hint("shuffle_hash"), "_row").select("_row", "id", "text", "candidates")
+    candidates = found.groupBy(block_of("row").alias("_block"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("item", "diagonals")).alias("candidates"))
+    joined = docs.join(candidates.hint("shuffle_hash"), ROW).select("_row", "id", "text", "candidates")
     aligned = written(joined.mapInArrow(_aligned(words_held), _RESULT), "aligned")
     best = F.max(F.struct("score", F.col("first_word") * -1, "last_word"))
     return aligned.groupBy("row", "id", "item_id").agg(best.alias("b")).select("row", "id", "item_id", "b.score", (F.col("b.col2") * -1).alias("first_word"), "b.last_word")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
-    """Leaks between `docs` (columns _row, id, text) and a benchmark, as (row, id, item_id, score, first_word, last_word).
+    """Leaks between `docs` (columns _block, _row, id, text) and a benchmark, as (row, id, item_id, score, first_word, last_word).
 
     The best alignment per row and item, scores from MIN_SCORE, words counted from 0. Items with fewer than GRAM words,
     null items and null item ids are never found. Benchmarks beyond MAX_ITEM_WORDS are taken in parts, each with a pass
@@ -203,15 +203,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column:
 def find_leaks(df: DataFrame, id_column: str, text_column: str, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
     """One row per (document, item) found: id, item_id, score, first_word, last_word. Null texts hold nothing; repeated
     rows and rows with a null id are reported like any other."""
-    docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return leaks(bucketed(docs, "_row", "passages"), benchmark, item_column, item_text).drop("row")
+    docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return leaks(numbered(docs, "passages"), benchmark, item_column, item_text).drop("row")
 
 
 def decontaminate(df: DataFrame, id_column: str, text_column: str, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
     """The rows of `df` without a leak, all columns as they were."""
-    docs = bucketed(df.withColumn("_row", F.monotonically_increasing_id()), "_row", "passages")
-    found = leaks(docs.select("_row", F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
-    return docs.join(found.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select(*[f"`{c}`" for c in df.columns])
+    docs = numbered(df, "passages")
+    found = leaks(docs.select(*ROW, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
+    return docs.join(found.select(block_of("row").alias("_block"), F.col("row").alias("_row")).distinct(), ROW, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 
 @query("op3_decontamination")

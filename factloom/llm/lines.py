@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bucketed, filled, table, written
+from factloom.llm.common import ROW, block_of, filled, numbered, table, written
 from factloom.llm.registry import query
 
 MIN_WORDS = 30
@@ -110,13 +110,13 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
     Lines are compared byte for byte; lines without a word are kept and never compared. The earliest copy, by id (nulls
     first), then by place in the scan, then by line, stays whole. A null text stays null. A text may become empty, its
     row stays. Repeated rows are documents of their own: the first keeps its text."""
-    docs = bucketed(df.withColumn("_row", F.monotonically_increasing_id()), "_row", "lines")
+    docs = numbered(df, "lines")
     found = docs.select("_row", F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(
         _lines(min_words), "row long, id long, n long, at long, h1 long, h2 long, runs array<long>"
     )
     lines = written(found, "lines")
     gone = repeated_lines(lines, min_words).join(lines.select("row", "n", "at"), ["row", "n"])
-    gone = gone.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("_gone"))
+    gone = gone.groupBy(block_of("row").alias("_block"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("_gone"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, numbers: pd.Series) -> pd.Series:
@@ -128,7 +128,7 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone.hint("shuffle_hash"), "_row", "left")
+    joined = docs.join(gone.hint("shuffle_hash"), ROW, "left")
     lost = F.coalesce(F.col("_gone.n"), F.array().cast("array<long>"))
     text = F.col(text_column)
     # columns of the input come first and keep their names; the counts take names with an underscore
