@@ -133,7 +133,7 @@ def _hits(grams_held):
 def _aligned(words_held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_held.value
-        for batch in batches:
+        for batch in (b.slice(at, to - at) for b in batches for at, to in slices(filled(b.column(2)))):
             h, counts = normal_words(filled(batch.column(2)))
             ends = np.cumsum(counts)
             items, parts, told = [], [], []

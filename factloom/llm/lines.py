@@ -54,7 +54,7 @@ def _lines(min_words: int):
         names = ["row", "id", "n", "at", "h1", "h2", "runs"]
         for batch in batches:
             rows: list[tuple] = []
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), filled(batch.column(2)).cast(pa.large_binary()).to_pylist()):
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.as_py() for t in filled(batch.column(2)).cast(pa.large_binary()))):
                 own = [(at, line, n) for at, line in enumerate(text.split(b"\n")) if (n := len(line.split()))]
                 runs: dict[int, list[int]] = {}
                 for first, size in line_windows([n for _, _, n in own], min_words):
@@ -62,7 +62,7 @@ def _lines(min_words: int):
                 for n, (at, line, _) in enumerate(own):
                     h1, h2 = np.frombuffer(hashlib.blake2b(line, digest_size=16).digest(), np.int64).tolist()
                     rows.append((row, doc_id, n, at, h1, h2, runs.get(n, [])))
-                if len(rows) >= 200_000:
+                if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if i == 6 else pa.int64()) for i, c in enumerate(zip(*rows))], names=names)
                     rows = []
             if rows:

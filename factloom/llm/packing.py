@@ -101,9 +101,10 @@ def pack(df: DataFrame, id_column: str, text_column: str, tokenizer_path: str, l
     cut = pieces(df, id_column, text_column, tokenizer_path, length, end_id, with_ids).withColumn("group", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(groups)))
 
     def place(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("row", "ascending"), ("start", "ascending")])
         sizes = t["length"].to_numpy()
-        bins, offsets = first_fit_decreasing(sizes, length)
+        order = np.lexsort((t["start"].to_numpy(), t["row"].to_numpy()))  # the same packing however the rows arrive
+        bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        bins[order], offsets[order] = first_fit_decreasing(sizes[order], length)
         used = np.bincount(bins, weights=sizes).astype(np.int64)
         padding = np.where((used & (used - 1)) == 0, 0, length - used)
         sequence = (t["group"].to_numpy() << 32) + bins

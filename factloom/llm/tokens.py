@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from factloom.llm.common import split_words
 
-CACHE_WORDS = 500_000  # per worker process; words beyond are encoded again in each batch
-SLICE_BYTES = 4 << 20
+CACHE_WORDS = 100_000  # per worker process; words beyond are encoded again in each batch
+SLICE_BYTES = 2 << 20
 FENCE = "\x01"  # stands between words that are encoded in one call; words that hold it are encoded alone
 
 
@@ -58,7 +58,7 @@ class WordEncoder:
             raise ValueError(f"{path} has no single id for {FENCE!r}")
         self.limit = cache_words
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ids = np.zeros(1 << 18, np.uint32)
         self.starts, self.sizes = np.zeros(cache_words + 1, np.int64), np.zeros(cache_words + 1, np.int64)
         self.end = 0
 
@@ -93,7 +93,7 @@ class WordEncoder:
         store = self.ids[: self.end]
         if len(missing):
             new = [distinct[i] for i in missing]
-            parts = [self._encode(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
+            parts = [self._encode(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
             ids, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             at = np.cumsum(n) - n
             starts[missing], sizes[missing] = self.end + at, n
