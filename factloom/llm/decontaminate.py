@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare word runs as seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word runs as seeds, then Smith-Waterman alignment.
 
 Words are lower-cased, and ASCII characters other than letters and digits part them, so case and punctuation do not
-hide a copy. Every run of GRAM words of a benchmark item is counted over all documents; of each SPAN neighbouring runs of
-an item the rarest is a seed, so every SPAN + GRAM - 1 words that were copied unchanged hold one, however common an item
-has become. Where a document holds a seed, the passage around it is aligned with the item, word by word. The score is
-the alignment's over that of the whole item with itself, so changed, lost and added words cost, but do not hide."""
+hide a copy. Every run of GRAM words of a benchmark item is a seed, so every GRAM words that were copied unchanged hold one, however
+common they are. Where a document holds a seed and the words around it can make up a leak in any order, this passage is
+aligned with the item, word by word. The score is the alignment's over that of the whole item with itself, so changed,
+lost and added words cost, but do not hide."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -12,19 +12,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ROW, block_of, filled, numbered, table, windows, word_hashes, written
 from factloom.llm.registry import query
-from factloom.llm.tokens import slices
+from factloom.llm.tokens import ragged, slices
 
-GRAM, SPAN = 3, 3
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 SLACK = 8  # words on either side of a passage
 MAX_ITEM_WORDS = 4_000_000  # of one broadcast; a larger benchmark is taken in parts
+PAIRS = 1 << 20  # handled at a time
 _BITS = 20
+_LOW = np.uint64((1 << _BITS) - 1)
 
 _TABLE = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
@@ -78,28 +80,91 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 def _batched(items: list[np.ndarray], passages: list[np.ndarray], size: int = 256) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort([len(p) for p in passages], kind="stable")
     best, ends = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
-    for i in range(0, len(order), size):
+    i = 0
+    while i < len(order):
         part = order[i : i + size]
+        part = part[: max(1, PAIRS // max(1, len(passages[part[-1]])))]  # long passages in smaller batches
         best[part], ends[part] = align([items[k] for k in part], [passages[k] for k in part])
+        i += len(part)
     return best, ends
 
 
-def passages_around(diagonals: list[int], item_words: int, text_words: int) -> list[tuple[int, int]]:
-    """Stretches of a text that can hold the item: seeds whose diagonals are near go together."""
-    out: list[list[int]] = []
-    for d in sorted(diagonals):
-        if out and d - out[-1][1] <= item_words // 2:
-            out[-1][1] = d
-        else:
-            out.append([d, d])
-    return [(max(0, low - SLACK), min(text_words, high + item_words + SLACK)) for low, high in out]
-
-
-def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, counts = normal_words(filled(batch.column(1)))
-        grams, owner, place = grams_of(h, counts)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(place), pa.array(grams.view(np.int64))], names=["item", "q", "gram"])
+def clusters(group: np.ndarray, low: np.ndarray, high: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of diagonals per group, those at most `near` apart (of the group) made one. Merged ranges can be merged again."""
+    order = np.lexsort((low, group))
+    group, low, high, near = group[order], low[order], high[order], near[order]
+    if not len(group):
+        return group, low, high
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    rank = np.cumsum(new) << 40  # above every diagonal
+    reach = np.maximum.accumulate(rank + high) - rank
+    starts = np.nonzero(new | np.concatenate([[True], low[1:] - reach[:-1] > near[1:]]))[0]
+    return group[starts], low[starts], reach[np.append(starts[1:], len(group)) - 1]
+
+
+class Items:
+    """The items of one broadcast: words, runs and where they stand, and which words an item has."""
+
+    def __init__(self, ids: list[int | None], words: list[np.ndarray]):
+        self.ids, self.words = ids, words
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        grams, owner, place = grams_of(flat, self.sizes)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.starts = np.append(first, len(order))
+        self.item, self.q = owner[order].astype(np.int32), place[order].astype(np.int32)
+        self.vocabulary, coded = np.unique(flat, return_inverse=True)
+        self.has = np.unique(np.repeat(np.arange(len(words)), self.sizes) * len(self.vocabulary) + coded)
+        self.table = np.zeros(1 << _BITS, bool)
+        self.table[(self.grams & _LOW).astype(np.int64)] = True
+
+
+def _within(x: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted array that is not empty, and whether it is there."""
+    spot = np.minimum(np.searchsorted(held, x), len(held) - 1)
+    return spot, held[spot] == x
+
+
+def passages(known: Items, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, from, to) of every stretch of a text around shared runs: runs whose diagonals are near go together."""
+    grams, owner, place = grams_of(h, counts)
+    maybe = np.nonzero(known.table[(grams & _LOW).astype(np.int64)])[0]
+    if not len(maybe) or not len(known.grams):
+        return (np.zeros(0, np.int64),) * 4
+    spot, there = _within(grams[maybe], known.grams)
+    spot, owner, place = spot[there], owner[maybe[there]], place[maybe[there]]
+    sizes, n = known.starts[spot + 1] - known.starts[spot], len(known.sizes)
+    group, low, high = (np.zeros(0, np.int64),) * 3
+    ends, at = np.cumsum(sizes), 0
+    while at < len(spot):  # so many pairs at a time, made ranges before the next
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PAIRS, side="right")))
+        of = ragged(known.starts[spot[at:to]], sizes[at:to])
+        item, diagonal = known.item[of].astype(np.int64), np.repeat(place[at:to], sizes[at:to]) - known.q[of]
+        group, low, high = np.concatenate([group, np.repeat(owner[at:to], sizes[at:to]) * n + item]), np.concatenate([low, diagonal]), np.concatenate([high, diagonal])
+        group, low, high = clusters(group, low, high, known.sizes[group % n] // 2)
+        at = to
+    return group // n, group % n, np.maximum(0, low - SLACK), np.minimum(counts[group // n], high + known.sizes[group % n] + SLACK)
+
+
+def can_hold(known: Items, h: np.ndarray, item: np.ndarray, start: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether an alignment in h[start:to] can reach MIN_SCORE: no more than MATCH for each word that the item has, in any
+    order, and at least -1 for every other word in between. A bound, so nothing is lost by it."""
+    out, sizes = np.zeros(len(item), bool), to - start
+    _code, _there = _within(h, known.vocabulary)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(item):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PAIRS, side="right")))
+        n = sizes[at:upto]
+        where, of = ragged(start[at:upto], n), np.repeat(np.arange(upto - at), n)
+        _, own = _within(item[at:upto][of] * len(known.vocabulary) + _code[where], known.has)
+        total = np.cumsum(np.where(own & _there[where], MATCH, max(MISMATCH, GAP)))
+        before = np.concatenate([[0], total[:-1]])
+        fall = of << 40
+        gain = total - (np.minimum.accumulate(before - fall) + fall)
+        out[at:upto] = np.maximum.reduceat(gain, np.cumsum(n) - n) >= MIN_SCORE * MATCH * known.sizes[item[at:upto]]
+        at = upto
+    return out
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,51 +174,36 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["item", "words"])
 
 
-def _hits(grams_held):
-    """(row, gram, place) of benchmark runs in the documents."""
+def _aligned(held):
+    """(row, id, text) to the best alignment of every text with every item that reaches MIN_SCORE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = grams_held.value
-        table_ = np.zeros(1 << _BITS, bool)
-        table_[(wanted & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        for batch in batches:
-            texts = filled(batch.column(1))
-            rows = batch.column(0).to_numpy()
-            for at, to in slices(texts):
-                grams, owner, place = grams_of(*normal_words(texts.slice(at, to - at)))
-                maybe = np.nonzero(table_[(grams & np.uint64((1 << _BITS) - 1)).astype(np.int64)])[0]
-                spot = np.minimum(np.searchsorted(wanted, grams[maybe]), max(0, len(wanted) - 1))
-                found = maybe[wanted[spot] == grams[maybe]] if len(wanted) else maybe[:0]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[at:to][owner[found]]), pa.array(grams[found].view(np.int64)), pa.array(place[found])], names=["row", "gram", "pos"])
-
-    return run
-
-
-def _aligned(words_held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_held.value
+        known = held.value
         for batch in (b.slice(at, to - at) for b in batches for at, to in slices(filled(b.column(2)))):
             h, counts = normal_words(filled(batch.column(2)))
-            ends = np.cumsum(counts)
-            items, parts, told = [], [], []
-            for row, doc_id, candidates, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), (ends - counts).tolist(), ends.tolist()):
-                for c in candidates:
-                    item = words[c["item"]]
-                    for low, high in passages_around(c["diagonals"], len(item), end - start):
-                        items.append(item)
-                        parts.append(h[start + low : start + high])
-                        told.append((row, doc_id, c["item"], low))
-            if not items:
+            text, item, low, high = passages(known, h, counts)
+            if not len(text):
+                continue
+            start = (np.cumsum(counts) - counts)[text]
+            able = can_hold(known, h, item, start + low, start + high)
+            text, item, low, high, start = (x[able] for x in (text, item, low, high, start))
+            if not len(text):
                 continue
+            items, parts = [known.words[i] for i in item.tolist()], [h[f:t] for f, t in zip((start + low).tolist(), (start + high).tolist())]
             best, last = _batched(items, parts)
-            full = np.array([len(i) * MATCH for i in items])
+            full = known.sizes[item] * MATCH
             good = np.nonzero(best >= MIN_SCORE * full)[0]
             if not len(good):
                 continue
-            _, first = _batched([items[k][::-1] for k in good], [parts[k][: last[k] + 1][::-1] for k in good])  # backwards, for the first word
-            rows = [(*told[k][:3], best[k] / full[k], told[k][3] + int(last[k]) - int(f), told[k][3] + int(last[k])) for k, f in zip(good.tolist(), first)]
-            columns = list(zip(*rows))
+            _, back = _batched([items[k][::-1] for k in good], [parts[k][: last[k] + 1][::-1] for k in good])  # backwards, for the first word
+            found: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for k, f in zip(good.tolist(), back.tolist()):
+                end = int(low[k] + last[k])
+                told = (best[k] / full[k], f - end, end)
+                key = (int(text[k]), int(item[k]))
+                found[key] = max(found.get(key, told), told)
+            rows, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            columns = list(zip(*[(rows[t], ids[t], known.ids[i], score, -first, end) for (t, i), (score, first, end) in found.items()]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[i], pa.float64() if i == 3 else pa.int64()) for i in range(6)], names=["row", "id", "item_id", "score", "first_word", "last_word"]
             )
@@ -165,35 +215,24 @@ _RESULT = "row long, id long, item_id long, score double, first_word long, last_
 
 
 def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, id, item_id, score, first_word, last_word) of every aligned passage; items fit one broadcast."""
-    spark = docs.sparkSession
-    item_grams = written(items.mapInArrow(_item_grams, "item long, q long, gram long"), "item-grams")
-    words = {r["item"]: np.array(r["words"], np.int64).view(np.uint64) for r in items.mapInArrow(_item_words, "item long, words array<long>").toLocalIterator()}
-    grams = np.array(sorted(r["gram"] for r in item_grams.select("gram").distinct().toLocalIterator()), np.int64).view(np.uint64)
-    held, words_held = spark.sparkContext.broadcast(np.sort(grams)), spark.sparkContext.broadcast(words)  # at most MAX_ITEM_WORDS
-    hits = written(docs.select("_row", "text").mapInArrow(_hits(held), "row long, gram long, pos long"), "hits")
-    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    order = Window.partitionBy("item").orderBy("q").rowsBetween(0, SPAN - 1)
-    rarest = item_grams.join(often, "gram").withColumn("rarest", F.min(F.struct("often", "gram", "q")).over(order))
-    seeds = rarest.select("item", "rarest.gram", "rarest.q").distinct()
-    found = hits.join(F.broadcast(seeds), "gram").groupBy("row", "item").agg(F.collect_set(F.col("pos") - F.col("q")).alias("diagonals"))  # at most one seed a word
-    candidates = found.groupBy(block_of("row").alias("_block"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("item", "diagonals")).alias("candidates"))
-    joined = docs.join(candidates.hint("shuffle_hash"), ROW).select("_row", "id", "text", "candidates")
-    aligned = written(joined.mapInArrow(_aligned(words_held), _RESULT), "aligned")
-    best = F.max(F.struct("score", F.col("first_word") * -1, "last_word"))
-    return aligned.groupBy("row", "id", "item_id").agg(best.alias("b")).select("row", "id", "item_id", "b.score", (F.col("b.col2") * -1).alias("first_word"), "b.last_word")
+    """(row, id, item_id, score, first_word, last_word) of the best alignments; items fit one broadcast."""
+    ids, words = [], []
+    for r in items.select("item", "text").mapInArrow(_item_words, "item long, words array<long>").toLocalIterator():
+        ids.append(r["item"])
+        words.append(np.array(r["words"], np.int64).view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast(Items(ids, words))  # at most MAX_ITEM_WORDS
+    return written(docs.select(F.col("_row").alias("row"), "id", "text").mapInArrow(_aligned(held), _RESULT), "aligned")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
-    """Leaks between `docs` (columns _block, _row, id, text) and a benchmark, as (row, id, item_id, score, first_word, last_word).
+    """Leaks between `docs` (columns _row, id, text) and a benchmark, as (row, id, item_id, score, first_word, last_word).
 
     The best alignment per row and item, scores from MIN_SCORE, words counted from 0. Items with fewer than GRAM words,
-    null items and null item ids are never found. Benchmarks beyond MAX_ITEM_WORDS are taken in parts, each with a pass
-    over the documents."""
+    null items and null item ids are never found. Benchmarks beyond MAX_ITEM_WORDS are taken in parts, each with a pass over the documents."""
     items = written(benchmark.filter(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text")).dropDuplicates(["item"]), "items")
     size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x20]+")))).first()[0] or 0
     parts = -(-size // MAX_ITEM_WORDS) or 1
-    found = [_leaks(docs, items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == i)) for i in range(parts)]
+    found = [_leaks(docs, items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i)) for i in range(parts)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -203,14 +242,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column:
 def find_leaks(df: DataFrame, id_column: str, text_column: str, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
     """One row per (document, item) found: id, item_id, score, first_word, last_word. Null texts hold nothing; repeated
     rows and rows with a null id are reported like any other."""
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return leaks(numbered(docs, "passages"), benchmark, item_column, item_text).drop("row")
+    docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return leaks(docs, benchmark, item_column, item_text).drop("row")
 
 
 def decontaminate(df: DataFrame, id_column: str, text_column: str, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
     """The rows of `df` without a leak, all columns as they were."""
     docs = numbered(df, "passages")
-    found = leaks(docs.select(*ROW, F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
+    found = leaks(docs.select("_row", F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
     return docs.join(found.select(block_of("row").alias("_block"), F.col("row").alias("_row")).distinct(), ROW, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 

@@ -67,6 +67,35 @@ def test_edited_copies_are_found_and_clean_documents_are_not(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d is not None and d not in {w for w, _ in want})
 
 
+def test_edited_copies_beside_exact_copies_are_found(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((15, 20, 25, 30, 35, 40, 50))]
+    rows = []
+    for i, text in items:
+        ws = text.split(" ")
+        rows += [(100 * i + k, " ".join(words(rng, 30) + ws + words(rng, 30))) for k in range(3)]
+        rows += [(100 * i + 10 + every, " ".join(words(rng, 30) + [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(ws)] + words(rng, 30))) for every in (4, 5)]
+    got = decontaminate.find_leaks(documents(spark, rows), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()
+    assert sorted((r.id, r.item_id) for r in got) == sorted((d, d // 100) for d, _ in rows)
+
+
+def test_leaks_are_those_of_aligning_everything(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 64)  # in this process; the arrays are small in either case
+    rng = np.random.default_rng(10)
+    items = [rng.integers(1, 9, n, dtype=np.uint64) for n in rng.integers(3, 14, 40)]
+    texts = [rng.integers(1, 12, n, dtype=np.uint64) for n in rng.integers(0, 60, 40)]
+    known = decontaminate.Items(list(range(len(items))), items)
+    h, counts = np.concatenate(texts), np.array([len(t) for t in texts])
+    text, item, low, high = decontaminate.passages(known, h, counts)
+    start = (np.cumsum(counts) - counts)[text]
+    able = decontaminate.can_hold(known, h, item, start + low, start + high)
+    best, _ = decontaminate._batched([items[i] for i in item], [texts[t][a:b] for t, a, b in zip(text, low, high)])
+    assert not able.all() and (best[~able] < decontaminate.MIN_SCORE * 2 * known.sizes[item[~able]]).all()
+    runs = [{tuple(x[k : k + 3]) for k in range(len(x) - 2)} for x in map(np.ndarray.tolist, items)]
+    held = [{tuple(x[k : k + 3]) for k in range(len(x) - 2)} for x in map(np.ndarray.tolist, texts)]
+    assert {(t, i) for t, i in zip(text.tolist(), item.tolist())} == {(t, i) for t in range(len(texts)) for i in range(len(items)) if runs[i] & held[t]}
+
+
 def test_no_benchmark_and_no_documents(spark):
     docs, items = documents(spark, awkward_rows()), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect() == []
