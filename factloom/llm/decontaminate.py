@@ -227,9 +227,11 @@ def _leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, item_column: str, text_column: str) -> DataFrame:
     """Leaks between `docs` (columns _row, id, text) and a benchmark, as (row, id, item_id, score, first_word, last_word).
 
-    The best alignment per row and item, scores from MIN_SCORE, words counted from 0. Items with fewer than GRAM words,
-    null items and null item ids are never found. Benchmarks beyond MAX_ITEM_WORDS are taken in parts, each with a pass over the documents."""
-    items = written(benchmark.filter(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text")).dropDuplicates(["item"]), "items")
+    The best alignment per row and item, scores from MIN_SCORE, words counted from 0. Items are the different rows of the
+    benchmark: texts under one id are searched each, as are those under none. Items with fewer than GRAM words and
+    null texts are never found. Benchmarks beyond MAX_ITEM_WORDS are taken in parts, each with a pass over the documents."""
+    named = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text"))
+    items = written(named.distinct(), "items")
     size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x20]+")))).first()[0] or 0
     parts = -(-size // MAX_ITEM_WORDS) or 1
     found = [_leaks(docs, items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i)) for i in range(parts)]

@@ -79,6 +79,18 @@ def test_edited_copies_beside_exact_copies_are_found(spark):
     assert sorted((r.id, r.item_id) for r in got) == sorted((d, d // 100) for d, _ in rows)
 
 
+def test_texts_under_one_item_id_and_under_none_are_found(spark):
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 20)) for _ in range(4)]
+    benchmark = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[0]), (None, None)], "item_id long, text string")
+    rows = [(i, " ".join(words(rng, 30) + t.split(" ") + words(rng, 30))) for i, t in enumerate(texts)] + [(4, " ".join(words(rng, 90)))]
+    got = decontaminate.find_leaks(documents(spark, rows), "doc_id", "text", benchmark, "item_id", "text").collect()
+    assert sorted((r.id, r.item_id, r.score) for r in got if r.id < 2) == [(0, 1, 1.0), (1, 1, 1.0)]
+    assert sorted((r.id, r.item_id, r.score) for r in got if r.id >= 2) == [(2, None, 1.0), (3, None, 1.0)]
+    kept = decontaminate.decontaminate(documents(spark, rows), "doc_id", "text", benchmark, "item_id", "text")
+    assert [r.doc_id for r in kept.collect()] == [4]
+
+
 def test_leaks_are_those_of_aligning_everything(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PAIRS", 64)  # in this process; the arrays are small in either case
     rng = np.random.default_rng(10)
