@@ -2,8 +2,9 @@
 
 Every run of three words of every text is joined by its hash to the positions of the same run in license templates.
 A hit votes for the diagonal `text position - template position`; neighbouring diagonals (an inserted or lost word
-moves the rest of a text by one) merge into one span, and a span counts with the share of the template's runs it holds.
-The words of a hit are compared in the join itself, so equal hashes alone never count."""
+moves the rest of a text by one) merge into one span. The words of a hit are compared in the join itself, so equal hashes
+alone never count. Spans are then verified: their words are compared with the template's one by one, and the words that
+tell a license from its relatives must agree."""
 from __future__ import annotations
 
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ class Template:
     label: str
     text: str
     exact: bool = False  # counts only where all words stand consecutively
+    needs: tuple[str, ...] = ()  # words of the template that a span must have in their place
+    bars: tuple[str, ...] = ()  # words of other licenses that may not stand inside a span
 
 
 #: Fixed phrases and their labels.
@@ -33,15 +36,15 @@ BASE = (
 )
 #: Opening sentences and usual notices of common licenses.
 TEMPLATES = (
-    Template("agpl-3", "gnu affero general public license version 3"),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    Template("agpl-3", "gnu affero general public license version 3", needs=("affero", "3"), bars=("lesser", "library")),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", needs=("apache", "2")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("gpl-3", "licensed under the gnu general public license version 3"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", needs=("attribution",), bars=("sharealike", "share", "noncommercial", "commercial", "noderivatives", "noderivs", "derivatives", "derivs")),
+    Template("gpl-3", "licensed under the gnu general public license version 3", needs=("gnu", "general", "3"), bars=("affero", "lesser", "library")),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", needs=("mozilla", "2")),
 )
-MIN_SHARE = 0.6
+MIN_SHARE = 0.6  # of a template's words, verified; of its runs, by vote
 BAND = 2
 MAX_GRAMS = 100_000  # the template table is broadcast; more is refused
 
@@ -53,17 +56,22 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int
         words = t.text.split(" ")
         if len(words) < k:
             raise ValueError(f"a template needs {k} words: {t.text!r}")
-        rows += [(number, i, len(words) - k + 1, t.exact, t.label, *words[i : i + k]) for i in range(len(words) - k + 1)]
+        if missing := set(t.needs) - set(words):
+            raise ValueError(f"not words of the template {t.text!r}: {sorted(missing)}")
+        needed = [i for i, w in enumerate(words) if w in t.needs]
+        rows += [(number, i, len(words) - k + 1, t.exact, t.label, words, needed, list(t.bars), *words[i : i + k]) for i in range(len(words) - k + 1)]
     if len(rows) > MAX_GRAMS:
         raise ValueError(f"{len(rows)} template runs are too many to broadcast; at most {MAX_GRAMS}")
     names = ", ".join(f"t{i} string" for i in range(k))
-    grams = spark.createDataFrame(rows, f"template int, at int, runs int, exact boolean, label string, {names}")
+    grams = spark.createDataFrame(rows, f"template int, at int, runs int, exact boolean, label string, all_words array<string>, needs array<int>, bars array<string>, {names}")
     return grams.withColumn("gram", F.xxhash64(*[f"t{i}" for i in range(k)]))
 
 
 def spans(df: DataFrame, text_column: str, templates: tuple[Template, ...], k: int = K, band: int = BAND) -> DataFrame:
     """Per input row (`row`, its place in the scan) and merged diagonal: label, exact, runs, found (different runs of the
-    template that it holds), first_word, n_words of the text. A row without a hit appears once with null label.
+    template that it holds), same (places of the template whose word stands there in the text), needed (all distinguishing
+    words are among them), barred (a word of another license stands inside), first_word, n_words of the text. A row without
+    a hit appears once with null label.
 
     Null text: no words. Long texts: the words of one text are exploded as a stream, never gathered again."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -76,31 +84,44 @@ def spans(df: DataFrame, text_column: str, templates: tuple[Template, ...], k: i
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    hits = runs_of_text.join(grams, condition, "left")
-    votes = hits.groupBy("row", "id", F.when(F.col("template").isNotNull(), F.col("pos") - F.col("at")).alias("diagonal"), "template").agg(
+    start = F.col("pos") - F.col("at")
+    stretch = F.when(F.col("template").isNotNull(), F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("runs") + (k - 1)))
+    hits = runs_of_text.join(grams, condition, "left").select(
+        "row", "id", "n_words", "pos", "template", "at", "label", "exact", "runs", "all_words", "needs", "bars", F.when(F.col("template").isNotNull(), start).alias("diagonal"), stretch.alias("stretch")
+    )
+    votes = hits.groupBy("row", "id", "diagonal", "template").agg(
         F.max("n_words").cast("long").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("runs").alias("runs"),
-        F.min("pos").alias("from"), F.collect_set("at").alias("found"),
+        F.min("pos").alias("from"), F.collect_set("at").alias("found"), *[F.first(c).alias(c) for c in ("all_words", "needs", "bars", "stretch")],
     )
+    here = F.transform("stretch", F.lower)
+    before = F.least(F.col("diagonal"), F.lit(0))  # a text that begins inside the template
+    same_words = F.filter(F.sequence(F.lit(0), F.col("runs") + (k - 2)), lambda i: F.get(here, i + before) == F.get("all_words", i))
+    strange = F.filter(F.transform(here, lambda w, i: F.when(F.array_contains("bars", w), i + F.greatest(F.col("diagonal"), F.lit(0)))), lambda i: i.isNotNull())
+    votes = votes.withColumn("same", same_words).withColumn("strange", strange)
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("exact"), 0).otherwise(band), F.lit(True))
     numbered = votes.withColumn("apart", apart).withColumn("span", F.sum(F.col("apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("row", "id", "template", "span").agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("runs").alias("runs"),
         F.min("diagonal").cast("long").alias("start"), F.min("from").cast("long").alias("first_word"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"),
-    )
+        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"), F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"),
+        F.first("needs").alias("needs"), F.flatten(F.collect_list("strange")).alias("strange"),
+        F.min(F.col("diagonal") + F.array_min("same")).alias("begins"), F.max(F.col("diagonal") + F.array_max("same")).alias("ends"),
+    ).withColumn("needed", F.size(F.array_except("needs", "same")) == 0).withColumn("barred", F.exists("strange", lambda p: p.between(F.col("begins"), F.col("ends"))))
 
 
-def scan(df: DataFrame, id_column: str, text_column: str, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, min_share: float = MIN_SHARE) -> DataFrame:
+def scan(df: DataFrame, id_column: str, text_column: str, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, min_share: float = MIN_SHARE, verify: bool = True) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    `base` templates count where every word stands in place; the others from `min_share` of their runs. `score` is the
-    largest share of any template's runs in one span, 0 without a hit. Null and empty texts: no words, no labels, 0."""
+    `base` templates count where every word stands in place; the others where a span has `min_share` of their words, all
+    distinguishing words among them and none of another license (without `verify`: from `min_share` of their runs).
+    `score` is the largest share of any template's runs in one span, 0 without a hit. Null and empty texts: no words, no labels, 0."""
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = spans(source, "text", tuple(base) + tuple(templates))
     share = F.col("found") / F.col("runs")
     whole = F.col("exact") & (F.col("found") == F.col("runs"))
-    held = whole | (~F.col("exact") & (share >= min_share))
+    verified = (F.size("same") >= min_share * (F.col("runs") + (K - 1))) & F.col("needed") & ~F.col("barred")
+    held = whole | (~F.col("exact") & (verified if verify else share >= min_share))
 
     def labels(which):
         return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
@@ -152,4 +173,11 @@ FROM w LEFT JOIN r USING (doc_id)"""
 
 @query("op10_license_scan", SQL)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote alone, as its SQL states it."""
+    return scan(table(spark, sf_dir, "documents"), "doc_id", "text", verify=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_verified_licenses")
+def op10_verified_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan: labels of verified spans. Other columns are those of op10_license_scan."""
     return scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")

@@ -98,6 +98,22 @@ def test_license_text_with_edits(spark):
     assert rows[2].labels == "" and 0 < rows[2].score < 0.2
 
 
+def test_license_spans_are_verified(spark):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split(" ")
+    cases = [
+        ("Licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under the GNU General Public License, version 2.", ""),
+        ("Licensed under the GNU Lesser General Public License version 3", ""), ("licensed under the GNU Affero General Public License version 3", "agpl-3"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        *[(f"This work is licensed under a Creative Commons Attribution-{x} 4.0 International License", "") for x in ("ShareAlike", "NonCommercial", "NoDerivatives")],
+        (" ".join("other" if i % 6 == 5 else w for i, w in enumerate(mit)), "mit"), (" ".join(mit[4:]), "mit"), (" ".join(mit[:9]), ""),
+        ("Unlike lesser ones, this is licensed under the GNU General Public License version 3, not the Affero one", "gpl-3"),
+    ]
+    rows = license_scan.scan(documents(spark, [(i, text) for i, (text, _) in enumerate(cases)]), "doc_id", "text").collect()
+    assert {r.id: r.labels for r in rows} == {i: label for i, (_, label) in enumerate(cases)}
+    with pytest.raises(ValueError):
+        license_scan.template_grams(spark, (license_scan.Template("x", "three words here", needs=("four",)),))
+
+
 def test_a_template_needs_enough_words(spark):
     with pytest.raises(ValueError):
         license_scan.template_grams(spark, (license_scan.Template("x", "two words"),))
