@@ -4,13 +4,13 @@ A signature is `CHUNKS * CHUNK` symbols of 32 bits, each the smallest of the doc
 permutation. Two signatures that differ in at most `DISTANCE = CHUNKS * (ERRORS + 1) - 1` symbols differ in at most
 ERRORS symbols of some chunk (pigeonhole), so they share a key when every chunk is entered once for each choice of
 ERRORS symbols left out. All such pairs are found. At a similarity of 0.75 a pair differs in 9 of 36 symbols on
-average and in more than 23 with a probability of about 1e-8.
+average and in more than 23 with a probability of 1.7e-7 (binomial).
 
 No group emits its pairs. Documents with equal sets are one class. In each bucket every class is first compared with
 the bucket's smallest class. Where a bucket still spans several components, classes are compared with those of other
 components inside the task, by signature and then by the smallest hashes of their sets, and each sends its few likeliest
-partners. Only what is still apart after that is compared in full. A pair is judged in the first of its common buckets
-alone, and every link is confirmed on whole sets."""
+partners. Only what is still apart after that is compared in full: there the smallest hashes drop no pair, only sizes that
+rule a link out do. A pair is judged in the first of its common buckets alone, and every link is confirmed on whole sets."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -34,7 +34,7 @@ SEED = 7
 BLOCK = 512  # classes of a bucket compared at a time
 LIKELIEST = 2  # partners that a class sends from a bucket before the full comparison
 BOTTOM = 256  # smallest hashes of a set that travel to a bucket; smaller sets travel whole
-DEVIATIONS = 4.5  # by which the similarity of the smallest hashes may fall short of that of the sets
+DEVIATIONS = 4.5  # before the full comparison: by which the similarity of the smallest hashes may fall short of that of the sets
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,20 @@ def bottom_similar(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarra
     share = twice / either
     whole = (n_x <= BOTTOM) & (n_y <= BOTTOM)
     least = SHARE / 100 - np.where(whole, 0.005, DEVIATIONS * np.sqrt(SHARE / 100 * (1 - SHARE / 100) / either))
-    return share, (share >= least) & (100 * np.minimum(n_x, n_y) >= SHARE * np.maximum(n_x, n_y))
+    return share, (share >= least) & sizes_allow(n_x, n_y)
+
+
+def sizes_allow(n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(n_x, n_y) >= SHARE * np.maximum(n_x, n_y)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Whether sets may be similar enough, ruled out only by what holds for certain: sizes, and the smallest hashes of two
+    sets that travel whole."""
+    share, _ = bottom_similar(x, y, n_x, n_y)
+    whole = (n_x <= BOTTOM) & (n_y <= BOTTOM)
+    return sizes_allow(n_x, n_y) & (~whole | (share >= SHARE / 100 - 0.005))
 
 
 def _digests(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +168,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(best: bool):
     """Pairs of different components that may be similar, bucket by bucket; rows come sorted by key and component.
 
-    A pair counts in the first of its common buckets only. With `best`, a class sends its LIKELIEST partners alone."""
+    A pair counts in the first of its common buckets only. With `best`, a class sends its LIKELIEST partners alone, as
+    judged by the smallest hashes; without, every pair that may be linked."""
     chosen = list(combinations(range(CHUNK), CHUNK - ERRORS))
 
     def first_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,7 +194,8 @@ def _across(best: bool):
                     a_, b_ = a[at : at + (1 << 15)] + i, b[at : at + (1 << 15)] + j
                     here = first_common(symbols[a_], symbols[b_]) == slot
                     a_, b_ = a_[here], b_[here]
-                    share, similar = bottom_similar(least[a_], least[b_], sizes[a_], sizes[b_])
+                    sketches = least[a_], least[b_], sizes[a_], sizes[b_]
+                    share, similar = bottom_similar(*sketches) if best else (np.zeros(len(a_)), may_link(*sketches))
                     found.append((a_[similar], b_[similar], share[similar]))
             if found:
                 a, b, share = (np.concatenate(p) for p in zip(*found))
@@ -218,7 +233,7 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, n, the smallest hashes of its set: 32 bits each, in order)."""
     for batch in batches:
         sets = [np.array(v, np.int64).view(np.uint64) for v in batch.column(1).to_pylist()]
-        packed = [(v[:BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes() for v in sets]
+        packed = [np.minimum(v[:BOTTOM] >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32).tobytes() for v in sets]  # below the padding
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "least"])
 
 

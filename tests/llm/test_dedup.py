@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cases import CLASHING, awkward_rows, documents, words
@@ -222,3 +223,16 @@ def test_smallest_hashes_tell_similarity():
             share, similar = minhash.bottom_similar(rows[:1], rows[1:], np.array([n]), np.array([n]))
             real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             assert abs(share[0] - real) < (1e-9 if n <= minhash.BOTTOM else 0.13) and (similar[0] or real < 0.75)
+
+
+def test_full_comparison_drops_no_pair_by_its_smallest_hashes():
+    rng = np.random.default_rng(12)
+    shared, own = rng.integers(1 << 62, 1 << 63, 1720, dtype=np.uint64), rng.integers(1, 1 << 61, (2, 280), dtype=np.uint64)
+    sets = [np.sort(np.concatenate([shared, o])) for o in own]  # similar by 0.754, but not in a single one of the smallest hashes
+    symbols = minhash.signatures(np.concatenate(sets), np.array([2000, 2000]))
+    keys = minhash.bucket_keys(symbols).view(np.int64)
+    least = [(s[: minhash.BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+    rows = sorted((int(keys[i, k]), i, i, symbols[i].tobytes(), 2000, least[i]) for k in np.nonzero(keys[0] == keys[1])[0] for i in range(2))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "node", "root", "signature", "n", "least"), row)) for row in rows])
+    assert [b.to_pylist() for b in minhash._across(False)(iter([batch]))] == [[{"a": 0, "b": 1}]]
+    assert not minhash.sizes_allow(np.array([74]), np.array([100]))[0] and minhash.sizes_allow(np.array([75]), np.array([100]))[0]
