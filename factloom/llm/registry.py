@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ["url_filter", "license_scan", "quality_rules", "token_files", "packing", "warc", "minhash", "repeats", "lines", "decontaminate"]
+_MODULES = ["url_filter", "license_scan", "quality_rules", "token_files", "packing", "warc", "minhash", "repeats", "lines", "decontaminate", "spelling", "negatives", "secrets"]
 
 
 def query(name: str, sql: str | None = None):
