@@ -11,11 +11,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from factloom.llm.common import split_words
+from factloom.llm.common import byte_hash, split_words
 
-CACHE_WORDS = 100_000  # per worker process; words beyond are encoded again in each batch
-SLICE_BYTES = 2 << 20
+CACHE_WORDS = 400_000  # per worker process; words beyond are encoded again in each slice
+SLICE_BYTES = 8 << 20
 FENCE = "\x01"  # stands between words that are encoded in one call; words that hold it are encoded alone
 
 
@@ -57,10 +58,10 @@ class WordEncoder:
         if len(self.fence) != 1:
             raise ValueError(f"{path} has no single id for {FENCE!r}")
         self.limit = cache_words
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.starts, self.sizes = np.zeros(cache_words + 1, np.int64), np.zeros(cache_words + 1, np.int64)
-        self.end = 0
+        # known words: sorted hashes, the words in that order, and where their ids stand
+        self.keys, self.words = np.zeros(0, np.uint64), pa.array([], pa.large_string())
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and the number of ids of each word."""
@@ -79,35 +80,45 @@ class WordEncoder:
             ids, counts[i] = np.concatenate([ids[:at], np.array(found, np.uint32), ids[at:]]), len(found)
         return ids, counts
 
+    def _find(self, words: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word among the known ones, and whether it is there: equal hashes count only for equal words."""
+        if not len(self.keys):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[place] == keys
+        same = pc.equal(self.words.take(pa.array(place)), words).to_numpy(zero_copy_only=False)
+        return place, found & same
+
+    def _remember(self, words: pa.Array, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, store: np.ndarray) -> None:
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.words = pa.concat_arrays([self.words, words]).take(pa.array(order))
+        self.keys = keys[order]
+        self.starts, self.sizes = np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+        self.ids = store[: int(starts[-1] + sizes[-1])].copy()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of all texts in order, and the number of ids of each text."""
         words, counts = split_words(texts)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self.known
-        place = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
-        missing = np.nonzero(place < 0)[0]
-        starts, sizes = self.starts[place], self.sizes[place]
-        store = self.ids[: self.end]
+        distinct = coded.dictionary
+        keys = byte_hash(distinct)
+        place, found = self._find(distinct, keys)
+        starts, sizes, store = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
+        starts[found], sizes[found] = self.starts[place[found]], self.sizes[place[found]]
+        missing = np.nonzero(~found)[0]
         if len(missing):
-            new = [distinct[i] for i in missing]
-            parts = [self._encode(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+            new = distinct.take(pa.array(missing))
+            parts = [self._encode(new[i : i + 20_000].to_pylist()) for i in range(0, len(new), 20_000)]
             ids, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             at = np.cumsum(n) - n
-            starts[missing], sizes[missing] = self.end + at, n
+            starts[missing], sizes[missing] = len(store) + at, n
             store = np.concatenate([store, ids])
-            keep = min(len(new), self.limit - len(known))
+            keep = min(len(new), self.limit - len(self.keys))
             if keep > 0:
-                first = len(known)
-                known.update(zip(new[:keep], range(first, first + keep)))
-                self.starts[first : first + keep], self.sizes[first : first + keep] = self.end + at[:keep], n[:keep]
-                last = self.end + int(n[:keep].sum())
-                if last > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(last, len(self.ids)), np.uint32)])
-                self.ids[self.end : last] = store[self.end : last]
-                self.end = last
+                self._remember(new[:keep], keys[missing[:keep]], starts[missing[:keep]], n[:keep], store)
         code = coded.indices.to_numpy()
         word_sizes = sizes[code]
         ids = store[ragged(starts[code], word_sizes)]
