@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,22 +117,16 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
     gone = repeated_lines(lines, min_words).join(lines.select("row", "n", "at"), ["row", "n"])
     gone = gone.groupBy(block_of("row").alias("_block"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("_gone"))
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, numbers: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(text, numbers):
-            if t is not None and g is not None and len(g):
-                removed = set(g.tolist())
-                t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in removed)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
     joined = docs.join(gone.hint("shuffle_hash"), ROW, "left")
     lost = F.coalesce(F.col("_gone.n"), F.array().cast("array<long>"))
     text = F.col(text_column)
+    all_lines, cut = F.split(text, "\n"), F.col("_gone.at")
+    # the stretches between removed lines, one slice each: as much work as there are lines
+    first, end = F.concat(F.array(F.lit(-1).cast("long")), cut), F.concat(cut, F.array(F.size(all_lines).cast("long")))
+    left = F.flatten(F.zip_with(first, end, lambda a, b: F.slice(all_lines, (a + 2).cast("int"), (b - a - 1).cast("int"))))
     # columns of the input come first and keep their names; the counts take names with an underscore
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(without(text, F.col("_gone.at"))).alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns],
+        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns],
         F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("_n_lines"), F.size(lost).cast("long").alias("_n_removed"),
         F.size(F.filter(lost, lambda x, i: (i == 0) | (F.get(lost, i - 1) < x - 1))).cast("long").alias("_n_runs"),
     )
