@@ -8,6 +8,7 @@ tell a license from its relatives must agree."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from factloom.llm.common import table
 from factloom.llm.registry import query
 
 K = 3
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of a text with A-Z lower-cased
 
 
 @dataclass(frozen=True)
@@ -74,10 +75,10 @@ def spans(df: DataFrame, text_column: str, templates: tuple[Template, ...], k: i
     a hit appears once with null label.
 
     Null text: no words. Long texts: the words of one text are exploded as a stream, never gathered again."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text = F.translate(F.coalesce(F.col(text_column), F.lit("")), ascii_uppercase, ascii_lowercase)
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), *[c for c in ("id",) if c in df.columns])
     words = rows.select("row", "id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
-    run = [F.lower(F.get("words", F.col("pos") + i)) for i in range(k)]
+    run = [F.get("words", F.col("pos") + i) for i in range(k)]
     runs_of_text = words.withColumn("gram", F.xxhash64(*run))
     grams = F.broadcast(template_grams(df.sparkSession, templates, k))  # at most MAX_GRAMS short rows
     same = [runs_of_text["gram"] == grams["gram"], *[r == F.col(f"t{i}") for i, r in enumerate(run)]]
@@ -86,14 +87,15 @@ def spans(df: DataFrame, text_column: str, templates: tuple[Template, ...], k: i
         condition = condition & c
     start = F.col("pos") - F.col("at")
     stretch = F.when(F.col("template").isNotNull(), F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("runs") + (k - 1)))
-    hits = runs_of_text.join(grams, condition, "left").select(
+    told = F.col("template").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)  # hits, and one row of every text
+    hits = runs_of_text.join(grams, condition, "left").filter(told).select(
         "row", "id", "n_words", "pos", "template", "at", "label", "exact", "runs", "all_words", "needs", "bars", F.when(F.col("template").isNotNull(), start).alias("diagonal"), stretch.alias("stretch")
     )
     votes = hits.groupBy("row", "id", "diagonal", "template").agg(
         F.max("n_words").cast("long").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("runs").alias("runs"),
         F.min("pos").alias("from"), F.collect_set("at").alias("found"), *[F.first(c).alias(c) for c in ("all_words", "needs", "bars", "stretch")],
     )
-    here = F.transform("stretch", F.lower)
+    here = F.col("stretch")
     before = F.least(F.col("diagonal"), F.lit(0))  # a text that begins inside the template
     same_words = F.filter(F.sequence(F.lit(0), F.col("runs") + (k - 2)), lambda i: F.get(here, i + before) == F.get("all_words", i))
     strange = F.filter(F.transform(here, lambda w, i: F.when(F.array_contains("bars", w), i + F.greatest(F.col("diagonal"), F.lit(0)))), lambda i: i.isNotNull())
@@ -110,18 +112,18 @@ def spans(df: DataFrame, text_column: str, templates: tuple[Template, ...], k: i
     ).withColumn("needed", F.size(F.array_except("needs", "same")) == 0).withColumn("barred", F.exists("strange", lambda p: p.between(F.col("begins"), F.col("ends"))))
 
 
-def scan(df: DataFrame, id_column: str, text_column: str, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, min_share: float = MIN_SHARE, verify: bool = True) -> DataFrame:
+def scan(df: DataFrame, id_column: str, text_column: str, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     `base` templates count where every word stands in place; the others where a span has `min_share` of their words, all
-    distinguishing words among them and none of another license (without `verify`: from `min_share` of their runs).
+    distinguishing words among them and none of another license.
     `score` is the largest share of any template's runs in one span, 0 without a hit. Null and empty texts: no words, no labels, 0."""
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = spans(source, "text", tuple(base) + tuple(templates))
     share = F.col("found") / F.col("runs")
     whole = F.col("exact") & (F.col("found") == F.col("runs"))
     verified = (F.size("same") >= min_share * (F.col("runs") + (K - 1))) & F.col("needed") & ~F.col("barred")
-    held = whole | (~F.col("exact") & (verified if verify else share >= min_share))
+    held = whole | (~F.col("exact") & verified)
 
     def labels(which):
         return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
@@ -133,21 +135,25 @@ def scan(df: DataFrame, id_column: str, text_column: str, base: tuple[Template,
     ).drop("row")
 
 
-def _values() -> str:
-    rows = []
+def _values() -> tuple[str, str]:
+    """The runs and the words of all templates, as SQL rows."""
+    runs, whole = [], []
     for number, t in enumerate(BASE + TEMPLATES):
         words = t.text.split(" ")
-        rows += [f"({number}, {i}, {len(words) - K + 1}, {str(t.exact).lower()}, '{t.label}', '{words[i]}', '{words[i + 1]}', '{words[i + 2]}')" for i in range(len(words) - K + 1)]
-    return ", ".join(rows)
+        whole.append(f"({number}, {words}, {[i for i, w in enumerate(words) if w in t.needs]}::INT[], {list(t.bars)}::VARCHAR[])")
+        runs += [f"({number}, {i}, {len(words) - K + 1}, {str(t.exact).lower()}, '{t.label}', '{words[i]}', '{words[i + 1]}', '{words[i + 2]}')" for i in range(len(words) - K + 1)]
+    return ", ".join(runs), ", ".join(whole)
 
 
+_RUNS, _WHOLE = _values()
 SQL = rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ), p AS (
   SELECT doc_id, pos, ws[pos + 1] AS a, ws[pos + 2] AS b, ws[pos + 3] AS c FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM w)
-), t(template, at_, runs, exact, label, t0, t1, t2) AS (VALUES {_values()}),
+), t(template, at_, runs, exact, label, t0, t1, t2) AS (VALUES {_RUNS}),
+tt(template, words, needs, bars) AS (VALUES {_WHOLE}),
 hits AS (SELECT doc_id, template, runs, exact, label, pos, at_, pos - at_ AS diagonal FROM p JOIN t ON a = t0 AND b = t1 AND c = t2),
 d AS (SELECT DISTINCT doc_id, template, exact, diagonal FROM hits),
 g AS (
@@ -158,13 +164,25 @@ g AS (
   SELECT h.doc_id, h.template, span, max(h.runs) AS runs, bool_or(h.exact) AS exact, max(h.label) AS label,
          count(DISTINCT at_) AS found, min(h.diagonal) AS start
   FROM hits h JOIN g ON h.doc_id = g.doc_id AND h.template = g.template AND h.diagonal = g.diagonal GROUP BY h.doc_id, h.template, span
+), v AS (
+  SELECT g.doc_id, g.template, span, diagonal, needs,
+         list_filter(range(0, len(words)), lambda i: diagonal + i >= 0 AND ws[diagonal + i + 1] = words[i + 1]) AS same,
+         list_filter(range(greatest(diagonal, 0), greatest(diagonal, 0) + len(words)), lambda i: list_contains(bars, ws[i + 1])) AS strange
+  FROM g JOIN w ON w.doc_id = g.doc_id JOIN tt ON tt.template = g.template
+), m AS (
+  SELECT doc_id, template, span, list_distinct(flatten(list(same))) AS same, any_value(needs) AS needs, flatten(list(strange)) AS strange,
+         min(diagonal + list_min(same)) AS begins, max(diagonal + list_max(same)) AS ends
+  FROM v GROUP BY doc_id, template, span
+), x AS (
+  SELECT s.*, exact AND found = runs AS whole,
+         (exact AND found = runs) OR (NOT exact AND len(same) >= {MIN_SHARE}::DOUBLE * (runs + {K - 1}) AND list_has_all(same, needs)
+                                      AND len(list_filter(strange, lambda i: i BETWEEN begins AND ends)) = 0) AS held
+  FROM s JOIN m ON s.doc_id = m.doc_id AND s.template = m.template AND s.span = m.span
 ), r AS (
-  SELECT doc_id, count(*) FILTER (exact AND found = runs) AS n_base, min(start) FILTER (exact AND found = runs) AS first_word,
-         max(start) FILTER (exact AND found = runs) AS last_word,
-         array_to_string(list_sort(list_distinct(list(label) FILTER (exact AND found = runs))), ',') AS base_labels,
-         array_to_string(list_sort(list_distinct(list(label) FILTER ((exact AND found = runs) OR (NOT exact AND found / runs >= {MIN_SHARE})))), ',') AS labels,
-         max(found / runs) AS score
-  FROM s GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (whole))), ',') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (held))), ',') AS labels, max(found / runs) AS score
+  FROM x GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
        CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
@@ -173,11 +191,4 @@ FROM w LEFT JOIN r USING (doc_id)"""
 
 @query("op10_license_scan", SQL)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vote alone, as its SQL states it."""
-    return scan(table(spark, sf_dir, "documents"), "doc_id", "text", verify=False).withColumnRenamed("id", "doc_id")
-
-
-@query("op10_verified_licenses")
-def op10_verified_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scan: labels of verified spans. Other columns are those of op10_license_scan."""
     return scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
