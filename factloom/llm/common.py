@@ -28,20 +28,34 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back, so that later jobs survive lost executors."""
+def written(df: DataFrame, label: str, partition_by: list[str] | None = None, reader: SparkSession | None = None) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back (by `reader`, else by its own session), so that
+    later jobs survive lost executors."""
     path = shared_folder(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """`df` written once as a table bucketed by `key`: joins on the key leave its rows where they are."""
+def small_batches(spark: SparkSession, rows: int) -> SparkSession:
+    """A session beside `spark` with its settings, whose scans and Python batches hold at most `rows` rows: for tables
+    with large values. The caller's session stays as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+    return own
+
+
+def bucketed(df: DataFrame, key: str, label: str, reader: SparkSession | None = None) -> DataFrame:
+    """`df` written once as a table bucketed by `key`: joins on the key leave its rows where they are. Read back by
+    `reader`, else by its own session."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(partitions(spark), key).option("path", shared_folder(spark, label)).option("compression", "zstd")
     writer.saveAsTable(name)
-    return spark.table(name)
+    return (reader or spark).table(name)
 
 
 ROW = ["_block", "_row"]
@@ -52,11 +66,11 @@ def block_of(row: str) -> Column:
     return F.shiftright(F.col(row), 33)
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
+def numbered(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
     """`df` with ROW columns, written once so that the numbers stay, bucketed by block: a task writes one file, and joins
     on ROW leave these rows where they are. Columns of these names are replaced."""
-    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # a bucket key may be part of a join key
-    return bucketed(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", block_of("_row")), "_block", label)
+    (reader or df.sparkSession).conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # a bucket key may be part of a join key
+    return bucketed(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", block_of("_row")), "_block", label, reader)
 
 
 def partitions(spark: SparkSession) -> int:

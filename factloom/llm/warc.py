@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_folder, table, written
+from factloom.llm.common import ROW, numbered, shared_folder, small_batches, table, written
 from factloom.llm.registry import query
 
 SEGMENT_BYTES = 32 << 10
@@ -27,6 +27,7 @@ CHUNK_BYTES = 8 << 10
 MIN_REVISIT_BYTES = 0
 LEVEL = 4
 _READ = 64 << 10
+_PAGE_ROWS, _SEGMENT_ROWS = 256, 64  # rows of a batch of whole pages, of segments
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -111,14 +112,19 @@ def write_archives(df: DataFrame, id_column: str, url_column: str, payload_colum
 
     Of rows with equal payloads of at least `min_revisit_bytes` the one with the largest id is the response (a null id is
     the smallest; rows that repeat the largest id are responses too). A null payload is empty. Each task names its own file and reports it at its end, so what
-    a lost task leaves behind is not in the manifest. One payload shared by many rows is pre-aggregated; its rows meet
-    their response in a join whose large side Spark may split."""
+    a lost task leaves behind is not in the manifest. Responses are chosen on ids and digests alone; the answer, a few
+    bytes a row, goes back to the block of rows that its payload stands in, so payloads are not dealt anew and one
+    payload shared by many rows fills no task."""
+    spark = df.sparkSession
     payload = F.coalesce(F.col(payload_column), F.lit(""))
     pages = df.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), payload.alias("payload"))
-    pages = pages.withColumn("digest", F.sha1(F.encode("payload", "UTF-8"))).withColumn("size", F.octet_length("payload"))
-    first = pages.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.lit(True).alias("large"))
+    pages = pages.withColumn("digest", F.unhex(F.sha1(F.encode("payload", "UTF-8")))).withColumn("size", F.octet_length("payload"))
+    rows = numbered(pages, "warc_pages", small_batches(spark, _PAGE_ROWS))
+    first = rows.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.lit(True).alias("large"))
     revisit = F.coalesce(F.col("large"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("response"))
-    told = pages.join(first, "digest", "left").select("id", "url", "payload", "response", revisit.alias("revisit"))
+    answer = rows.select(*ROW, "id", "digest").join(first, "digest", "left").select(*ROW, "response", revisit.alias("revisit"))
+    told = rows.join(answer.hint("shuffle_hash"), ROW)
+    told = told.select("id", "url", "payload", "response", "revisit")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, path, n, size = None, "", 0, 0
@@ -137,7 +143,7 @@ def write_archives(df: DataFrame, id_column: str, url_column: str, payload_colum
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "n_pages": [n], "bytes": [size]})
 
-    return written(told.mapInArrow(write, "path string, n_pages long, bytes long"), "warc-manifest")
+    return written(told.mapInArrow(write, "path string, n_pages long, bytes long"), "warc-manifest", reader=spark)
 
 
 _RAW = "origin string, segment long, total long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, problem string, block binary"
@@ -169,8 +175,8 @@ def _checked(headers: dict[str, str], block: bytes | None) -> tuple[int | None,
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per page: page_id, record_type, refers_to, payload_bytes, payload_digest, problem (null when all is well).
 
-    Whole records are judged where they are read; only segments are shuffled, by their origin, and streamed in order,
-    so a task holds one record at a time. A record with a missing, repeated or cut segment has its problem named."""
+    Whole records are judged where they are read; only segments are shuffled, by their origin, and streamed in order
+    in small batches, so a task holds one record at a time. The result is a written table. A record with a missing, repeated or cut segment has its problem named."""
     files = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         group: list[dict] = []
         done: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.to_pylist():  # at most _SEGMENT_ROWS segments
                 if group and group[0]["origin"] != row["origin"]:
                     done.append(_joined(group))
                     group = []
@@ -214,9 +220,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         if done:
             yield _rows(done)
 
-    raw = written(manifest.select("path").repartition(files).mapInArrow(read, _RAW), "warc-records")
+    few = small_batches(manifest.sparkSession, _SEGMENT_ROWS)
+    raw = written(manifest.select("path").repartition(files).mapInArrow(read, _RAW), "warc-records", reader=few)
     segments = raw.filter(F.col("segment").isNotNull()).repartition("origin").sortWithinPartitions("origin", "segment")
-    whole = raw.filter(F.col("segment").isNull()).unionByName(segments.mapInArrow(join, _RAW))
+    whole = raw.filter(F.col("segment").isNull()).drop("block").unionByName(segments.mapInArrow(join, _RAW).drop("block"))
+    whole = written(whole, "warc-pages", reader=manifest.sparkSession)
     return whole.select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "problem")
 
 
