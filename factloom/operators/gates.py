@@ -288,7 +288,7 @@ def _own_names(html: Column) -> Column:
 def _with_name_span(rows: DataFrame) -> DataFrame:
     """Rows with legal_name and `_found` (what the page calls its owner), plus `name_span`: the one that
     reads like the company, else the part of a title that holds the whole name."""
-    scored = rows.withColumn("_best", similarity.best_match(F.array("legal_name"), F.col("_found")))
+    scored = computed(computed(rows, _read=F.col("_found")), _best=similarity.best_match(F.array("legal_name"), F.col("_read"))).drop("_read")
     parts = F.flatten(F.transform("_found", lambda c: F.split(c, fixed.TITLE_SEPARATOR)))
     holding = F.get(F.filter(F.transform(parts, F.trim), lambda p: names.holds_whole_name(p, F.col("legal_name"))), F.lit(0))
     span = F.when(F.col("_best.score") >= fixed.SPAN_NAME_THRESHOLD, F.col("_best.text")).otherwise(holding)
