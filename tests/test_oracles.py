@@ -10,7 +10,7 @@ from tools.check_oracles import kind, norm
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
-    "flagship_links_per_host", "a10_page_store", "b1_normalized_url", "b17_profile_urls", "b23_first_date_in_text", "b29_domain_resembles", "c3_job_postings", "c14_news_items",
+    "flagship_links_per_host", "a10_page_store", "b1_normalized_url", "b17_profile_urls", "b23_first_date_in_text", "b29_domain_resembles", "c3_job_postings", "c14_news_items", "c17_role_ads", "c21_name_span",
     "c28_filing_lines", "d1_robots_rules", "d3_disallow_filter", "e9_judged_facts", "e21_candidate_decisions", "f3_name_taken", "f9_employer_matches", "g6_numbered_evidence",
     "g8_scores", "h2_material_changes", "h7_breaker_summary", "h10_carried_forward", "j4_required_rows", "k3_trend_classes", "l1_stream_fold", "o3_verbatim_spans",
 ]
