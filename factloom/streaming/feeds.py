@@ -3,13 +3,15 @@
 Each function has a batch twin in the operators; on the same rows both give the same result."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from factloom.functions import fixed
 from factloom.operators.joins import salted_join
 from factloom.operators.ordered import latest
 from factloom.operators.refresh import consecutive_changes
+from factloom.streaming import state_log
 
 
 # --- last event decides -------------------------------------------------------------------
@@ -24,39 +26,34 @@ def changed_state(events: DataFrame, state: DataFrame, key: str, order: list[str
     return latest(state.unionByName(events, allowMissingColumns=True), [key], order)
 
 
-def upsert_fold(path: str, key: str, order: list[str], buckets: int = 64):
-    """A foreachBatch writer that keeps the last event per key as a table of key buckets. A batch rewrites
-    only the buckets it touches, each under its own batch number, and the newest complete version of a bucket
-    is the state: repeating a batch after a failure gives the same table."""
+def upsert_fold(path: str, key: str, order: list[str], buckets: int = state_log.BUCKETS, fanout: int = state_log.FANOUT):
+    """A foreachBatch writer that keeps the last event per key as a log of runs (see `state_log`): a batch writes in proportion
+    to its own events, and repeating it after a failure gives the same table."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        known = read_fold(spark, path, before=batch_id)
-        if known is not None:
-            touched = bucketed.select("bucket").distinct()
-            bucketed = bucketed.unionByName(known.join(touched, "bucket", "left_semi"))
-        latest(bucketed, [key], order).withColumn("version", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("version", "bucket").parquet(path)
+        state_log.append(batch, batch_id, path, key, order, buckets, fanout)
 
     return write
 
 
-def read_fold(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of every bucket, or None when nothing was written yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    table = spark.read.parquet(path)
-    if before is not None:
-        table = table.filter(F.col("version") < before)
-    newest = table.groupBy("bucket").agg(F.max("version").alias("version"))
-    return table.join(newest, ["bucket", "version"], "left_semi").drop("version")
+def read_fold(spark: SparkSession, path: str, key: str, order: list[str], before: int | None = None) -> DataFrame | None:
+    """The last event of every key, or None when nothing was written yet."""
+    state = state_log.read_state(spark, path, key, order, before)
+    return None if state is None else state.drop("bucket")
+
+
+# --- the modification window --------------------------------------------------------------
+
+def stream_window(events: DataFrame, at: str, key: list[str], page: str, days: int = fixed.FEED_WINDOW_DAYS, max_pages: int = fixed.FEED_PAGE_CAP) -> DataFrame:
+    """The stream form of `feed_window`: an event counts once, as long as it is less than `days` days behind the newest event
+    seen up to the batch before the last; a later one is dropped by the watermark and counted (see `late_rows`). The page cap
+    is a page's number, so it holds across batches."""
+    recent = events.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(key)
+    return recent.withColumn("truncated", F.col(page) >= max_pages)
 
 
-def within_window(events: DataFrame, at: str, days: int = fixed.FEED_WINDOW_DAYS) -> DataFrame:
-    """Events of the modification window: a watermark bounds how late one may come."""
-    return events.withWatermark(at, f"{days} days")
+def late_rows(query: StreamingQuery) -> int:
+    """Events a stream dropped for coming too late, over the batches whose progress Spark still holds."""
+    return sum(operator["numRowsDroppedByWatermark"] for progress in query.recentProgress for operator in progress["stateOperators"])
 
 
 def feed_window(events: DataFrame, at: str, now: Column, page: str, days: int = fixed.FEED_WINDOW_DAYS, max_pages: int = fixed.FEED_PAGE_CAP) -> DataFrame:
@@ -92,12 +89,12 @@ def snapshot_diff(state_path: str, changes_path: str, fields: list[str], key: st
     The state is the last snapshot per key. A batch is compared in order with it and within itself by the
     two-level look-back, so a key that fills a batch is still many tasks. A repeated or older snapshot changes
     nothing, and a batch repeated after a failure overwrites its own output."""
-    save = upsert_fold(state_path, key, [at])
+    save = upsert_fold(state_path, key, [at])  # writes in proportion to the batch; the state's own rows stay where they are
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         arrived = batch.select(key, at, *fields).dropDuplicates([key, at])
-        known = read_fold(spark, state_path, before=batch_id)
+        known = read_fold(spark, state_path, key, [at], before=batch_id)
         timeline = arrived
         if known is not None:
             last = known.select(key, F.col(at).alias("_last"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.operators import quality, refresh
 from factloom.sources import sinks, tables
-from factloom.streaming import feeds
+from factloom.streaming import feeds, state_log
 
 
 def claims(spark, day, value):
@@ -38,7 +38,27 @@ def test_fold_over_several_batches(spark, tmp_path):
     stream(spark, folder, events.schema, feeds.upsert_fold(path, "key", ["seq"], buckets=4), str(tmp_path / "offsets"))
     active = F.col("status") == "ACTIVE"
     expected = {(r.key, r.seq) for r in feeds.fold_feed(events, "key", ["seq"], active).collect()}
-    assert {(r.key, r.seq) for r in feeds.read_fold(spark, path).filter(active).collect()} == expected
+    assert {(r.key, r.seq) for r in feeds.read_fold(spark, path, "key", ["seq"]).filter(active).collect()} == expected
+
+
+def test_state_writes_by_the_batch_and_survives_a_broken_one(spark, tmp_path):
+    path, expected, sizes = str(tmp_path / "state"), {}, []
+    append = lambda rows, batch: state_log.append(spark.createDataFrame(rows, "k long, at long, v string"), batch, path, "k", ["at"], 4, 3)
+    append([(k, 0, "first") for k in range(2000)], 0)
+    for batch in range(1, 12):
+        rows = [(k, batch, f"b{batch}") for k in range(batch, 40, 3)] + [(k, -1, "too old") for k in range(100, 110)]
+        if batch in (4, 7):  # the run is written, the manifest is not
+            spark.createDataFrame([(1, 99, "lost", 0)], "k long, at long, v string, bucket int").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/runs/{batch:012d}-0")
+            assert {r.k: r.v for r in state_log.read_state(spark, path, "k", ["at"]).collect()} == {k: expected.get(k, "first") for k in range(2000)}
+        append(rows, batch)
+        if batch % 5 == 0:
+            append(rows, batch)
+        expected |= {k: v for k, at, v in rows if at > 0}
+        assert {r.k: r.v for r in state_log.read_state(spark, path, "k", ["at"]).collect()} == {k: expected.get(k, "first") for k in range(2000)}
+        sizes.append(sum(r.rows for r in state_log.live_runs(spark, path) if r.batch == batch and r.level == 0))
+    assert max(sizes) < 60  # the large first run is not written again by small batches of its level
+    assert len(list((tmp_path / "state" / "manifests").iterdir())) == 2
+    assert len(list((tmp_path / "state" / "runs").iterdir())) <= 2 * 3 * 3 + 1
 
 
 def test_diff_over_several_batches_and_a_repeated_batch(spark, tmp_path):
@@ -60,7 +80,7 @@ def test_daily_dedupe_streams(spark, tmp_path):
     folder, out = str(tmp_path / "fetches"), str(tmp_path / "days")
     fetches.coalesce(1).write.parquet(folder)
     source = spark.readStream.schema(fetches.schema).parquet(folder)
-    days = feeds.daily_dedupe(feeds.within_window(source, "at", 1), ["url"], "at")
+    days = feeds.daily_dedupe(source.withWatermark("at", "1 day"), ["url"], "at")
     days.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).start().awaitTermination()
     got = {(r.url, r.day, r.fetches) for r in spark.read.parquet(out).collect()}
     assert got and got <= {(r.url, r.day, r.fetches) for r in feeds.daily_dedupe(fetches, ["url"], "at").collect()}
