@@ -68,11 +68,28 @@ def block_of(row: str) -> Column:
 
 def numbered(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
     """`df` with ROW columns, written once so that the numbers stay, bucketed by block: a task writes one file, and joins
-    on ROW leave these rows where they are. Columns of these names are replaced."""
+    on ROW leave these rows where they are. Columns of these names are replaced: see `put_aside`."""
     (reader or df.sparkSession).conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # a bucket key may be part of a join key
     return bucketed(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", block_of("_row")), "_block", label, reader)
 
 
+def put_aside(df: DataFrame, own: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns that have one of our `own` names renamed, and the name that each column has now."""
+    taken = {c.lower() for c in df.columns} | {c.lower() for c in own}
+    names = {}
+    for c in df.columns:
+        name = c
+        while name.lower() in (taken if name != c else {o.lower() for o in own}):
+            name = f"given_{name}"
+        names[c] = name
+    return df.toDF(*names.values()), names
+
+
+def given_back(names: dict[str, str]) -> list[Column]:
+    """The columns of an input that was `put_aside`, under their own names."""
+    return [F.col(f"`{now}`").alias(c) for c, now in names.items()]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ROW, block_of, filled, numbered, table, windows, word_hashes, written
+from factloom.llm.common import ROW, block_of, filled, given_back, numbered, put_aside, table, windows, word_hashes, written
 from factloom.llm.registry import query
 from factloom.llm.tokens import ragged, slices
 
@@ -250,9 +250,10 @@ def find_leaks(df: DataFrame, id_column: str, text_column: str, benchmark: DataF
 
 def decontaminate(df: DataFrame, id_column: str, text_column: str, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame:
     """The rows of `df` without a leak, all columns as they were."""
-    docs = numbered(df, "passages")
-    found = leaks(docs.select("_row", F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
-    return docs.join(found.select(block_of("row").alias("_block"), F.col("row").alias("_row")).distinct(), ROW, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    given, names = put_aside(df, ROW)
+    docs = numbered(given, "passages")
+    found = leaks(docs.select("_row", F.col(names[id_column]).cast("long").alias("id"), F.col(names[text_column]).alias("text")), benchmark, item_column, item_text)
+    return docs.join(found.select(block_of("row").alias("_block"), F.col("row").alias("_row")).distinct(), ROW, "left_anti").select(*given_back(names))
 
 
 @query("op3_decontamination")

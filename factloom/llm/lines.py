@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ROW, block_of, filled, numbered, table, written
+from factloom.llm.common import ROW, block_of, filled, given_back, numbered, put_aside, table, written
 from factloom.llm.registry import query
 
 MIN_WORDS = 30
+COUNTS = ("_n_lines", "_n_removed", "_n_runs")
 
 
 def line_windows(words: list[int], min_words: int) -> set[tuple[int, int]]:
@@ -103,14 +104,15 @@ def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """All input columns, the text without later copies of repeated line runs, and `_n_lines`, `_n_removed`, `_n_runs`
+    """All input columns (but those named as a count below), the text without later copies of repeated line runs, and `_n_lines`, `_n_removed`, `_n_runs`
     (maximal stretches of removed lines, blank lines between them passed over).
 
     Lines are compared byte for byte; lines without a word are kept and never compared. The earliest copy, by id (nulls
     first), then by place in the scan, then by line, stays whole. A null text stays null. A text may become empty, its
     row stays. Repeated rows are documents of their own: the first keeps its text."""
-    docs = numbered(df, "lines")
-    found = docs.select("_row", F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(
+    given, names = put_aside(df.drop(*[c for c in df.columns if c.lower() in COUNTS]), [*ROW, "_gone"])
+    docs = numbered(given, "lines")
+    found = docs.select("_row", F.col(names[id_column]).cast("long").alias("id"), F.col(names[text_column]).alias("text")).mapInArrow(
         _lines(min_words), "row long, id long, n long, at long, h1 long, h2 long, runs array<long>"
     )
     lines = written(found, "lines")
@@ -119,14 +121,14 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
 
     joined = docs.join(gone.hint("shuffle_hash"), ROW, "left")
     lost = F.coalesce(F.col("_gone.n"), F.array().cast("array<long>"))
-    text = F.col(text_column)
+    text = F.col(names[text_column])
     all_lines, cut = F.split(text, "\n"), F.col("_gone.at")
     # the stretches between removed lines, one slice each: as much work as there are lines
     first, end = F.concat(F.array(F.lit(-1).cast("long")), cut), F.concat(cut, F.array(F.size(all_lines).cast("long")))
     left = F.flatten(F.zip_with(first, end, lambda a, b: F.slice(all_lines, (a + 2).cast("int"), (b - a - 1).cast("int"))))
     # columns of the input come first and keep their names; the counts take names with an underscore
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns],
+        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_column else own for c, own in zip(names, given_back(names))],
         F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("_n_lines"), F.size(lost).cast("long").alias("_n_removed"),
         F.size(F.filter(lost, lambda x, i: (i == 0) | (F.get(lost, i - 1) < x - 1))).cast("long").alias("_n_runs"),
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import MULTIPLIER, ROW, ascii_lower, block_of, filled, mix, numbered, table, windows, word_hashes, written
+from factloom.llm.common import MULTIPLIER, ROW, ascii_lower, block_of, filled, given_back, mix, numbered, put_aside, table, windows, word_hashes, written
 from factloom.llm.components import components
 from factloom.llm.registry import query
 from factloom.llm.tokens import slices
@@ -266,12 +266,13 @@ def one_of_each(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The rows of `df` without near duplicates: of each component the row with the smallest id (of equal ids the first).
 
     Texts without a word and rows with a null id stay. The columns are those of `df`."""
-    docs = numbered(df, "documents")
-    rows = judged(docs.select(F.col("_row").alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")))
+    given, names = put_aside(df, ROW)
+    docs = numbered(given, "documents")
+    rows = judged(docs.select(F.col("_row").alias("row"), F.col(names[id_column]).cast("long").alias("id"), F.col(names[text_column]).alias("text")))
     first = rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
     stay = first.unionByName(rows.filter("n_shingles = 0 OR id IS NULL").select("row"))
     stay = stay.select(block_of("row").alias("_block"), F.col("row").alias("_row"))
-    return docs.join(stay, ROW, "left_semi").select(*[f"`{c}`" for c in df.columns])
+    return docs.join(stay, ROW, "left_semi").select(*given_back(names))
 
 
 def judged(docs: DataFrame) -> DataFrame:

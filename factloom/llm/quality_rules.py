@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import table, written
 from factloom.llm.registry import query
 
 #: (name, failure as SQL over the measurements). The place in this list is the bit; rules are only ever appended.
@@ -77,19 +77,33 @@ def ledger(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *names])
 
     measured = df.select(id_column, text_column).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
-    failures = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
-    return measured.withColumn("failures", F.expr(f"CAST({failures} AS BIGINT)"))
+    return measured.withColumn("failures", F.expr(_FAILURES))
+
+
+#: The bits of the rules that fail, over the measurements.
+_FAILURES = "CAST(" + " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES)) + " AS BIGINT)"
 
 
 def _measured(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t or "") for t in texts], columns=MEASURES)
 
 
+def with_ledger(df: DataFrame, text_column: str, name: str) -> DataFrame:
+    """`df` and its ledger, written once: a struct column `name` of the measurements and `failures`. Any policy, and what each
+    of its rules alone would change, is read from this table."""
+    measures = F.pandas_udf(_measured, ", ".join(f"{n} long" for n in MEASURES))(F.col(f"`{text_column}`"))
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("given"), measures.alias("m")).select("given", "m.*")
+    told = rows.select("given", F.struct(*MEASURES, F.expr(_FAILURES).alias("failures")).alias("told"))
+    return written(told.select("given.*", F.col("told").alias(name)), "ledger")
+
+
 def good_documents(df: DataFrame, text_column: str, policy: str = CURRENT) -> DataFrame:
-    """The rows of `df` that the policy keeps, with their columns. Null and empty texts have too few words."""
-    rules = dict(RULES)
-    fails = " OR ".join(re.sub(r"\b(n_\w+|word_chars)\b", r"_measured.\1", f"({rules[name]})") for name in POLICIES[policy])
-    return df.withColumn("_measured", F.pandas_udf(_measured, ", ".join(f"{n} long" for n in MEASURES))(F.col(text_column))).filter(f"NOT ({fails})").select(*[f"`{c}`" for c in df.columns])
+    """The rows of `df` that the policy keeps, with their columns: the ledger is written with the rows, then its bits decide.
+    Null and empty texts have too few words."""
+    name = "_ledger"
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return with_ledger(df, text_column, name).filter(passes(policy, f"{name}.failures")).select(*[f"`{c}`" for c in df.columns])
 
 
 def passes(policy: str, failures: str = "failures") -> Column:
@@ -121,12 +135,24 @@ m AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered USING (doc_id)
-), f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))} AS BIGINT) AS failures FROM m)
+), f AS (SELECT *, {_FAILURES} AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {mask("base")} <> 0 AS base_failed,
        failures & {mask(CURRENT)} = 0 AS kept, n_lines, failures
 FROM f"""
 
 
+_ACTIVE = f"(failures & {mask(CURRENT)})"
+ABLATIONS_SQL = SQL.rsplit("SELECT doc_id, n_words", 1)[0] + " UNION ALL ".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER ({_ACTIVE} & {bit(name)} <> 0) AS fails, count(*) FILTER ({_ACTIVE} = {bit(name)}) AS only_this FROM f" for name in POLICIES[CURRENT]
+)
+
+
+@query("quality_rule_ablations", ABLATIONS_SQL)
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and rejects alone, from a written ledger."""
+    return ablations(with_ledger(table(spark, sf_dir, "documents"), "text", "ledger").select("ledger.*"))
+
+
 @query("op2_quality_rules", SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import random
 
-CLASHING = ["row", "id", "n", "key", "kept", "words", "block", "part", "failures", "start", "length"]
+CLASHING = ["row", "id", "n", "key", "kept", "words", "block", "part", "failures", "start", "length", "_row", "_block", "_gone", "_ledger", "_measured"]
 
 
 def documents(spark, rows, partitions=3):

@@ -91,6 +91,7 @@ def test_one_of_each_keeps_one_row(spark):
     rows = awkward_rows()
     kept = minhash.one_of_each(documents(spark, rows), "doc_id", "text")
     assert kept.columns == ["doc_id", "text", *CLASHING]
+    assert all(r[c] == "x" for r in kept.collect() for c in CLASHING)
     ids = sorted((r.doc_id for r in kept.collect() if r.doc_id is not None))
     # 1-3 have no words; 5 repeats 4; 7 (twice), 8 and 15 repeat 6; one row of 10 goes
     assert ids == [1, 2, 3, 4, 6, 9, 10, 11, 12, 13, 14] or ids == [1, 2, 3, 4, 6, 9, 11, 12, 13, 14]
@@ -181,6 +182,7 @@ def test_lines_match_brute_force(spark):
     rows += [(60, "w " * 9), (61, "\n".join(["w"] * 40)), (62, None), (63, "")]
     done = lines.dedup_lines(documents(spark, rows), "doc_id", "text", min_words=8)
     assert done.columns == ["doc_id", "text", *CLASHING, "_n_lines", "_n_removed", "_n_runs"]
+    assert all(r[c] == "x" for r in done.collect() for c in CLASHING)
     assert [r.text for r in done.orderBy("doc_id").collect()] == brute_lines(rows, 8)
 
 

@@ -64,6 +64,7 @@ def test_edited_copies_are_found_and_clean_documents_are_not(spark):
             assert plain[r.id][r.first_word : r.last_word + 1] == re.findall(r"[a-z0-9]+", items[r.item_id][1].lower()) if r.id is not None else True
     kept = decontaminate.decontaminate(documents(spark, rows), "doc_id", "text", benchmark, "item_id", "text")
     assert kept.columns == ["doc_id", "text", *CLASHING]
+    assert all(r[c] == "x" for r in kept.collect() for c in CLASHING)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d is not None and d not in {w for w, _ in want})
 
 

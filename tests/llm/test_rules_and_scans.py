@@ -69,6 +69,7 @@ def test_ledger_policies_and_ablation(spark):
         assert table[name] == (sum(r.failures & bit != 0 for r in got), sum(r.failures & mask == bit for r in got))
     good = quality_rules.good_documents(documents(spark, awkward_rows()), "text")
     assert good.columns == ["doc_id", "text", *CLASHING]
+    assert all(r[c] == "x" for r in good.collect() for c in CLASHING)
     assert sorted(r.doc_id or 0 for r in good.collect()) == sorted(r.id or 0 for r in got if not r.failures & quality_rules.mask(quality_rules.CURRENT))
 
 

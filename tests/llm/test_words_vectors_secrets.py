@@ -13,11 +13,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from cases import awkward_rows, documents
 from pyspark.sql import functions as F
 
 from factloom.llm import negatives, spelling
 from factloom.llm.secrets import KINDS, find_secrets, op13_secret_scan, secrets_of
-from tests.llm.cases import awkward_rows, documents
 
 SF = "/root/testdata/sf0.01"  # the smallest tables hold no secret
 
