@@ -5,7 +5,7 @@ import importlib
 
 _MODULES = [
     "links", "sources", "urls", "text", "names", "extraction", "registry_records", "gate_checks", "linkage", "aggregates", "windows", "sets",
-    "summaries", "streams",
+    "summaries", "streams", "runs",
 ]
 
 

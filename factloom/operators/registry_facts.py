@@ -228,10 +228,10 @@ def role_facts(responses: DataFrame) -> DataFrame:
 
 # --- annual accounts ----------------------------------------------------------------------
 
-def filings(responses: DataFrame) -> DataFrame:
-    """One row per filing of the accounts list, with its figures and its own text. The text is the filing
+def filings(responses: DataFrame, kind: str = "accounts") -> DataFrame:
+    """One row per filing of the accounts list (or of responses of another kind), with its figures and its own text. The text is the filing
     re-serialised by Spark (canonical JSON), since the list is stored as one body."""
-    read = _answered(responses, "accounts").withColumn("_list", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"))
+    read = _answered(responses, kind).withColumn("_list", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"))
     rows = read.select(*RESPONSE_KEY, F.posexplode("_list").alias("pos", "doc"))
     doc = F.col("doc")
 
