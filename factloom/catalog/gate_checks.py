@@ -138,10 +138,9 @@ def _(spark, sf):
 
 
 @query("e14_many_organisations", f"""
-WITH {S.COMPANIES} SELECT org_number, CASE WHEN c_custkey % 2 = 0 THEN 'lists_many' ELSE 'accepted' END AS decision FROM companies WHERE c_custkey % 10 = 7 UNION ALL
-SELECT org_number, CASE WHEN c_custkey % 2 = 0 THEN 'lists_many' ELSE 'accepted' END FROM companies WHERE c_custkey % 10 = 4""")
+WITH {S.COMPANIES} SELECT org_number, CASE WHEN c_custkey % 10 = 3 THEN 'not_read' WHEN c_custkey % 2 = 0 THEN 'lists_many' WHEN c_custkey % 10 = 9 THEN 'no_proof' ELSE 'accepted' END AS decision FROM companies""")
 def _(spark, sf):
-    c = _candidates(spark, sf).filter("c_custkey % 10 IN (4, 7)")
+    c = _candidates(spark, sf)
     many = F.concat(F.array("legal_name"), F.when(KEY % 2 == 0, F.array(*[F.lit(f"Shop {i}") for i in range(4)])).otherwise(F.array(F.lit("Shop 1"), F.lit("shop 1 "))))
     rows = c.withColumn("html", F.lit("<p>x</p>")).withColumn("json_names", many).withColumn("url", _text("https://x", KEY, ".no/"))
     return gates.judge_sites(rows).select("org_number", "decision")

@@ -1,6 +1,7 @@
 """Link graph and frontier (inventory C16, D1-D13) and the flagship query."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.catalog import derived
@@ -142,20 +143,22 @@ def _(spark, sf):
 
 
 @query("d10_frontier_rounds", """
-WITH e AS (SELECT DISTINCT c_nationkey AS host, c_custkey AS a, c_custkey + 25 AS b FROM customer),
-r1 AS (SELECT DISTINCT e.host, e.b AS n FROM e WHERE e.a < 25), r2 AS (SELECT DISTINCT e.host, e.b AS n FROM e JOIN r1 ON r1.host = e.host AND r1.n = e.a)
-SELECT host, CAST(round AS INT) AS round, count(*) AS pages FROM (
-  SELECT DISTINCT c_nationkey AS host, c_custkey AS n, 0 AS round FROM customer WHERE c_custkey < 25
-  UNION ALL SELECT host, n, 1 FROM r1 UNION ALL SELECT host, n, 2 FROM r2) GROUP BY ALL""")
-def _(spark, sf):
-    c = table(spark, sf, "customer")
+WITH RECURSIVE n AS (SELECT c_nationkey AS host, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer),
+e AS (SELECT a.host, a.c_custkey AS a, b.c_custkey AS b FROM n a JOIN n b ON b.host = a.host AND b.place IN (2 * a.place, 2 * a.place + 1, a.place // 2)),
+r(host, page, round) AS (
+  SELECT host, c_custkey, 0 FROM n WHERE place = 1
+  UNION SELECT e.host, e.b, round + 1 FROM r JOIN e ON e.host = r.host AND e.a = r.page WHERE round < 40 AND e.b > e.a)
+SELECT host, CAST(first AS INT) AS round, count(*) AS pages FROM (SELECT host, page, min(round) AS first FROM r GROUP BY ALL) GROUP BY ALL""")
+def _(spark, sf):
+    """From the first page of every host to the end; a page links two later ones and, back again, the one that links it."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("place"))
     page = F.concat(F.lit("https://x.no/"), F.col("c_custkey").cast("string"))
-    seeds = c.filter("c_custkey < 25").select(F.col("c_nationkey").alias("host"), page.alias("url"), F.col("c_custkey").alias("ord"))
-    edges = c.select(
-        F.col("c_nationkey").alias("host"), urls.normalize(page).alias("from_normalized"), F.concat(F.lit("https://x.no/"), (F.col("c_custkey") + 25).cast("string")).alias("link"),
-        F.col("c_custkey").alias("page_ord"), F.lit(0).alias("ord"),
-    )
-    reached = links.expand_frontier(seeds, edges, "host", 2)
+    seeds = c.filter("place = 1").select(F.col("c_nationkey").alias("host"), page.alias("url"), F.col("c_custkey").alias("ord"))
+    to = c.select("c_nationkey", F.col("place").alias("to"), page.alias("link"))
+    steps = c.select("c_nationkey", "c_custkey", F.explode(F.array(F.col("place") * 2, F.col("place") * 2 + 1, F.floor(F.col("place") / 2).cast("int"))).alias("to"))
+    edges = steps.join(to, ["c_nationkey", "to"]).select(
+        F.col("c_nationkey").alias("host"), urls.normalize(page).alias("from_normalized"), "link", F.col("c_custkey").alias("page_ord"), F.col("to").alias("ord"))
+    reached = links.expand_frontier(seeds, edges, "host")
     return reached.groupBy("host", "round").agg(F.count(F.lit(1)).alias("pages"))
 
 

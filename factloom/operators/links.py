@@ -165,18 +165,16 @@ def unseen(candidates: DataFrame, seen: DataFrame, keys: list[str], url: str, or
     return unique_pages(candidates, keys, url, order).join(seen.select(*keys, "normalized").distinct(), [*keys, "normalized"], "left_anti")
 
 
-def expand_frontier(seeds: DataFrame, edges: DataFrame, key: str, rounds: int) -> DataFrame:
-    """Pages reached from the seeds in up to `rounds` steps, first seen wins. `seeds` is (key, url, ord);
-    `edges` is (key, from_normalized, link, page_ord, ord). Each round is written out, so lineage does
-    not grow with the rounds."""
+def expand_frontier(seeds: DataFrame, edges: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
+    """Pages reached from the seeds, first seen wins, in up to `rounds` steps or until nothing is new. `seeds` is (key, url, ord);
+    `edges` is (key, from_normalized, link, page_ord, ord). A round joins the last round's new pages only, with salts,
+    as one host may own much of the links. Each round is written out, so lineage does not grow with the rounds."""
     start = unique_pages(seeds, [key], "url", ["ord"])
-    seen = start.select(key, "normalized", "url", F.lit(None).cast("string").alias("linked_from"), F.lit(0).alias("round"))
-    front = seen
-    for number in range(1, rounds + 1):
-        step = edges.join(
-            front.select(key, F.col("normalized").alias("from_normalized"), F.col("url").alias("linked_from")),
-            [key, "from_normalized"], "inner",
-        )
+    seen = materialise(start.select(key, "normalized", "url", F.lit(None).cast("string").alias("linked_from"), F.lit(0).alias("round")), "frontier-0")
+    front, number = seen, 0
+    while (rounds is None or number < rounds) and not front.isEmpty():
+        number += 1
+        step = salted_join(edges, front.select(key, F.col("normalized").alias("from_normalized"), F.col("url").alias("linked_from")), [key, "from_normalized"], "inner")
         found = unseen(step, seen, [key], "link", ["page_ord", "ord"]).select(
             key, "normalized", F.col("link").alias("url"), "linked_from", F.lit(number).alias("round")
         )
