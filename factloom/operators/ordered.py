@@ -136,12 +136,30 @@ def admit_within_budget(
 
 def breaker(df: DataFrame, keys: list[str], order: list, segment: str, failed: Column, limit: int) -> DataFrame:
     """Skip everything after `limit` failures in a row. A skipped row cannot reset the count, so the
-    first time a key reaches the limit decides. Adds `position`, `streak` and `skipped`."""
-    numbered = row_numbers(df, keys, order, segment, "position")
-    marked = running(
-        numbered, keys, ["position"], segment, "max", F.when(~failed, F.col("position")), "_last_good"
-    ).withColumn("streak", F.col("position") - F.coalesce("_last_good", F.lit(0)))
-    tripped = running(
-        marked, keys, ["position"], segment, "max", (F.col("streak") >= limit).cast("int"), "_tripped", include_current=False
+    first time a key reaches the limit decides. Adds `position`, `streak` and `skipped`.
+
+    One pass inside (key, segment), then one summary per segment: its length, its leading run of failures, its last good
+    row and its first own trip. Folded along the key's segments they say how many rows and failures come before a
+    segment and where the key trips; joined back once, they complete every row."""
+    inside = W.partitionBy(*keys, segment).orderBy(*order)
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn("_failed", failed).withColumn("_pos", F.row_number().over(inside))
+    rows = rows.withColumn("_good", F.max(F.when(~F.col("_failed"), F.col("_pos"))).over(so_far))
+    own = F.col("_good").isNotNull() & (F.col("_pos") - F.col("_good") >= limit)
+    summary = rows.groupBy(*keys, segment).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(~F.col("_failed"), F.col("_pos"))).alias("_first_good"), F.max("_good").alias("_last_good"),
+        F.min(F.when(own, F.col("_pos"))).alias("_own_trip"),
     )
-    return tripped.withColumn("skipped", F.coalesce(F.col("_tripped"), F.lit(0)) == 1).drop("_last_good", "_tripped")
+    earlier = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
+    summary = summary.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    carry = F.col("_before") - F.coalesce(F.max(F.col("_before") + F.col("_last_good")).over(earlier), F.lit(0))
+    summary = summary.withColumn("_carry", carry)
+    leading = F.coalesce(F.col("_first_good") - 1, F.col("_n"))
+    at_once = F.when(F.col("_carry") + leading >= limit, F.greatest(limit - F.col("_carry"), F.lit(1)))
+    trip = F.col("_before") + F.least(F.when((leading > 0) & at_once.isNotNull(), at_once), F.col("_own_trip"))
+    summary = summary.withColumn("_trip", F.min(trip).over(W.partitionBy(*keys)))
+    scanned = _carried(rows, keys, segment, summary, ["_before", "_carry", "_trip"])
+    position = F.col("_before") + F.col("_pos")
+    streak = F.when(F.col("_good").isNull(), F.col("_carry") + F.col("_pos")).otherwise(F.col("_pos") - F.col("_good"))
+    return scanned.withColumn("position", position).withColumn("streak", streak).withColumn(
+        "skipped", F.coalesce(position > F.col("_trip"), F.lit(False))).drop("_failed", "_pos", "_good", "_before", "_carry", "_trip")
