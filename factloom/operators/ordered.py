@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.session import materialise
+
 
 def _pick(df: DataFrame, keys: list[str], order: list, chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -67,13 +69,30 @@ def running(
 def row_numbers(df: DataFrame, keys: list[str], order: list, segment: str, out: str) -> DataFrame:
     """1-based position of each row within its key (or within the table when `keys` is empty)."""
     inside = W.partitionBy(*keys, segment).orderBy(*order)
-    earlier = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
     summary = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n"))
-    summary = summary.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if keys:
+        earlier = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
+        summary = summary.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    else:
+        summary = _table_offsets(summary, segment)
     scanned = _carried(df.withColumn("_here", F.row_number().over(inside)), keys, segment, summary, ["_before"])
     return scanned.withColumn(out, F.col("_before") + F.col("_here")).drop("_before", "_here")
 
 
+def _table_offsets(summary: DataFrame, segment: str) -> DataFrame:
+    """(segment, _n) with `_before`, the rows of all smaller segments of the table: prefix sums inside ranges of segments, and
+    over the ranges, which are as many as there are shuffle partitions. Written, so that a range keeps its number."""
+    ranged = materialise(summary.repartitionByRange(segment).withColumn("_range", F.spark_partition_id()), "segments")
+    before, starts = 0, []
+    for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).orderBy("_range").toLocalIterator():
+        starts.append((r["_range"], before))
+        before += r["n"]
+    offsets = summary.sparkSession.createDataFrame(starts, "_range int, _start long")
+    earlier = W.partitionBy("_range").orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.withColumn("_in_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(offsets, "_range")
+    return summed.withColumn("_before", F.col("_start") + F.col("_in_range")).select(segment, "_n", "_before")
+
+
 def previous(df: DataFrame, keys: list[str], order: list, segment: str, columns: list[str], out: str) -> DataFrame:
     """The given columns of the row before, as a struct; NULL for the first row of a key."""
     row = F.struct(*columns)
