@@ -1,11 +1,12 @@
 """Readers over small hand-made files."""
 import gzip
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from factloom.operators import gates
-from factloom.sources import sinks, tables
+from factloom.sources import sampling, sinks, tables
 
 
 def write(path, text):
@@ -50,3 +51,11 @@ def test_failed_register_lookup_drops_doubtful_accounts(spark):
     entities = spark.createDataFrame([("1", "ACME AS", "https://zz.no")], "org_number string, legal_name string, official_site string")
     kept = {r.value for r in gates.undoubted_accounts(facts, entities, None).collect()}
     assert kept == {"https://facebook.com/acme", "K"}
+
+
+def test_samples_are_the_keys_with_the_smallest_hashes(spark):
+    keys = [(f"{i:05d}",) for i in range(3000)]
+    expected = sorted(keys, key=lambda k: hashlib.md5(f"7:{k[0]}".encode()).hexdigest())
+    df = spark.createDataFrame(keys + keys[:50], "k string")
+    for n in (0, 1, 999, 3000, 4000):
+        assert [r.k for r in sampling.seeded_keys(df, "k", n, 7).collect()] == sorted(k for (k,) in expected[:n])
