@@ -23,15 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[tuple[str, str | None]] = []  # folders that `written` and `bucketed` made in this driver, and their tables
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, *needed: DataFrame) -> None:
+    """Remove the intermediate tables of operators whose results have been written since, but none that a `needed` table
+    still reads. For a chain of stages, each of which reads only what the one before it has written."""
+    in_use = [f for df in needed for f in df.inputFiles()]
+    for entry in list(_SCRATCH):
+        folder, name = entry
+        plain = folder.split("://")[-1].removeprefix("file:")
+        if any(plain in f for f in in_use):
+            continue
+        _SCRATCH.remove(entry)
+        if name is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None, reader: SparkSession | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back (by `reader`, else by its own session), so that
     later jobs survive lost executors."""
     path = shared_folder(df.sparkSession, label)
+    _SCRATCH.append((path, None))
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
@@ -53,7 +73,9 @@ def bucketed(df: DataFrame, key: str, label: str, reader: SparkSession | None =
     """`df` written once as a table bucketed by `key`: joins on the key leave its rows where they are. Read back by
     `reader`, else by its own session."""
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(partitions(spark), key).option("path", shared_folder(spark, label)).option("compression", "zstd")
+    path = shared_folder(spark, label)
+    _SCRATCH.append((path, name))
+    writer = df.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd")
     writer.saveAsTable(name)
     return (reader or spark).table(name)
 

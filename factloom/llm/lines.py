@@ -110,7 +110,7 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
     Lines are compared byte for byte; lines without a word are kept and never compared. The earliest copy, by id (nulls
     first), then by place in the scan, then by line, stays whole. A null text stays null. A text may become empty, its
     row stays. Repeated rows are documents of their own: the first keeps its text."""
-    given, names = put_aside(df.drop(*[c for c in df.columns if c.lower() in COUNTS]), [*ROW, "_gone"])
+    given, names = put_aside(df.drop(*[c for c in df.columns if c.lower() in COUNTS]), [*ROW, "_gone", "_cut"])
     docs = numbered(given, "lines")
     found = docs.select("_row", F.col(names[id_column]).cast("long").alias("id"), F.col(names[text_column]).alias("text")).mapInArrow(
         _lines(min_words), "row long, id long, n long, at long, h1 long, h2 long, runs array<long>"
@@ -126,12 +126,13 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_words: int
     # the stretches between removed lines, one slice each: as much work as there are lines
     first, end = F.concat(F.array(F.lit(-1).cast("long")), cut), F.concat(cut, F.array(F.size(all_lines).cast("long")))
     left = F.flatten(F.zip_with(first, end, lambda a, b: F.slice(all_lines, (a + 2).cast("int"), (b - a - 1).cast("int"))))
-    # columns of the input come first and keep their names; the counts take names with an underscore
-    return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_column else own for c, own in zip(names, given_back(names))],
+    counted = joined.select(
+        *[f"`{now}`" for now in names.values()], F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("_cut"),
         F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long").alias("_n_lines"), F.size(lost).cast("long").alias("_n_removed"),
         F.size(F.filter(lost, lambda x, i: (i == 0) | (F.get(lost, i - 1) < x - 1))).cast("long").alias("_n_runs"),
     )
+    # columns of the input come first and keep their names; the counts take names with an underscore
+    return counted.select(*[F.col("_cut").alias(c) if c == text_column else own for c, own in zip(names, given_back(names))], *COUNTS)
 
 
 SQL = rf"""

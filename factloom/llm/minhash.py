@@ -232,9 +232,10 @@ def _across(best: bool):
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, n, the smallest hashes of its set: 32 bits each, in order)."""
     for batch in batches:
-        sets = [np.array(v, np.int64).view(np.uint64) for v in batch.column(1).to_pylist()]
-        packed = [np.minimum(v[:BOTTOM] >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32).tobytes() for v in sets]  # below the padding
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "least"])
+        sets, ends = batch.column(1).flatten().to_numpy().view(np.uint64), np.cumsum(np.diff(batch.column(1).offsets.to_numpy()), dtype=np.int64)
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        packed = [np.minimum(sets[a : min(b, a + BOTTOM)] >> np.uint64(32), np.uint64(0xFFFFFFFE)).astype(np.uint32).tobytes() for a, b in zip(starts.tolist(), ends.tolist())]  # below the padding
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts), pa.array(packed, pa.binary())], names=["node", "n", "least"])
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import filled, table
 from factloom.llm.registry import query
-from factloom.llm.tokens import encoder, slices, word_tokenizer_path
+from factloom.llm.tokens import ENCODE_BYTES, encoder, slices, word_tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -70,7 +70,7 @@ def pieces(df: DataFrame, id_column: str, text_column: str, tokenizer_path: str,
         words = encoder(tokenizer_path)
         for batch in batches:
             texts = filled(batch.column(2))
-            for at, to in slices(texts):
+            for at, to in slices(texts, ENCODE_BYTES):
                 ids, counts = words.encode(texts.slice(at, to - at))
                 ends, rows, kept = np.cumsum(counts), [], []
                 for row, doc_id, start, end in zip(batch.column(0).slice(at, to - at).to_pylist(), batch.column(1).slice(at, to - at).to_pylist(), (ends - counts).tolist(), ends.tolist()):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import filled, shared_folder, table, written
 from factloom.llm.registry import query
-from factloom.llm.tokens import encoder, slices, word_tokenizer_path
+from factloom.llm.tokens import ENCODE_BYTES, encoder, slices, word_tokenizer_path
 
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS = 1 << 16  # a frame ends with the document that reaches so many ids
@@ -132,7 +132,7 @@ def write_tokens(df: DataFrame, id_column: str, text_column: str, folder: str, t
         writer, path, n_ids, words = None, "", 0, encoder(tokenizer_path)
         for batch in batches:
             texts = filled(batch.column(1))
-            for at, to in slices(texts):
+            for at, to in slices(texts, ENCODE_BYTES):
                 if writer is None:
                     store, inner = pa.fs.FileSystem.from_uri(folder)
                     store.create_dir(inner, recursive=True)

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from factloom.llm.common import byte_hash, split_words
 
 CACHE_WORDS = 400_000  # per worker process; words beyond are encoded again in each slice
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+ENCODE_BYTES = 8 << 20  # of texts encoded together: the more, the fewer words twice
 FENCE = "\x01"  # stands between words that are encoded in one call; words that hold it are encoded alone
 
 
