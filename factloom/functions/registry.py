@@ -17,6 +17,11 @@ def string_at(doc: Column, json_path: str) -> Column:
     return F.when(F.schema_of_variant(node) == "STRING", F.nullif(F.try_variant_get(doc, json_path, "string"), F.lit("")))
 
 
+def string_of(node: Column) -> Column:
+    """`string_at` for a property that is already read."""
+    return F.when(F.schema_of_variant(node) == "STRING", F.nullif(F.try_variant_get(node, "$", "string"), F.lit("")))
+
+
 def number_at(doc: Column, json_path: str) -> Column:
     """A numeric property: never a boolean, never a number written as text, never zero-filled."""
     node = F.try_variant_get(doc, json_path, "variant")

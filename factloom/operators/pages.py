@@ -160,6 +160,12 @@ def _one_or_many(doc: Column, path: str, kind: str) -> Column:
     return F.coalesce(_array_at(doc, path, kind), F.array(F.try_variant_get(doc, path, kind)))
 
 
+def _properties(obj: Column, *names: str, kind: str = "variant") -> Column:
+    """The named properties of an object as a struct, read in one pass; each is NULL where it is missing, all of them where
+    `obj` is no object. Looking up a missing property by its path costs Spark many times more than one that is there."""
+    return F.try_variant_get(obj, "$", "struct<" + ",".join(f"`{n}`:{kind}" for n in names) + ">")
+
+
 def json_ld(html: Column) -> Column:
     """The JSON-LD objects of a page in page order, as array<variant>. `@graph` wrappers are opened,
     nested ones included, as deep as they go; a script that is not JSON is left out."""
@@ -169,7 +175,7 @@ def json_ld(html: Column) -> Column:
     depth = F.regexp_count(html, F.lit('"@graph"'))  # no wrapper lies deeper than there are wrappers
     objects = F.reduce(
         F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), objects,
-        lambda found, _: F.flatten(F.transform(found, lambda o: F.coalesce(_array_at(o, '$["@graph"]'), F.array(o)))),
+        lambda found, _: F.flatten(F.transform(found, lambda o: F.coalesce(_properties(o, "@graph", kind="array<variant>")["@graph"], F.array(o)))),
     )
     return F.when(html.contains("ld+json"), objects).otherwise(F.array().cast("array<variant>"))
 
@@ -180,7 +186,11 @@ def json_ld_objects(pages: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def object_types(obj: Column) -> Column:
-    return F.coalesce(_one_or_many(obj, '$["@type"]', "string"), F.array().cast("array<string>"))
+    return _types(_properties(obj, "@type"))
+
+
+def _types(properties: Column) -> Column:
+    return F.coalesce(_one_or_many(properties["@type"], "$", "string"), _none("string"))
 
 
 def _is_any(types: Column, wanted: list[str]) -> Column:
@@ -189,8 +199,9 @@ def _is_any(types: Column, wanted: list[str]) -> Column:
 
 def organisation_name(objects: Column) -> Column:
     """The name of the first named object that describes neither a page, an article, a product nor a person."""
+    read = F.transform(objects, lambda o: _properties(o, "name", "@type"))
     named = F.filter(
-        F.transform(objects, lambda o: F.struct(registry.string_at(o, "$.name").alias("name"), object_types(o).alias("types"))),
+        F.transform(read, lambda o: F.struct(registry.string_of(o["name"]).alias("name"), _types(o).alias("types"))),
         lambda o: o["name"].isNotNull() & ~F.coalesce(_is_any(o["types"], fixed.NOT_ORGANISATION_TYPES), F.lit(False)),
     )
     return F.get(named, F.lit(0))["name"]
@@ -213,27 +224,38 @@ def canonical_link(html: Column) -> Column:
     return F.nullif(text.strip(F.coalesce(*[text.first_group(html, p) for p in fixed.CANONICAL])), F.lit(""))
 
 
+_OWNERS = ("publisher", "founder", "provider")
+_READ_PROPERTIES = (
+    "@type", "title", "name", "headline", "datePosted", "hiringOrganization", "datePublished", "startDate", "url", "address", "employee", "sameAs", *_OWNERS
+)
+
+
 def _read_structured(asked: Column) -> Steps:
     html = F.col("raw_html")
 
     def read(o: Column) -> Column:
-        def given(path: str) -> Column:
-            return F.nullif(F.try_variant_get(o, path, "string"), F.lit(""))
+        def given(node: Column, path: str = "$") -> Column:
+            return F.nullif(F.try_variant_get(node, path, "string"), F.lit(""))
 
         people = F.transform(
-            F.coalesce(_array_at(o, "$.employee"), _none("variant")),
-            lambda e: F.struct(registry.string_at(e, "$.name").alias("n"), registry.string_at(e, "$.jobTitle").alias("t")),
+            F.transform(F.coalesce(_array_at(o["employee"], "$"), _none("variant")), lambda e: _properties(e, "name", "jobTitle")),
+            lambda e: F.struct(registry.string_of(e["name"]).alias("n"), registry.string_of(e["jobTitle"]).alias("t")),
         )
+        name = registry.string_of(o["name"])
         return F.struct(
-            object_types(o).alias("types"), registry.string_at(o, "$.title").alias("title"), registry.string_at(o, "$.name").alias("name"),
-            F.coalesce(registry.string_at(o, "$.headline"), registry.string_at(o, "$.name")).alias("raw_headline"), given("$.datePosted").alias("posted"),
-            registry.string_at(o, "$.hiringOrganization.name").alias("employer"), given("$.datePublished").alias("published"), given("$.startDate").alias("starts"),
-            registry.string_at(o, "$.url").alias("site"),
-            F.concat_ws(", ", *[given(f"$.address.{p}") for p in ("streetAddress", "postalCode", "addressLocality")]).alias("line"),
+            _types(o).alias("types"), registry.string_of(o["title"]).alias("title"), name.alias("name"),
+            F.coalesce(registry.string_of(o["headline"]), name).alias("raw_headline"), given(o["datePosted"]).alias("posted"),
+            registry.string_of(_properties(o["hiringOrganization"], "name")["name"]).alias("employer"), given(o["datePublished"]).alias("published"),
+            given(o["startDate"]).alias("starts"), registry.string_of(o["url"]).alias("site"),
+            F.concat_ws(", ", *[given(o["address"], f"$.{p}") for p in ("streetAddress", "postalCode", "addressLocality")]).alias("line"),
             people.alias("people"), _same_as(o, html).alias("profiles"),
         )
 
-    yield dict(_structured=F.when(asked, F.transform("_objects", read)), _structured_name=organisation_name(F.col("_objects")))
+    yield dict(
+        _structured_objects=F.when(asked, F.transform("_objects", lambda o: _properties(o, *_READ_PROPERTIES))),
+        _structured_name=organisation_name(F.col("_objects")),
+    )
+    yield dict(_structured=F.transform("_structured_objects", read))
     titles, headlines = F.transform("_structured", lambda o: o["title"]), F.transform("_structured", lambda o: o["raw_headline"])
     yield dict(_structured_texts=F.concat(titles, headlines), _structured_post=urls.is_post_page(F.col("url")))
 
@@ -251,7 +273,7 @@ def _finish_structured() -> Steps:
         return o.withField("title_text", decoded(i)).withField("headline", F.coalesce(decoded(i + F.size("_structured")), F.lit("activity"))).withField(
             "is_article", is_article
         ).withField("is_event", ~is_article & F.coalesce(_is_any(o["types"], fixed.EVENT_TYPES), F.lit(False))).withField(
-            "posted_day", dates.leading_day(o["posted"])).withField("absolute", urls.absolute(url, o["site"]))
+            "posted_day", dates.leading_day(o["posted"])).withField("absolute", F.when(o["site"].isNotNull(), urls.absolute(url, o["site"])))
 
     def dated(o: Column) -> Column:
         news = o["is_article"] & post_page & text.is_news_title(o["headline"])
@@ -310,14 +332,13 @@ def _fact(condition: Column, field: str, value: Column, context=None, span=None,
 
 
 def _same_as(obj: Column, html: Column) -> Column:
-    """Profiles an object, its publisher, founder or provider lists under sameAs, each with its owner's name:
+    """Profiles an object (its `_READ_PROPERTIES`), its publisher, founder or provider lists under sameAs, each with its owner's name:
     array<struct<value, owner, span>>."""
-    owners = F.filter(
-        F.array(obj, *[F.try_variant_get(obj, f"$.{k}", "variant") for k in ("publisher", "founder", "provider")]), lambda o: o.isNotNull()
-    )
+    own = F.struct(obj["sameAs"].alias("sameAs"), obj["name"].alias("name"))
+    owners = F.filter(F.array(own, *[_properties(obj[k], "sameAs", "name") for k in _OWNERS]), lambda o: o.isNotNull())
     listed = F.flatten(F.transform(owners, lambda o: F.transform(
-        F.coalesce(_one_or_many(o, "$.sameAs", "variant"), F.array().cast("array<variant>")),
-        lambda v: F.struct(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("link"), registry.string_at(o, "$.name").alias("owner")),
+        F.coalesce(_one_or_many(o["sameAs"], "$", "variant"), _none("variant")),
+        lambda v: F.struct(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).alias("link"), registry.string_of(o["name"]).alias("owner")),
     )))
     links = F.filter(listed, lambda l: l["link"].isNotNull() & (l["link"] != "") & ~l["link"].rlike(fixed.SOCIAL_NOT_PROFILE))
     keyed = F.filter(
@@ -462,6 +483,7 @@ def _read_feed(asked: Column) -> Steps:
             _feed_text(text.first_group(item, fixed.FEED_DATE)).alias("published"), _feed_text(text.first_group(item, fixed.TITLE)).alias("title"), _feed_text(link).alias("link")
         )
 
+    # what is missing reads as empty, and an item without all three is left out
     items = F.filter(
         F.transform(F.regexp_extract_all(html, F.lit(fixed.FEED_ITEM), 1), read), lambda i: (i["published"] != "") & (i["title"] != "") & (i["link"] != "")
     )
