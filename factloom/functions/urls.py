@@ -380,7 +380,12 @@ def is_careers_url(url: Column, with_platforms: bool = True) -> Column:
 def is_post_link(url: Column, page: Column) -> Column:
     """A link that can be a news post's own page: same site as `page`, below its root, not a contact,
     legal, careers, shop or listing path. A press-release service counts as the publisher's own."""
-    return let(F.struct(parse(url).alias("u"), parse(page).alias("p")), lambda both: _is_post(both["u"], both["p"]))
+    return let(parse(page), lambda p: is_post_of(url, p))
+
+
+def is_post_of(url: Column, page: Column) -> Column:
+    """`is_post_link` for a page given by its parts (`parse`), which many links share."""
+    return let(parse(url), lambda u: _is_post(u, page))
 
 
 def _is_post(u: Column, p: Column) -> Column:

@@ -478,17 +478,18 @@ def _read_feed(asked: Column) -> Steps:
     asked = asked & is_feed(html) & ~urls.path(url).rlike(fixed.PRODUCT_FEED_PATH)
 
     def read(item: Column) -> Column:
-        link = F.coalesce(*[F.nullif(F.regexp_extract(item, fixed.FEED_LINK, g), F.lit("")) for g in (1, 2)])
+        link = let(F.regexp_extract(item, fixed.FEED_LINK, 1), lambda one: F.when(one != "", one).otherwise(F.regexp_extract(item, fixed.FEED_LINK, 2)))
         return F.struct(
-            _feed_text(text.first_group(item, fixed.FEED_DATE)).alias("published"), _feed_text(text.first_group(item, fixed.TITLE)).alias("title"), _feed_text(link).alias("link")
+            _feed_text(F.regexp_extract(item, fixed.FEED_DATE, 1)).alias("published"), _feed_text(F.regexp_extract(item, fixed.TITLE, 1)).alias("title"),
+            _feed_text(link).alias("link"),
         )
 
     # what is missing reads as empty, and an item without all three is left out
     items = F.filter(
         F.transform(F.regexp_extract_all(html, F.lit(fixed.FEED_ITEM), 1), read), lambda i: (i["published"] != "") & (i["title"] != "") & (i["link"] != "")
     )
-    yield dict(_feed_all=F.when(asked, items))
-    yield dict(_feed=F.filter("_feed_all", lambda i: urls.is_post_link(i["link"], url)))
+    yield dict(_feed_all=F.when(asked, items), _feed_page=urls.parse(url))
+    yield dict(_feed=F.filter("_feed_all", lambda i: urls.is_post_of(i["link"], F.col("_feed_page"))))
     yield dict(_feed_texts=F.transform("_feed", lambda i: i["title"]))
 
 

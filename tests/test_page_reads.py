@@ -1,6 +1,7 @@
 """What a page reader works out once."""
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed, urls
 from factloom.operators import pages
 
 
@@ -23,3 +24,16 @@ def test_properties_are_read_in_one_pass(spark):
         ("dated_activity", "Open day (2024-09-01)", None), ("organization_name", "Open day", None), ("company_profile", "https://facebook.com/eier", "Eier"),
         ("hiring_signal", "Selger", None), ("leader", "Kari", None), ("company_profile", "https://x.com/oss", None)], key=str)
     assert "$.publisher" not in _plan(df) and "$.headline" not in _plan(df)
+
+
+def test_a_feed_item_is_matched_once(spark):
+    html = "<rss><item><title>Ny avtale med kommunen</title><link>https://a.no/nyheter/sak-1</link><pubDate>Mon, 01 Apr 2024 10:00:00 +0200</pubDate></item><item><title>Ingen dato her</title></item></rss>"
+    df = pages.feed_facts(_page(spark, "https://a.no/feed", html))
+    assert [r["value"] for r in df.collect()] == ["Ny avtale med kommunen (2024-04-01) - https://a.no/nyheter/sak-1"]
+    assert _plan(df).count(fixed.FEED_DATE) == 1
+
+
+def test_links_share_the_parts_of_their_page(spark):
+    df = spark.createDataFrame([("https://a.no/nyheter/x", "https://a.no/"), ("https://a.no/", "https://a.no/"), ("https://b.no/nyheter/x", "https://a.no/"), (None, "https://a.no/")], "l string, p string")
+    both = df.select(urls.is_post_link(F.col("l"), F.col("p")).alias("a"), urls.is_post_of(F.col("l"), urls.parse(F.col("p"))).alias("b")).collect()
+    assert [r["a"] for r in both][:3] == [True, False, False] and all(r["a"] == r["b"] for r in both)
