@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed, text, urls
+from factloom.functions.let import let
 
 
 def blank_to_null(value: Column) -> Column:
@@ -228,5 +229,8 @@ def as_written(page: Column, link: Column) -> Column:
 
 def json_written(body: Column, value: Column, escaped_value: Column) -> Column:
     """A decoded JSON string as the response writes it: non-ASCII letters and slashes may be escaped."""
-    forms = [escaped_value, F.replace(escaped_value, F.lit("/"), F.lit("\\/")), value, F.replace(value, F.lit("/"), F.lit("\\/"))]
-    return F.coalesce(*[F.when(F.contains(body, form), form) for form in forms], value)
+    def read(escaped: Column) -> Column:
+        forms = [escaped, F.replace(escaped, F.lit("/"), F.lit("\\/")), value, F.replace(value, F.lit("/"), F.lit("\\/"))]
+        return F.coalesce(*[F.when(F.contains(body, form), form) for form in forms], value)
+
+    return let(escaped_value, read)

@@ -520,9 +520,11 @@ def json_escaped(value: Column) -> Column:
     def written(c: Column) -> Column:
         units = F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(....)", r"\\u$1")
         known = F.get(F.array(*[F.lit(v) for v in short.values()]), F.array_position(F.array(*[F.lit(k) for k in short]), c).cast("int") - 1)
-        return F.when(c.rlike(r"^[\x20-\x7e]$") & ~c.isin('"', "\\"), c).otherwise(F.coalesce(known, units))
+        return F.coalesce(known, units)
 
-    return F.when(value.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(F.transform(F.split(value, ""), written), "")).otherwise(value)
+    plain = r"[\x20\x21\x23-\x5b\x5d-\x7e]"
+    pieces = F.transform(F.regexp_extract_all(value, F.lit(rf"{plain}+|(?s:.)"), 0), lambda c: F.when(c.rlike(plain), c).otherwise(written(c)))
+    return F.when(value.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(pieces, "")).otherwise(value)
 
 
 def _read_posts(asked: Column) -> Steps:
@@ -545,11 +547,11 @@ def _read_posts(asked: Column) -> Steps:
 def _finish_posts() -> Steps:
     url, today = F.col("url"), F.to_date("fetched_at").cast("string")
     titled = F.transform("_posts", lambda p, i: p.withField("title", text.squeeze(text.strip_tags(F.get(F.get("_posts_decoded", i), F.lit(0))))))
-    yield dict(_posts_1=titled)
+    yield dict(_posts_1=titled, _posts_page=urls.parse(url))
 
     def usable(p: Column) -> Column:
         no_link = F.coalesce(p["link"], F.lit("")) == ""
-        return p["day"].isNotNull() & (p["day"] != today) & text.is_news_title(p["title"]) & (no_link | urls.is_post_link(p["link"], url))
+        return p["day"].isNotNull() & (p["day"] != today) & text.is_news_title(p["title"]) & (no_link | urls.is_post_of(p["link"], F.col("_posts_page")))
 
     def fact(p: Column) -> Column:
         value = text.with_post_link(F.concat(p["title"], F.lit(" ("), p["day"], F.lit(")")), p["link"])

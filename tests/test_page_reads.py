@@ -1,7 +1,7 @@
 """What a page reader works out once."""
 from pyspark.sql import functions as F
 
-from factloom.functions import fixed, urls
+from factloom.functions import fixed, registry, urls
 from factloom.operators import pages
 
 
@@ -33,6 +33,22 @@ def test_a_feed_item_is_matched_once(spark):
     assert _plan(df).count(fixed.FEED_DATE) == 1
 
 
+def test_json_is_escaped_by_runs(spark):
+    texts = ["plain", "", None, 'a"b\\c/d', "Vi åpner\n\t\r\x01\x7f 😀 ø", "\u2028x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pages.json_escaped(F.col("t")).alias("e"))
+    expected = [None if t is None else "".join(
+        {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c) or (c if " " <= c <= "~" else "".join(f"\\u{c.encode('utf-16-be').hex()[i:i + 4]}" for i in range(0, len(c.encode("utf-16-be")) * 2, 4)))
+        for c in t) for t in texts]
+    assert [r["e"] for r in df.collect()] == expected
+    assert "split(" not in _plan(df)
+
+
+def test_a_quote_is_escaped_once(spark):
+    df = spark.range(1).select(registry.json_written(F.lit('{"t":"\\u00e5/"}'), F.lit("å/"), F.upper(F.concat(F.lit("\\u00"), F.col("id").cast("string")))).alias("w"))
+    assert df.first()["w"] == "å/"
+    assert _plan(df).count("upper(") == 1
+
+
 def test_links_share_the_parts_of_their_page(spark):
     df = spark.createDataFrame([("https://a.no/nyheter/x", "https://a.no/"), ("https://a.no/", "https://a.no/"), ("https://b.no/nyheter/x", "https://a.no/"), (None, "https://a.no/")], "l string, p string")
     both = df.select(urls.is_post_link(F.col("l"), F.col("p")).alias("a"), urls.is_post_of(F.col("l"), urls.parse(F.col("p"))).alias("b")).collect()
