@@ -697,7 +697,7 @@ def _read_times(asked: Column) -> Steps:
     html, url, today = F.col("raw_html"), F.col("url"), F.to_date("fetched_at")
     around = r"(?is)(?=<time\b)" + _before(fixed.NEARBY_CHARS) + fixed.TIME_TAG.replace("(?is)", "") + _AFTER
     asked = asked & html.rlike(fixed.TIME_TAG)
-    yield dict(_times_html=F.when(asked, text.cut_scripts(html)))
+    yield dict(_times_html=F.when(asked, text.cut_scripts(html)), _times_page=urls.parse(url))
     groups = [F.regexp_extract_all("_times_html", F.lit(around), g).alias(c) for g, c in enumerate(("far", "near", "at", "after"), 1)]
     tags = F.transform(F.arrays_zip(*groups), lambda t, i: F.struct(
         i.alias("item_ord"), dates.first_date(t["at"], today).alias("day"),
@@ -709,7 +709,7 @@ def _read_times(asked: Column) -> Steps:
         headings = F.transform(F.regexp_extract_all(window, F.lit(fixed.NEARBY_HEADING), 1), text.fragment_text)
         return F.struct(
             F.get(F.filter(headings, lambda h: _fits(h, fixed.NEWS_TITLE_CHARS) & dates.first_date(h, today).isNull()), F.lit(0)).alias("title"),
-            F.filter(anchors(window, url), lambda a: urls.is_post_link(a["link"], url)).alias("posts"),
+            F.filter(anchors(window, url), lambda a: urls.is_post_of(a["link"], F.col("_times_page"))).alias("posts"),
         )
 
     def linked(s: Column) -> Column:
