@@ -40,6 +40,18 @@ def test_a_lookup_is_repeated_for_used_salts_only(spark, monkeypatch):
     assert sizes[("a", "s")] == joins.SALTS and all(sizes[("b", f"s{i}")] == 1 for i in range(20))
 
 
+def test_answers_repeat_first_claims_for_used_salts_only(spark, monkeypatch):
+    claims = _claims(spark, ("1", "leader", "Kari", "x"), ("1", "leader", "Ola", "x"), ("1", "workplace", "Kai 1", "x"))
+    runs = claims.select("org_number").distinct().select("org_number", F.lit("2024-06-01").alias("run_day"), F.lit(True).alias("is_first_run"), F.lit(None).cast("string").alias("previous_day"))
+    used = []
+    monkeypatch.setattr(summary, "salted_join", lambda *args, **given: used.append(given.get("used")) or joins.salted_join(*args, **given))
+    found = summary.answers(claims, runs, claims.filter("false").select("org_number", F.col("value").alias("text")))
+    assert {r["question_ord"]: r["answer"] for r in found.collect()}[5] == "Kari; Ola" and used == ["_salts"]
+    dealt = summary.answers(claims, runs, claims.filter("false").select("org_number", F.col("value").alias("text")), count=150_001)
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    assert _plan(dealt).count("RepartitionByExpression") == 7  # six scalar answers and the questions
+
+
 def test_an_envelope_numbers_its_claims_once(spark):
     claims = materialise(_claims(spark, ("1", "legal_name", "A AS", "https://a.no/1"), ("1", "leader", "Kari", "https://a.no/2"), ("1", "leader", "Ola", "https://a.no/1")), "made")
     runs = claims.select("org_number").distinct().select("org_number", F.lit("2024-06-01").alias("run_day"), F.lit(True).alias("is_first_run"), F.lit(None).cast("string").alias("previous_day"))
@@ -61,3 +73,13 @@ def test_reader_steps_are_put_together_once(spark, monkeypatch):
         "linked_from", F.lit(None).cast("string"))
     found = [[r["value"] for r in pages.facts_of(page, [reader]).collect()] for _ in range(2)]
     assert found[0] == found[1] and len(found[0]) == 1 and calls == [1]
+
+
+def test_claims_are_numbered_in_tasks_by_their_count(spark):
+    rows = spark.range(30).select((F.col("id") % 3).cast("string").alias("k"), "id", F.lit(0).alias("segment"))
+    found = ordered.row_numbers(rows, ["k"], ["id"], "segment", "n", 5)
+    assert "RepartitionByExpression" in _plan(found) and all(r["n"] == r["id"] // 3 + 1 for r in found.collect())
+    claims = _claims(spark, *[(str(i), "leader", f"L{n}", "x") for i in range(5) for n in range(12)]).drop("claim_no")
+    numbered = assembly.ordered_claims(claims, 150_001)
+    assert ", 4" in next(line for line in _plan(numbered).splitlines() if "RepartitionByExpression" in line)
+    assert sorted(map(tuple, numbered.collect()), key=str) == sorted(map(tuple, assembly.ordered_claims(claims).collect()), key=str)
