@@ -83,3 +83,11 @@ def test_claims_are_numbered_in_tasks_by_their_count(spark):
     numbered = assembly.ordered_claims(claims, 150_001)
     assert ", 4" in next(line for line in _plan(numbered).splitlines() if "RepartitionByExpression" in line)
     assert sorted(map(tuple, numbered.collect()), key=str) == sorted(map(tuple, assembly.ordered_claims(claims).collect()), key=str)
+
+
+def test_profiles_are_dealt_by_their_count(spark):
+    claims = _claims(spark, *[(str(i), f, f"{f} {i}", "x") for i in range(3) for f in ("legal_name", "leader", "workplace", "hiring_signal")])
+    found = assembly.profiles(claims, 2, 100_001)
+    assert ", 3" in next(line for line in _plan(found).splitlines() if "RepartitionByExpression" in line)
+    plain = {(r["org_number"], r["part"]): r["sections"] for r in assembly.profiles(claims, 2).collect()}
+    assert {(r["org_number"], r["part"]): r["sections"] for r in found.collect()} == plain and len(plain) == 6
