@@ -47,6 +47,12 @@ def _registry_claims(spark, sf):
     return entities, _once(spark, sf, "registry-claims", lambda: assembly.build_claims(entities, facts, states, previous))
 
 
+def _ordered_claims(spark, sf):
+    """The same claims with their place, numbered once for every part of a sentence that reads them."""
+    claims = _registry_claims(spark, sf)[1]
+    return _once(spark, sf, "ordered-registry-claims", lambda: assembly.ordered_claims(claims, claims.count()))
+
+
 def _registry_facts(spark, sf, entities):
     responses = derived.entity_responses(spark, sf)
     parts = [
@@ -166,7 +172,7 @@ SELECT org_number, legal_name || ' (org. no. ' || org_number || ') is a ' || CAS
   CASE WHEN c_custkey % 13 = 0 AND c_custkey % 11 = 0 THEN '' ELSE '; ' || concat_ws(', ', CASE WHEN c_custkey % 13 <> 0 THEN 'registry status ' || CASE WHEN c_acctbal < -900 THEN 'Bankrupt' WHEN c_acctbal < -500 THEN 'In liquidation' ELSE 'Active' END END,
     CASE WHEN c_custkey % 11 <> 0 THEN employees || ' employees' END) END || '.' AS text FROM companies WHERE {_KNOWN}""")
 def _(spark, sf):
-    claims = assembly.ordered_claims(_registry_claims(spark, sf)[1])
+    claims = _ordered_claims(spark, sf)
     return summary.scalar_fields(claims).select("org_number", summary.identity_text().alias("text")).filter("text IS NOT NULL")
 
 
@@ -174,7 +180,7 @@ def _(spark, sf):
 WITH {S.COMPANIES}
 SELECT org_number, 'Registered activity: "' || CASE WHEN c_custkey % 3 = 0 THEN 'Production of ' || p_name || ' and related services' ELSE 'The purpose is trade in ' || p_name END || '".' AS text FROM companies WHERE {_READ}""")
 def _(spark, sf):
-    claims = assembly.ordered_claims(_registry_claims(spark, sf)[1])
+    claims = _ordered_claims(spark, sf)
     return summary.scalar_fields(claims).select("org_number", summary.activity_text().alias("text")).filter("text IS NOT NULL")
 
 
@@ -216,7 +222,7 @@ def _(spark, sf):
 @query("k5_workplaces_sentence", f"""
 WITH {S.COMPANIES} SELECT org_number, '2 registered sites, including ' || upper(town[1]) || lower(substr(town, 2)) || '.' AS text FROM companies WHERE c_custkey % 9 <> 0 AND c_custkey % 13 <> 0""")
 def _(spark, sf):
-    claims = assembly.ordered_claims(_registry_claims(spark, sf)[1])
+    claims = _ordered_claims(spark, sf)
     return summary.workplaces(claims).select("org_number", F.col("workplaces_text").alias("text"))
 
 

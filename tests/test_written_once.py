@@ -91,3 +91,16 @@ def test_profiles_are_dealt_by_their_count(spark):
     assert ", 3" in next(line for line in _plan(found).splitlines() if "RepartitionByExpression" in line)
     plain = {(r["org_number"], r["part"]): r["sections"] for r in assembly.profiles(claims, 2).collect()}
     assert {(r["org_number"], r["part"]): r["sections"] for r in found.collect()} == plain and len(plain) == 6
+
+
+def test_registry_claims_are_ordered_once_for_all_sentences(spark, monkeypatch):
+    from factloom.catalog import summaries  # its column expressions need the session
+
+    claims = _claims(spark, ("1", "workplace", "Avd 1 - Kai 1, 0150 OSLO, OSLO", "x"), ("1", "workplace", "Avd 2 - Kai 2, 0150 OSLO, OSLO", "x"), ("1", "legal_name", "A AS", "x")).drop("claim_no")
+    counted = []
+    whole = assembly.ordered_claims
+    monkeypatch.setattr(summaries, "_registry_claims", lambda spark, sf: (None, claims))
+    monkeypatch.setattr(summaries.assembly, "ordered_claims", lambda *given: counted.append(1) or whole(*given))
+    found = [registry.QUERIES[q](spark, "made-of-rows") for q in ("k1_identity_sentence", "k5_workplaces_sentence")]
+    assert [df.count() for df in found] == [1, 1] and counted == [1]
+    assert all("_here" not in _plan(df) for df in found)
