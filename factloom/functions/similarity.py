@@ -13,16 +13,23 @@ from pyspark.sql import types as T
 from factloom.functions import fixed, text
 
 
-def _common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word step per character of `b`."""
+def _places(a: str) -> dict[str, int]:
+    """Where each character of `a` stands, as bits."""
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
+    return places
+
+
+def _common_length(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, one machine-word step per character of `b`."""
+    at = (_places(a) if places is None else places).get
     mask = (1 << len(a)) - 1
     row = mask
     for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & mask
+        hit = row & at(ch, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & mask
     return len(a) - row.bit_count()
 
 
@@ -45,13 +52,13 @@ def _best_window(a: str, b: str) -> float:
 
 def _along(short: str, long: str) -> float:
     """Best ratio of `short` over every stretch of `long`. The letters two texts share bound their common
-    subsequence, so a stretch that cannot beat the best so far is skipped without alignment."""
+    subsequence; stretches are aligned by falling bound, until none left can beat the best so far."""
     n, m = len(short), len(long)
     need: dict[str, int] = {}
     for ch in short:
         need[ch] = need.get(ch, 0) + 1
     have = dict.fromkeys(need, 0)
-    shared, best = 0, 0.0
+    shared, stretches = 0, []
     for end in range(1, m + n):
         lo, hi = max(0, end - n), min(end, m)
         if end <= m and long[end - 1] in need:
@@ -62,8 +69,13 @@ def _along(short: str, long: str) -> float:
             ch = long[lo - 1]
             have[ch] -= 1
             shared -= have[ch] < need[ch]
-        if 200.0 * shared / (n + hi - lo) > best:
-            best = max(best, _ratio(short, long[lo:hi]))
+        stretches.append((200.0 * shared / (n + hi - lo), lo, hi))
+    stretches.sort(reverse=True)
+    places, best = _places(short), 0.0
+    for bound, lo, hi in stretches:
+        if bound <= best:
+            break
+        best = max(best, 200.0 * _common_length(short, long[lo:hi], places) / (n + hi - lo))
     return best
 
 

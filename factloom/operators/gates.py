@@ -19,7 +19,10 @@ _CAREERS_PREFIXES = rf"^(?:{fixed.CAREERS_PREFIX}|{fixed.JOB_AD_PREFIX}|{fixed.R
 
 def provenance(source_url: Column, linked_from: Column, official_site: Column) -> Column:
     """`own` when the page is on the official host, `linked` when a page there links to it."""
-    official = urls.host(official_site)
+    return _provenance(source_url, linked_from, urls.host(official_site))
+
+
+def _provenance(source_url: Column, linked_from: Column, official: Column) -> Column:
     return F.when(urls.host(source_url) == official, "own").when(urls.host(linked_from) == official, "linked")
 
 
@@ -45,15 +48,21 @@ def judge_facts(facts: DataFrame, entities: DataFrame, towns: DataFrame) -> Data
     `source_class`. The first failing rule names the reason.
 
     `entities` is (org_number, legal_name, official_site, registered_address), one row per entity."""
-    about = entities.select("org_number", "legal_name", "official_site", "registered_address")
+    about = computed(entities.select("org_number", "legal_name", "official_site", "registered_address"), _official=urls.host(F.col("official_site")))
     joined = facts.join(about, "org_number", "left")
-    name, site, field, value = (F.col(c) for c in ("legal_name", "official_site", "field", "value"))
-    joined = computed(joined, _from=provenance(F.col("source_url"), F.col("linked_from"), site), _profile=F.when(field == "company_profile", social.canonical(value)))
+    name, site, official, field, value = (F.col(c) for c in ("legal_name", "official_site", "_official", "field", "value"))
+    joined = computed(
+        joined, _from=_provenance(F.col("source_url"), F.col("linked_from"), official), _profile=F.when(field == "company_profile", social.canonical(value))
+    )
+    # Only profiles have an account to look up. Other facts are dealt by what they say, in letters no name has: without any, they would
+    # all meet in the task of the missing account.
+    dealt = F.concat(F.lit("-"), F.pmod(F.xxhash64("org_number", "field", "value", "source_url"), F.lit(1_000_000)).cast("string"))
     joined = computed(
         joined, _account=social.account_name(F.col("_profile")),
-        _own=F.when(F.col("_profile").isNotNull(), social.own_letters(name, site, F.col("registered_address"))),
+        _own=F.when(F.col("_profile").isNotNull(), social.own_letters(name, site, F.col("registered_address"))).otherwise(dealt),
     )
-    in_town = branch_towns(joined.filter("_profile IS NOT NULL"), towns, "_account", "_own").withColumn("_branch", F.lit(True))
+    profiles = joined.filter("field = 'company_profile' AND _profile IS NOT NULL")
+    in_town = branch_towns(profiles, towns, "_account", "_own").withColumn("_branch", F.lit(True))
     joined = joined.join(in_town, ["_account", "_own"], "left")
 
     anonymous = name.isNull() | site.isNull()
@@ -71,7 +80,7 @@ def judge_facts(facts: DataFrame, entities: DataFrame, towns: DataFrame) -> Data
     scored = staged.withColumn("_context_score", similarity.name_similarity(name, F.col("_context"))).withColumn(
         "_value_score", similarity.name_similarity(name, F.col("_claimed"))
     )
-    host, official = urls.host(value), urls.host(site)
+    host = urls.host(value)
     other_site = (field == "official_site") & ~(urls.on_site(host, official) | urls.on_site(official, host))
     other_account = F.col("_profile").isNotNull() & ~social.is_plausibly_own(F.col("_profile"), name, site, F.col("_branch"))
     reason = F.coalesce(
