@@ -19,9 +19,10 @@ def words(*parts) -> Column:
 
 def spread(rows: DataFrame, count: int, task_rows: int) -> DataFrame:
     """`rows` dealt over tasks of about `task_rows`. Spark sizes its tasks by the bytes they read, and a few bytes of key become
-    kilobytes of markup or JSON: without this, one task would derive and read the pages of a whole table."""
+    kilobytes of markup or JSON: without this, one task would derive and read the pages of a whole table. The rows come out of a
+    generator, below which Catalyst moves no filter: one on what is read from a record would read it in the few tasks before."""
     tasks = -(-count // task_rows)
-    return rows.repartition(tasks) if tasks > 1 else rows
+    return rows.repartition(tasks).select(F.inline_outer(F.array(F.struct(*rows.columns)))) if tasks > 1 else rows
 
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _once(spark, sf, label, build):
     small because they start from a table, as a run's do."""
     key = (spark.sparkContext.applicationId, sf, label)
     if key not in _WRITTEN:
-        _WRITTEN[key] = materialise(build(), label)
+        _WRITTEN[key] = materialise(build(), label, assembly.TASK_CLAIMS)
     return _WRITTEN[key]
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import dates, fixed, money, names, registry, text
+from factloom.functions.let import let
 from factloom.operators.ordered import first_wins, latest, top_k
 from factloom.operators.pages import content_hash
+from factloom.operators.staging import computed
 
 RESPONSE_KEY = ["org_number", "url", "retrieved_at", "content_hash", "body"]
 
@@ -143,7 +145,10 @@ def live_facts(responses: DataFrame) -> DataFrame:
             F.when(activity.isNotNull(), registry.quote_array(body, "aktivitet")).otherwise(registry.quote_array(body, "vedtektsfestetFormaal")),
         ),
     )
-    rows = rec.select("org_number", "url", "retrieved_at", "content_hash", F.posexplode(facts).alias("item_ord", "_f")).select("*", "_f.*")
+    # The array is a column of its own below the generator, which interprets what stands inside it; an outer one, as Catalyst puts a
+    # filter on the array's presence, with a copy of it, below any other.
+    listed = rec.select("org_number", "url", "retrieved_at", "content_hash", facts.alias("_facts"))
+    rows = listed.select("org_number", "url", "retrieved_at", "content_hash", F.posexplode_outer("_facts").alias("item_ord", "_f")).select("*", "_f.*")
     return _facts(rows.filter("value IS NOT NULL"), 20)
 
 
@@ -334,8 +339,8 @@ def workplace_facts(responses: DataFrame, entities: DataFrame) -> DataFrame:
     )
     units = pages.select(*RESPONSE_KEY, "page_no", F.posexplode("r._embedded.underenheter").alias("pos", "_u"))
     place = F.coalesce("_u.beliggenhetsadresse", "_u.postadresse")
-    rows = units.withColumn(
-        "value", registry.workplace_text(F.col("_u.navn"), registry.address_line(place), place["kommune"], F.col("_u.antallAnsatte"))
+    rows = computed(
+        units, value=let(registry.address_line(place), lambda line: registry.workplace_text(F.col("_u.navn"), line, place["kommune"], F.col("_u.antallAnsatte")))
     ).filter("value IS NOT NULL")
     spans = [_address_quote(F.col("body"), key, F.col(f"_u.{key}")) for key in ("beliggenhetsadresse", "postadresse")]
     listed = _facts(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from factloom import schemas
 from factloom.functions import similarity
-from factloom.operators import gates, staging
+from factloom.operators import gates, registry_facts, staging
 
 
 def _plan(df):
@@ -56,3 +56,33 @@ def test_computed_columns_stand_below_the_generator(spark):
     assert found.columns == ["v", "n", "size", "again"] and [tuple(r) for r in found.collect()] == [("abc", 3, 3, 4)]
     assert plan.count("length(v") == 1 and "inline(_made" in plan
     assert staging.computed(rows, size=F.length("v")).count() == 3
+
+
+def test_a_filter_on_a_record_stays_above_the_dealing(spark):
+    from factloom.catalog import derived  # its column expressions need the session
+
+    rows = spark.createDataFrame([(i, None if i % 3 else f'{{"navn":"A{i}"}}') for i in range(10)], "k int, body string")
+    dealt = derived.spread(rows, 10, 4)
+    plan = _plan(dealt.withColumn("r", F.from_json("body", "navn string")).filter("r.navn IS NOT NULL"))
+    lines = plan.splitlines()
+    place = next(i for i, line in enumerate(lines) if "Repartition" in line)
+    assert dealt.columns == rows.columns and sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert any("from_json" in line for line in lines[:place]) and not any("from_json" in line for line in lines[place:])
+
+
+def test_facts_of_a_record_are_listed_before_they_are_exploded(spark):
+    body = '{"navn":"A AS","antallAnsatte":3,"konkurs":false}'
+    rows = spark.createDataFrame([("1", "entity", 1, "https://r.no/1", 200, body, None), ("2", "entity", 1, "https://r.no/2", 200, "no record", None)], schemas.RESPONSE)
+    found = registry_facts.live_facts(rows)
+    assert "posexplode(_facts" in _plan(found) and "Filter (size(array" not in _plan(found)
+    assert sorted((r["org_number"], r["field"], r["item_ord"], r["value"]) for r in found.collect()) == [
+        ("1", "employee_count", 4, "3"), ("1", "legal_name_registry", 7, "A AS"), ("1", "operating_status", 6, "Active")]
+
+
+def test_written_rows_are_bounded_by_the_file(spark, monkeypatch):
+    from factloom.catalog import summaries  # its column expressions need the session
+
+    monkeypatch.setattr(summaries.assembly, "TASK_CLAIMS", 10)
+    written = summaries._once(spark, "made-of-rows", "bounded", lambda: spark.range(35).coalesce(1))
+    per_file = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sorted(per_file) == [5, 10, 10, 10] and written.agg(F.sum("id")).first()[0] == 595
