@@ -210,7 +210,7 @@ WITH f AS (SELECT CAST(900000000 + o_orderkey AS VARCHAR) AS org_number, o_order
 SELECT org_number, 'revenue' AS field, format('{{:,}}', CAST(price AS BIGINT)) || ' NOK' AS value, 'FY' || y AS reporting_period, '"sumDriftsinntekter":' || CAST(price AS BIGINT) AS evidence_span FROM f UNION ALL
 SELECT org_number, 'revenue', format('{{:,}}', CAST(trunc(price / 2) AS BIGINT)) || ' NOK', 'FY' || (y - 1), '"sumDriftsinntekter":' || CAST(trunc(price / 2) AS BIGINT) FROM f""")
 def _(spark, sf):
-    company = registry_facts.company_filings(registry_facts.filings(derived.accounts_responses(spark, sf)))
+    company = registry_facts.company_filings(registry_facts.filing_docs(derived.accounts_responses(spark, sf)))
     return registry_facts.accounts_facts(company).filter("field = 'revenue'").select("org_number", "field", "value", "reporting_period", "evidence_span")
 
 
@@ -221,7 +221,7 @@ SELECT org_number, CASE back WHEN 0 THEN 'annual_accounts_latest' ELSE 'annual_a
   'Revenue: ' || format('{{:,}}', CAST(CASE back WHEN 0 THEN price ELSE trunc(price / 2) END AS BIGINT)) || ' NOK' ||
   CASE WHEN o_orderkey % 4 <> 0 THEN '; Net result: ' || format('{{:,}}', CAST(trunc(price / 10 - 20000) AS BIGINT)) || ' NOK' ELSE '' END AS value FROM l""")
 def _(spark, sf):
-    company = registry_facts.company_filings(registry_facts.filings(derived.accounts_responses(spark, sf)))
+    company = registry_facts.company_filings(registry_facts.filing_docs(derived.accounts_responses(spark, sf)))
     return registry_facts.accounts_facts(company).filter("field LIKE 'annual_accounts_%'").select("org_number", "field", "reporting_period", "value")
 
 
