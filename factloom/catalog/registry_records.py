@@ -8,6 +8,7 @@ from factloom.catalog import sql as S
 from factloom.catalog.registry import query, table
 from factloom.functions import names, registry
 from factloom.operators import joins, registry_facts
+from factloom.session import materialise
 
 _READ = "c_custkey % 17 <> 0 AND c_custkey % 19 <> 0"
 
@@ -244,8 +245,9 @@ def _(spark, sf):
 SELECT CAST(900000000 + o_orderkey AS VARCHAR) AS org_number, CASE WHEN o_orderkey % 2 = 0 THEN 'year' ELSE 'list' END AS cited, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS period_end FROM orders WHERE {_ANSWERED}
 UNION ALL SELECT CAST(900000000 + o_orderkey AS VARCHAR), 'list', CAST(year(o_orderdate) - 1 AS VARCHAR) || '-12-31' FROM orders WHERE {_ANSWERED}""")
 def _(spark, sf):
-    rows = registry_facts.filings(derived.accounts_responses(spark, sf))
-    company = registry_facts.company_filings(rows)
+    docs = registry_facts.filing_docs(derived.accounts_responses(spark, sf))
+    picked = materialise(registry_facts.picked_filings(docs), "picked-filings")  # four branches read them
+    company = registry_facts.with_figures(picked)
     newest = company.filter("rank = 1").withColumn("url", F.lit("year"))
     own_year = newest.drop("rank").filter("CAST(org_number AS BIGINT) % 2 = 0")
     twice = newest.drop("rank").filter("CAST(org_number AS BIGINT) % 2 = 1")

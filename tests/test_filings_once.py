@@ -2,7 +2,10 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
 from factloom import schemas
+from factloom.catalog import load
 from factloom.operators import registry_facts
 
 AT = datetime.datetime(2024, 6, 1)
@@ -72,3 +75,18 @@ def test_picked_filings_are_dealt_and_read_the_same_before_and_after_the_figures
     columns = sorted(c for c in early.columns)
     assert sorted(late.columns) == columns and sorted(map(str, late.select(*columns).collect())) == sorted(map(str, early.select(*columns).collect()))
     assert sorted((r["period_end"], r["rank"]) for r in late.filter("org_number = '3'").collect() if r["rank"]) == [("2022-12-31", 2), ("2023-12-31", 1)]
+
+
+def _tables(spark, path, n):
+    spark.range(1, n + 1).select(
+        F.col("id").alias("o_orderkey"), F.lit(datetime.date(1996, 1, 2)).alias("o_orderdate"), (F.col("id") * 1000).cast("double").alias("o_totalprice"),
+    ).write.parquet(f"{path}/orders.parquet")
+
+
+def test_cited_filings_are_picked_once(spark, tmp_path):
+    _tables(spark, tmp_path, 40)
+    found = load().QUERIES["f16_cited_to_year"](spark, str(tmp_path))
+    assert not _parses(found)  # its four branches read written filings
+    kept = [k for k in range(1, 41) if k % 31 and k % 37 and k % 29]
+    want = [(str(900000000 + k), "list", "1995-12-31") for k in kept] + [(str(900000000 + k), "list" if k % 2 else "year", "1996-12-31") for k in kept]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
