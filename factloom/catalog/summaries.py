@@ -15,6 +15,7 @@ from factloom.plans import assembly, envelope, summary
 from factloom.session import materialise
 
 KEY, NAME = F.col("c_custkey"), F.col("p_name")
+LIST_CLAIMS = 8  # of an accounts list, about
 _WRITTEN: dict[tuple, object] = {}
 
 
@@ -64,8 +65,9 @@ def _registry_facts(spark, sf, entities):
 
 def _filing_claims(spark, sf):
     def build():
-        company = registry_facts.company_filings(registry_facts.filings(derived.accounts_responses(spark, sf)))
-        return assembly.ordered_claims(assembly.available_claims(registry_facts.accounts_facts(company)))
+        responses = derived.accounts_responses(spark, sf)
+        company = registry_facts.company_filings(registry_facts.filing_docs(responses), assembly.tasks_of(responses.count() * LIST_CLAIMS))
+        return assembly.ordered_claims(assembly.available_claims(registry_facts.accounts_facts(company)), together=True)
 
     return _once(spark, sf, "filing-claims", build)
 

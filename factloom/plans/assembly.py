@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import schemas
@@ -202,9 +203,10 @@ def default_reason(field: Column, state: Column, site: Column) -> Column:
     )
 
 
-def ordered_claims(claims: DataFrame, count: int | None = None) -> DataFrame:
+def ordered_claims(claims: DataFrame, count: int | None = None, together: bool = False) -> DataFrame:
     """Claims with `claim_no`, their place within the entity: published field order, then reading order.
-    The order is total: ties end at the value. With their `count`, roughly, tasks grow in number and not in size."""
+    The order is total: ties end at the value. With their `count`, roughly, tasks grow in number and not in size. Claims that stand
+    `together`, an entity's few in one task, are numbered where they are; others by blocks, as an entity may have any number."""
     rank = evidence.field_rank(F.col("field"))
     block = (
         rank.cast("bigint") * 10**10 + F.coalesce(F.col("stage_ord"), F.lit(0)).cast("bigint") * 10**8
@@ -217,6 +219,9 @@ def ordered_claims(claims: DataFrame, count: int | None = None) -> DataFrame:
     placed = placed.withColumn("_stage", F.coalesce("stage_ord", F.lit(0))).withColumn("_page", F.coalesce("page_ord", F.lit(0))).withColumn(
         "_item", F.coalesce("item_ord", F.lit(0))
     )
+    if together:
+        number = F.row_number().over(W.partitionBy("org_number").orderBy(*order)).cast("bigint")
+        return placed.withColumn("claim_no", number).drop("_block", *order)
     return row_numbers(placed, ["org_number"], order, "_block", "claim_no", tasks_of(count)).drop("_block", *order)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.catalog import load
 from factloom.operators import registry_facts
+from factloom.plans import assembly
 
 AT = datetime.datetime(2024, 6, 1)
 
@@ -90,3 +91,12 @@ def test_cited_filings_are_picked_once(spark, tmp_path):
     kept = [k for k in range(1, 41) if k % 31 and k % 37 and k % 29]
     want = [(str(900000000 + k), "list", "1995-12-31") for k in kept] + [(str(900000000 + k), "list" if k % 2 else "year", "1996-12-31") for k in kept]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_filing_claims_are_numbered_where_they_stand(spark, tmp_path):
+    claims = assembly.available_claims(_facts(spark))
+    here, blocks = assembly.ordered_claims(claims, together=True), assembly.ordered_claims(claims)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and _parses(here) == 1
+    assert here.columns == blocks.columns and here.schema["claim_no"].dataType == blocks.schema["claim_no"].dataType
+    assert sorted(map(str, here.collect())) == sorted(map(str, blocks.collect()))
